@@ -9,17 +9,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsieve.llm import decontam, media, neardup, pii
+from refsieve.llm import decontam, langid, media, mixing, neardup, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summarize(table(spark, sf_dir, "documents"))
 
@@ -32,9 +41,38 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jaccard_join, op7_pii, op8_decontamination, op9_media)}
+def mixing_sql() -> str:
+    """The raking as a chain of windows, a step for each dimension and round."""
+    topics = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in mixing.TOPICS)
+    steps = [
+        rf"""WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topics} ELSE 'prose' END AS topic,
+         CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)
+), c AS (
+  SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY source, lang, topic
+)"""
+    ]
+    for name in mixing.DIMENSIONS:
+        steps.append(f"goal_{name} AS (SELECT {name}, sqrt(m) / sum(sqrt(m)) OVER () AS goal_{name} FROM (SELECT {name}, CAST(sum(tokens) AS DOUBLE) AS m FROM c GROUP BY {name}))")
+    steps.append("r0 AS (SELECT c.*, goal_source, goal_lang, goal_topic, CAST(tokens AS DOUBLE) AS raked FROM c JOIN goal_source USING (source) JOIN goal_lang USING (lang) JOIN goal_topic USING (topic))")
+    for at in range(mixing.ROUNDS * 3):
+        name = mixing.DIMENSIONS[at % 3]
+        steps.append(f"r{at + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN mass > 0 THEN raked * goal_{name} / mass ELSE 0 END AS raked) FROM (SELECT *, sum(raked) OVER (PARTITION BY {name}) AS mass FROM (SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, raked FROM r{at})))")
+    return (
+        ", ".join(steps)
+        + f""", ratios AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN raked / CAST(tokens AS DOUBLE) ELSE 0 END AS ratio FROM r{mixing.ROUNDS * 3}
+), w AS (SELECT source, lang, topic, round(CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0 END, 9) AS weight FROM ratios)
+SELECT doc_id, source, lang, topic, n_tokens, weight,
+       CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{mixing.SEED}'), 1, 12)) AS BIGINT) AS DOUBLE) / {float(1 << 48)} < weight AS kept
+FROM d JOIN w USING (source, lang, topic)"""
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_source_mixing, op7_pii, op8_decontamination, op9_media)}
 
 ORACLES: dict[str, str] = {
+    "op3_source_mixing": mixing_sql(),
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
