@@ -98,7 +98,7 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 3) -> Model:
     def share(at: np.ndarray, short: bool) -> np.ndarray:
         part = x[at]
         if short:  # as if the text were short: a few of its n-grams
-            part = np.stack([rng.multinomial(rng.integers(4, 80), p / p.sum()) for p in part.astype(np.float64)]).astype(np.float32)
+            part = np.stack([rng.multinomial(rng.integers(3, 80), p / p.sum()) for p in part.astype(np.float64)]).astype(np.float32)
         return part / np.maximum(part.sum(1, keepdims=True), 1)
 
     for epoch in range(EPOCHS):
@@ -114,8 +114,8 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 3) -> Model:
             bias -= 0.02 * grad.sum(0)
             emb -= rate * mean.T @ back
     weights = emb @ out
-    tests = np.concatenate([share(held, False), share(held, True)])
-    logits, truth = tests @ weights + bias, np.concatenate([y[held], y[held]])
+    tests = np.concatenate([share(held, False), *(share(held, True) for _ in range(3))])
+    logits, truth = tests @ weights + bias, np.tile(y[held], 4)
     if not len(held):
         return Model(names, weights, bias, 1.0, 0.0)
     heat = temperature(logits, truth)

@@ -1,13 +1,15 @@
 """Operator 3: mixing sources to target weights by iterative proportional fitting. DataFrame operations only.
 
 Token counts by (source, language, topic) cell are raked to target shares of
-each of the three marginals, ``ROUNDS`` times over. A document's probability is
-its cell's raked tokens over its actual tokens, scaled so that no cell exceeds
-one; it is kept if a hash of its id and the seed falls below that.
+each of the three marginals, ``ROUNDS`` times over. With r a cell's raked
+tokens over its actual tokens, its documents have the probability min(1, r) and
+the weight max(1, r), so that the sample's expected weighted tokens are the
+raked ones, in under-represented cells too. A document is kept if a hash of its
+id and the seed falls below its probability.
 
 Null source, language or text are the groups "", "" and an empty text of no
-tokens; a document without tokens gets the probability of its cell, or 0 if the
-cell has no tokens. Targets default to ``balanced``: each value's share of a
+tokens; a document without tokens has the probability of its cell, which is 0 if
+the cell has no tokens. Targets default to ``balanced``: each value's share of a
 marginal is proportional to the square root of its tokens. A target value that
 the table lacks is left out and the rest is scaled to one. Repeated rows get
 the same probability and draw; an empty table gives an empty result. Extra
@@ -68,7 +70,7 @@ def _with_goal(cells: DataFrame, name: str, targets: dict[str, float] | None) ->
 
 
 def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, weight) from ``cells`` (source, lang, topic, tokens): raked tokens over tokens, scaled to one at most.
+    """(source, lang, topic, probability, weight) from ``cells`` (source, lang, topic, tokens).
 
     Windows by one dimension at a time, so a cell table of any size stays
     distributed; the tables between steps are written to the shared folder.
@@ -82,9 +84,8 @@ def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             cells = cells.withColumn("raked", F.when(mass > 0, F.col("raked") * F.col(f"goal_{name}") / mass).otherwise(0.0))
         if at % 3 == 2:
             cells = written(cells, "raked")
-    ratios = written(cells.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0).alias("ratio")), "ratios")
-    most = ratios.agg(F.max("ratio").alias("most"))  # one row
-    return ratios.crossJoin(F.broadcast(most)).select(*DIMENSIONS, F.round(F.when(F.col("most") > 0, F.col("ratio") / F.col("most")).otherwise(0.0), 9).alias("weight"))
+    ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
+    return cells.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), ratio), 9).alias("probability"), F.round(F.greatest(F.lit(1.0), ratio), 9).alias("weight"))
 
 
 def described(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> list[Column]:
@@ -99,11 +100,11 @@ def _join(rows: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame:
 
 
 def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, kept."""
+    """One row per document: doc_id, source, lang, topic, n_tokens, probability, weight, kept."""
     rows = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *described(docs, text_col, source_col, lang_col)), "described")
     weights = fitted(cells_of(rows), targets)
     out = _join(rows, weights, list(DIMENSIONS))
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", "weight", (draw(F.col("doc_id"), seed) < F.col("weight")).alias("kept"))
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", "probability", "weight", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -113,6 +114,6 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
     names = {"source": "__refsieve_source", "lang": "__refsieve_lang", "topic": "mix_topic"}
     taken = set(docs.columns)
     rows = docs.select("*", *[c.alias(names[n]) for c, n in zip(own, DIMENSIONS, strict=False)])
-    out = _join(rows, weights.withColumnsRenamed(names | {"weight": "mix_weight"}), list(names.values()))
-    kept = out.where(draw(F.col(id_col), seed) < F.col("mix_weight"))
+    out = _join(rows, weights.withColumnsRenamed(names | {"probability": "__refsieve_p", "weight": "mix_weight"}), list(names.values()))
+    kept = out.where(draw(F.col(id_col), seed) < F.col("__refsieve_p"))
     return kept.select(*docs.columns, *[c for c in ("mix_topic", "mix_weight") if c not in taken])

@@ -61,10 +61,10 @@ def mixing_sql() -> str:
         steps.append(f"r{at + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN mass > 0 THEN raked * goal_{name} / mass ELSE 0 END AS raked) FROM (SELECT *, sum(raked) OVER (PARTITION BY {name}) AS mass FROM (SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, raked FROM r{at})))")
     return (
         ", ".join(steps)
-        + f""", ratios AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN raked / CAST(tokens AS DOUBLE) ELSE 0 END AS ratio FROM r{mixing.ROUNDS * 3}
-), w AS (SELECT source, lang, topic, round(CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0 END, 9) AS weight FROM ratios)
-SELECT doc_id, source, lang, topic, n_tokens, weight,
-       CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{mixing.SEED}'), 1, 12)) AS BIGINT) AS DOUBLE) / {float(1 << 48)} < weight AS kept
+        + f""", w AS (SELECT source, lang, topic, round(least(1, ratio), 9) AS probability, round(greatest(1, ratio), 9) AS weight
+  FROM (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN raked / CAST(tokens AS DOUBLE) ELSE 0 END AS ratio FROM r{mixing.ROUNDS * 3}))
+SELECT doc_id, source, lang, topic, n_tokens, probability, weight,
+       CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{mixing.SEED}'), 1, 12)) AS BIGINT) AS DOUBLE) / {float(1 << 48)} < probability AS kept
 FROM d JOIN w USING (source, lang, topic)"""
     )
 
