@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Ids up to this many (8 bytes each) may be broadcast; beyond it a join is shuffled.
@@ -34,6 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def send(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast ``value`` by value, classes included; what is returned gives it in Python workers, unpacked once a task."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get() -> object:
+        if not held:
+            held.append(pickle.loads(packed.value))
+        return held[0]
+
+    return get
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches, one at a time, so that long texts are never all decoded at once."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import keep_rows, map_rows, utf8
+from refsieve.llm.common import keep_rows, map_rows, send, utf8
 
 WIDTH = 10
 MAX_ITEM_BYTES = 32_000_000
@@ -116,14 +116,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans ("start:end,..." in the original text)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     indexes = [Index(block, width) for block in blocks(benchmark, item_col, item_text_col)]
-    sent = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes]
+    sent = [send(docs.sparkSession, index) for index in indexes]
 
     def row(key: int | None, text: str | None) -> tuple:
         count, hit, names = 0, None, set()
         for one in sent:
-            count, more, items = one.value.scan(text)
+            count, more, items = one().scan(text)
             hit = more if hit is None else hit if more is None else hit | more
-            names.update(one.value.names[i] for i in items)
+            names.update(one().names[i] for i in items)
         n_hit = 0 if hit is None else int(hit.sum())
         spans = original_spans(text, hit) if n_hit else []
         return key, count, n_hit, len(names), digest(list(names)), n_hit > 0, ",".join(f"{s}:{e}" for s, e in spans)
@@ -134,10 +134,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the documents that hold a window of an item."""
     indexes = [Index(block, width) for block in blocks(benchmark, item_col, item_text_col)]
-    sent = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes]
+    sent = [send(docs.sparkSession, index) for index in indexes]
     at = docs.columns.index(text_col)
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:
-        return np.array([all(one.value.scan(v.as_py())[1] is None for one in sent) for v in batch.column(at)], bool)
+        return np.array([all(one().scan(v.as_py())[1] is None for one in sent) for v in batch.column(at)], bool)
 
     return keep_rows(docs, keep)

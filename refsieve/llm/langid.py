@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import keep_rows, mix, rows_of, utf8
+from refsieve.llm.common import keep_rows, mix, rows_of, send, utf8
 from refsieve.llm.learn import fold, sample, softmax, temperature
 
 BUCKETS, WIDTH = 1 << 13, 16
@@ -155,12 +155,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, held, *sent.value.predict(text)) for key, held, text in rows_of(iter([batch]))]
+            rows = [(key, held, *sent().predict(text)) for key, held, text in rows_of(iter([batch]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     source = docs.select(F.col(id_col).cast("bigint"), (fold(id_col) == 0).alias("held"), F.col(text_col).cast("string"))
@@ -169,8 +169,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the texts that the model rejects."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     at = docs.columns.index(text_col)
-    return keep_rows(docs, lambda batch: np.array([not sent.value.predict(v.as_py())[2] for v in batch.column(at)], bool))
+    return keep_rows(docs, lambda batch: np.array([not sent().predict(v.as_py())[2] for v in batch.column(at)], bool))
 
 

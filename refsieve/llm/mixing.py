@@ -84,8 +84,9 @@ def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             cells = cells.withColumn("raked", F.when(mass > 0, F.col("raked") * F.col(f"goal_{name}") / mass).otherwise(0.0))
         if at % 3 == 2:
             cells = written(cells, "raked")
-    ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
-    return cells.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), ratio), 9).alias("probability"), F.round(F.greatest(F.lit(1.0), ratio), 9).alias("weight"))
+    total = cells.agg(F.sum("tokens").cast("double").alias("total"))  # one row
+    ratio = F.when(F.col("tokens") > 0, F.col("raked") * F.col("total") / F.col("tokens")).otherwise(0.0)
+    return cells.crossJoin(F.broadcast(total)).select(*DIMENSIONS, F.round(F.least(F.lit(1.0), ratio), 9).alias("probability"), F.round(F.greatest(F.lit(1.0), ratio), 9).alias("weight"))
 
 
 def described(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> list[Column]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from refsieve.llm.common import rows_of, shingle_set, written
+from refsieve.llm.common import rows_of, send, shingle_set, written
 from refsieve.llm.graph import components
 
 K = 5
@@ -225,7 +225,7 @@ def group_pairs(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = send(docs.sparkSession, frequent)
     schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,7 @@ def prefixes(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray]) -
         for key, text in rows_of(batches):
             tokens = shingle_set(text, k)
             if key is not None and len(tokens):
-                rows.append((key, digest(tokens), prefix(tokens, *sent.value).view(np.int64)))
+                rows.append((key, digest(tokens), prefix(tokens, *sent()).view(np.int64)))
             if len(rows) >= 1024:
                 yield _batch(rows, schema)
                 rows = []

@@ -62,7 +62,7 @@ def mixing_sql() -> str:
     return (
         ", ".join(steps)
         + f""", w AS (SELECT source, lang, topic, round(least(1, ratio), 9) AS probability, round(greatest(1, ratio), 9) AS weight
-  FROM (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN raked / CAST(tokens AS DOUBLE) ELSE 0 END AS ratio FROM r{mixing.ROUNDS * 3}))
+  FROM (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN raked * CAST(sum(tokens) OVER () AS DOUBLE) / CAST(tokens AS DOUBLE) ELSE 0 END AS ratio FROM r{mixing.ROUNDS * 3}))
 SELECT doc_id, source, lang, topic, n_tokens, probability, weight,
        CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{mixing.SEED}'), 1, 12)) AS BIGINT) AS DOUBLE) / {float(1 << 48)} < probability AS kept
 FROM d JOIN w USING (source, lang, topic)"""
