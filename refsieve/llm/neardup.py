@@ -252,8 +252,12 @@ def candidates(first: DataFrame) -> DataFrame:
     rows = written(rows, "contested-rows")
     blocks = rows.groupBy("t", F.col("g").alias("grp"), F.col("members").alias("theirs"), F.col("block").alias("their_block")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("their_pos"))
     pairs = rows.join(blocks, "t").where("g <> grp and (members < theirs or (members = theirs and g < grp)) and 4 * n <= 5 * high and 4 * low <= 5 * n")
-    met = pairs.groupBy("doc_id", "cid", "n", "g", "grp", "theirs", "their_block").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("their_pos").alias("their_pos"), F.max("high").alias("high"))
-    # For a lone member the last shared token's places bound the overlap; a block is bounded when its union is at hand.
+    met = pairs.groupBy("doc_id", "cid", "n", "g", "grp", "theirs", "their_block").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("their_pos").alias("their_pos"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # Tokens that both sets have up to where the first of their prefixes ends are in both prefixes, so among the c. What
+    # follows is at most the rest of that set; a link needs 4/9 of both sizes. The bound is loosest at an end of the sizes.
+    bound = "9 * (c + greatest((4 * n + 4) div 5, (4 * {0} + 4) div 5) - 1) >= 4 * (n + {0})"
+    met = met.withColumns({"y1": F.expr("greatest(low, (4 * n + 4) div 5)"), "y2": F.expr("least(high, (5 * n) div 4)")}).where(f"{bound.format('y1')} or {bound.format('y2')}")
+    # For a lone member the last shared token's places bound the overlap too; a block is bounded when its union is at hand.
     return met.where("theirs > 1 or 9 * (c + least(n - 1 - pos, high - 1 - their_pos)) >= 4 * (n + high)").select("doc_id", "cid", "g", "grp", F.col("their_block").alias("block"), "c")
 
 
