@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refsieve.llm import decontam, langid, licenses, media, mixing, neardup, pii, quality, toxicity
+from refsieve.llm import decontam, html_blocks, langid, licenses, media, mixing, neardup, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ FROM d JOIN w USING (source, lang, topic)"""
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_source_mixing, op4_quality, op6_license_scan, op7_pii, op8_decontamination, op9_media, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_source_mixing, op4_quality, op5_html_text, op6_license_scan, op7_pii, op8_decontamination, op9_media, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing_sql(),
