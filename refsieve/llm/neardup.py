@@ -5,8 +5,8 @@ Documents are sets of hashed ``K``-word shingles; two link when
 
 1. One scan makes, for each document, its set's size, 128-bit digest and 12
    minhashes. Equal sets are one class; only classes go on.
-2. Classes that share a band of minhashes are checked against the band's least
-   class. The links found make groups of similar classes. Groups are cut into
+2. Classes that share a band of minhashes are checked against the band's few
+   leaders. The links found make groups of similar classes. Groups are cut into
    blocks of about ``BLOCK`` members; the matrix has each block's token union.
 3. Candidate blocks come from prefix filtering, which loses no link: under one
    global token order, linked sets share a token among their first
@@ -42,7 +42,7 @@ from refsieve.llm.common import rows_of, send, shingle_set, written
 from refsieve.llm.graph import components
 
 K = 5
-BANDS, PER_BAND = 6, 2
+BANDS, PER_BAND, LEADERS = 6, 2, 4
 #: Minhashes of a pair that must agree before it is checked as a group link; a missed one is found in step 3.
 AGREE = 6
 BLOCK = 64
@@ -50,9 +50,9 @@ BLOCK = 64
 QUERIES_PER_SALT = 500
 #: Requests for sets (about 60 bytes each) up to this many are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_REQUESTS = 1_000_000
-#: Tokens listed as often repeated: a fixed memory of 0.8 MB, and only an order.
-FREQUENT = 100_000
-WINDOW_TOKENS, WINDOW_COUNT = 2_000_000, 5
+#: Tokens listed as often repeated: a fixed memory of 5 MB, and only an order.
+FREQUENT = 300_000
+WINDOW_TOKENS, WINDOW_COUNT = 2_000_000, 3
 
 _LANES = np.random.default_rng(7).integers(1, 2**63, (BANDS * PER_BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -225,14 +225,19 @@ def salted(asked: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def group_pairs(classes: DataFrame) -> DataFrame:
-    """(doc_id, cid, grp, block): classes to be checked against the least class of a band they share."""
+    """(doc_id, cid, grp, block): classes to be checked against up to LEADERS classes of each band they share.
+
+    A band's leaders are its least classes under as many hashes: in a family of
+    which only some pairs link, a class that misses one leader meets others.
+    """
     keys = [F.xxhash64(F.lit(i), F.substring("mh", 1 + 4 * PER_BAND * i, 4 * PER_BAND)) for i in range(BANDS)]
     banded = classes.select("doc_id", "cid", "n", "mh", F.explode(F.array(*keys)).alias("key"))
-    least = banded.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("many")).where("many > 1").select("key", "lead")
-    leaders = classes.select(F.col("cid").alias("lead"), F.col("n").alias("lead_n"), F.col("mh").alias("lead_mh"))
-    pairs = banded.join(least, "key").where("cid <> lead").select("doc_id", "cid", "n", "mh", "lead").distinct().join(leaders, "lead")
-    agree = sum(F.when(F.substring("mh", 1 + 4 * i, 4) == F.substring("lead_mh", 1 + 4 * i, 4), 1).otherwise(0) for i in range(BANDS * PER_BAND))
-    return pairs.where((agree >= AGREE) & F.expr("9 * least(n, lead_n) >= 4 * (n + lead_n)")).select("doc_id", "cid", F.col("lead").alias("grp"), F.lit(0).cast("bigint").alias("block"))
+    least = [F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid", "n", "mh")) for r in range(LEADERS)]
+    leads = banded.groupBy("key").agg(F.array_distinct(F.transform(F.array(*least), lambda x: F.struct(x["cid"].alias("cid"), x["n"].alias("n"), x["mh"].alias("mh")))).alias("leads"), F.count("*").alias("many")).where("many > 1").select("key", "leads")
+    met = banded.join(leads, "key").select("doc_id", "cid", "n", "mh", F.explode("leads").alias("lead"))
+    agree = sum(F.when(F.substring("mh", 1 + 4 * i, 4) == F.substring("lead.mh", 1 + 4 * i, 4), 1).otherwise(0) for i in range(BANDS * PER_BAND))
+    close = (F.col("cid") != F.col("lead.cid")) & (agree >= AGREE) & F.expr("9 * least(n, lead.n) >= 4 * (n + lead.n)")
+    return met.where(close).select("doc_id", "cid", F.col("lead.cid").alias("grp"), F.lit(0).cast("bigint").alias("block")).distinct()
 
 
 def prefixes(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
