@@ -15,7 +15,7 @@ TRUNCATED = " [registry returned a truncated author list]"
 
 
 def author_list(c: str = "authors") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[,;]"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[,;]"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def _each(form: Callable[[Column, Column], Column], lone: Callable[[Column], Column] = lambda a: a) -> Column:

@@ -54,7 +54,7 @@ def bib_escaped(x: Column) -> Column:
 
 def bib_authors() -> Column:
     """ "Smith J, Doe A" as "Smith, J and Doe, A"; "and others" after a cut list."""
-    names = F.filter(F.transform(F.split(_text(c("authors")), ","), F.trim), lambda a: a != "")
+    names = F.filter(F.transform(F.split(_text(c("authors")), ","), lambda a: F.trim(a)), lambda a: a != "")
     turned = F.transform(names, lambda a: F.regexp_replace(a, r"^(.*) (\S*)$", "$1, $2"))
     return F.concat(F.array_join(turned, " and "), F.when(F.coalesce("authors_truncated", F.lit(False)), " and others").otherwise(""))
 
@@ -94,7 +94,7 @@ def csl_names() -> Column:
         shaped = a.rlike(r"^.+ [A-Za-z][A-Za-z.]{0,3}$")
         return F.struct(F.when(shaped, F.regexp_extract(a, r"^(.+) (\S+)$", 1)).alias("family"), F.when(shaped, F.regexp_extract(a, r"^(.+) (\S+)$", 2)).alias("given"), F.when(~shaped, a).alias("literal"))
 
-    return F.transform(F.filter(F.transform(F.split(_text(c("authors")), ","), F.trim), lambda a: (a != "") & (F.lower(a) != "et al.")), one)
+    return F.transform(F.filter(F.transform(F.split(_text(c("authors")), ","), lambda a: F.trim(a)), lambda a: (a != "") & (F.lower(a) != "et al.")), one)
 
 
 def csl(rows: DataFrame) -> DataFrame:

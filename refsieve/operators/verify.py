@@ -76,7 +76,7 @@ def verify_pmid(items: DataFrame, registry: DataFrame, sequence: bool = True) ->
         (valid & (c("verdict") == "mismatch") & ~(title & authors) & ~explicit, "unknown", F.concat(F.lit("mismatch gated: "), c("details")), "mismatch_gated", c("confidence")),
         (valid & (c("verdict") == "partial") & c("title_match") & ~authors & ~_some(c("claimed_journal")) & ~_some(c("claimed_year")) & ~c("label").isin("cli", "claims") & ~c("explicit"), "correct", F.lit("existence confirmed and title matches"), "existence_title_match", F.greatest(c("confidence"), F.lit(0.8))),
         (~valid & _true(c("network_error")), "unknown", F.lit("registry unreachable (network), never counted as invalid"), "network_error", F.lit(0.0)),
-        (~valid, "invalid", F.lit("identifier not found in the registry"), "not_found", F.lit(0.0)),
+        (~valid & ~_true(c("network_error")), "invalid", F.lit("identifier not found in the registry"), "not_found", F.lit(0.0)),
     ]
     for when, verdict, details, route, confidence in steps:
         rows = rows.withColumn("__hit", when).withColumns({"verdict": F.when(c("__hit"), verdict).otherwise(c("verdict")), "details": F.when(c("__hit"), details).otherwise(c("details")), "route": F.when(c("__hit"), route).otherwise(c("route")), "confidence": F.when(c("__hit"), confidence).otherwise(c("confidence"))})

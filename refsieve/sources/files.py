@@ -138,7 +138,7 @@ def claims_csv(spark: SparkSession, path: str) -> DataFrame:
     cols = {k: F.coalesce(*[blank_to_null(F.col(n)) for n in v if n in raw.columns], F.lit(None).cast("string")) for k, v in alias.items()}
     rows = raw.select(F.monotonically_increasing_id().alias("input_ord"), *[v.alias(k) for k, v in cols.items()])
     mark = F.when(F.contains("authors", F.lit(";")), ";").when(F.contains("authors", F.lit("|")), r"\|").otherwise(",")
-    names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), mark), F.trim), lambda a: a != "")
+    names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), mark), lambda a: F.trim(a)), lambda a: a != "")
     return rows.withColumn("claimed_authors", names).drop("authors")
 
 
