@@ -112,9 +112,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
     """The sampled documents: all columns of ``docs``, and ``mix_topic`` and ``mix_weight`` after them."""
     own = described(docs, text_col, source_col, lang_col)
     weights = fitted(cells_of(docs.select(*own)), targets)
-    names = {"source": "__refsieve_source", "lang": "__refsieve_lang", "topic": "mix_topic"}
+    names = {"source": "__refsieve_source", "lang": "__refsieve_lang", "topic": "__refsieve_topic"}
     taken = set(docs.columns)
     rows = docs.select("*", *[c.alias(names[n]) for c, n in zip(own, DIMENSIONS, strict=False)])
-    out = _join(rows, weights.withColumnsRenamed(names | {"probability": "__refsieve_p", "weight": "mix_weight"}), list(names.values()))
+    out = _join(rows, weights.withColumnsRenamed(names | {"probability": "__refsieve_p", "weight": "__refsieve_weight"}), list(names.values()))
     kept = out.where(draw(F.col(id_col), seed) < F.col("__refsieve_p"))
-    return kept.select(*docs.columns, *[c for c in ("mix_topic", "mix_weight") if c not in taken])
+    return kept.select(*docs.columns, *[F.col(f"__refsieve_{c}").alias(f"mix_{c}") for c in ("topic", "weight") if f"mix_{c}" not in taken])

@@ -8,14 +8,14 @@ Documents are sets of hashed ``K``-word shingles; two link when
 2. Classes that share a band of minhashes are checked against the band's few
    leaders. The links found make groups of similar classes. Groups are cut into
    blocks of about ``BLOCK`` members; the matrix has each block's token union.
-3. Candidate blocks come from prefix filtering, which loses no link: under one
+3. Candidate groups come from prefix filtering, which loses no link: under one
    global token order, linked sets share a token among their first
    n - ceil(0.8 n) + 1. Only tokens seen in two or more groups count, and the
    smaller group's members are the queries.
 4. A block opens for a query only if the query's overlap with the block's token
    union reaches 0.8 of the query. Opened blocks are compared member by member
    until one link is found: a group is connected, so one link joins it whole.
-   A query meets its most promising block first; the rest are opened for those
+   A query meets one block of a group first; the others are opened for those
    that are still apart.
 
 The token order puts often repeated tokens last. They are counted in the first
@@ -36,13 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from refsieve.llm.common import rows_of, send, shingle_set, written
 from refsieve.llm.graph import components
 
 K = 5
-BANDS, PER_BAND, LEADERS = 6, 2, 4
+BANDS, PER_BAND, LEADERS = 6, 2, 6
 #: Minhashes of a pair that must agree before it is checked as a group link; a missed one is found in step 3.
 AGREE = 6
 BLOCK = 64
@@ -260,21 +259,21 @@ def prefixes(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray]) -
 
 
 def candidates(first: DataFrame) -> DataFrame:
-    """(doc_id, cid, g, grp, block, c): queries, and the blocks of other groups that share c of their prefix tokens."""
+    """(doc_id, cid, g, grp, blocks): queries, and the other groups, of so many blocks, that share enough of their prefix tokens."""
     tokens = first.select(F.posexplode("prefix").alias("pos", "t"), F.xxhash64("g").alias("gl"))
     contested = written(tokens.groupBy("t").agg(F.min("gl").alias("lo"), F.max("gl").alias("hi")).where("lo <> hi").select("t"), "contested")
     few = contested.count() <= BROADCAST_REQUESTS
-    rows = first.select("doc_id", "cid", "n", "g", "members", "block", F.posexplode("prefix").alias("pos", "t")).join(F.broadcast(contested) if few else contested, "t")
+    rows = first.select("doc_id", "cid", "n", "g", "members", F.posexplode("prefix").alias("pos", "t")).join(F.broadcast(contested) if few else contested, "t")
     rows = written(rows, "contested-rows")
-    blocks = rows.groupBy("t", F.col("g").alias("grp"), F.col("members").alias("theirs"), F.col("block").alias("their_block")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("their_pos"))
-    pairs = rows.join(blocks, "t").where("g <> grp and (members < theirs or (members = theirs and g < grp)) and 4 * n <= 5 * high and 4 * low <= 5 * n")
-    met = pairs.groupBy("doc_id", "cid", "n", "g", "grp", "theirs", "their_block").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("their_pos").alias("their_pos"), F.min("low").alias("low"), F.max("high").alias("high"))
+    groups = rows.groupBy("t", F.col("g").alias("grp"), F.col("members").alias("theirs")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("their_pos"))
+    pairs = rows.join(groups, "t").where("g <> grp and (members < theirs or (members = theirs and g < grp)) and 4 * n <= 5 * high and 4 * low <= 5 * n")
+    met = pairs.groupBy("doc_id", "cid", "n", "g", "grp", "theirs").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("their_pos").alias("their_pos"), F.min("low").alias("low"), F.max("high").alias("high"))
     # Tokens that both sets have up to where the first of their prefixes ends are in both prefixes, so among the c. What
     # follows is at most the rest of that set; a link needs 4/9 of both sizes. The bound is loosest at an end of the sizes.
     bound = "9 * (c + greatest((4 * n + 4) div 5, (4 * {0} + 4) div 5) - 1) >= 4 * (n + {0})"
     met = met.withColumns({"y1": F.expr("greatest(low, (4 * n + 4) div 5)"), "y2": F.expr("least(high, (5 * n) div 4)")}).where(f"{bound.format('y1')} or {bound.format('y2')}")
-    # For a lone member the last shared token's places bound the overlap too; a block is bounded when its union is at hand.
-    return met.where("theirs > 1 or 9 * (c + least(n - 1 - pos, high - 1 - their_pos)) >= 4 * (n + high)").select("doc_id", "cid", "g", "grp", F.col("their_block").alias("block"), "c")
+    # For a lone member the last shared token's places bound the overlap too; a group is bounded when its blocks' unions are at hand.
+    return met.where("theirs > 1 or 9 * (c + least(n - 1 - pos, high - 1 - their_pos)) >= 4 * (n + high)").select("doc_id", "cid", "g", "grp", F.ceil(F.col("theirs") / BLOCK).alias("blocks"))
 
 
 def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -293,15 +292,15 @@ def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
     members = grouped.select("doc_id", "cid", F.col("g").alias("grp"), "block")
     known = stars.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    order = F.row_number().over(Window.partitionBy("cid", "grp").orderBy(F.desc("c"), "block"))
-    ranked = met.withColumn("turn", order)
-    links = open_groups(docs, salted(ranked.where("turn = 1").select("doc_id", "cid", "grp", "block"), members), k)
+    met = met.withColumn("block", F.pmod(F.xxhash64("cid", "grp"), F.col("blocks")))
+    links = open_groups(docs, salted(met.select("doc_id", "cid", "grp", "block"), members), k)
     joined = components(known.union(links))
-    rest = ranked.where("turn > 1")
+    rest = met.where("blocks > 1")
     if rest.limit(1).count():
         root = joined.withColumnsRenamed({"node": "grp", "root": "its"})
         apart = rest.join(joined.withColumnRenamed("node", "cid"), "cid", "left").join(root, "grp", "left").where("not coalesce(root, cid) <=> coalesce(its, grp)")
-        links = open_groups(docs, salted(apart.select("doc_id", "cid", "grp", "block"), members), k)
+        others = apart.select("doc_id", "cid", "grp", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).where("other <> block")
+        links = open_groups(docs, salted(others.select("doc_id", "cid", "grp", F.col("other").alias("block")), members), k)
         joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
 
     rooted = classes.join(joined, classes.cid == joined.node, "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))

@@ -1,0 +1,293 @@
+"""Each operator against a brute-force version, a round trip or held-out accuracy, and on odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from refsieve.llm import decontam, html_blocks, langid, licenses, media, mixing, neardup, pii, quality, toxicity
+from refsieve.llm.graph import components
+from refsieve.llm.pagegen import generated_pages
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, pool=400):
+    return [f"w{rng.randrange(pool)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, and columns with clashing names."""
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "The house of the river", "en", "a", 3), (4, "!!! ... 123", None, "b", 9), (5, "the same text " * 30, "en", "a", 1), (5, "the same text " * 30, "en", "a", 1), (6, "The Same text " * 30, "fr", None, 1), (7, "word " * 60_000, "en", "c", 1)]
+    frame = spark.createDataFrame(rows, DOCS)
+    clash = {n: frame["n_chars"] for n in ("score", "cid", "n", "g", "probability", "mix_weight", "topic", "held_out", "lang_pred")}
+    return frame.withColumns(clash)
+
+
+# Operator 2
+
+
+def brute_components(rows):
+    sets = {}
+    for key, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[key] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: (len(sets[k]), find(k)) for k in keys}
+
+
+def test_jaccard_join(spark):
+    rng = random.Random(5)
+    rows, passage = [], words(rng, 60)
+    for base in range(14):
+        text = words(rng, rng.choice([3, 8, 40, 120, 300]), 5000)
+        for _ in range(rng.randrange(1, 9)):
+            near = list(text)
+            for _ in range(rng.randrange(0, max(2, len(text) // 40))):
+                near[rng.randrange(len(near))] = f"z{rng.randrange(99999)}"
+            rows.append(" ".join(near))
+        if base % 3 == 0:
+            rows.append(" ".join(passage + words(rng, 15, 9999)))
+    rows = [(i, t.upper() if i % 7 == 0 else t) for i, t in enumerate([*rows, "", None, "one", "one"])]
+    rng.shuffle(rows)
+    want = brute_components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_jaccard_join_on_odd_rows(odd):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.join(odd).collect()), key=str)
+    assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (None, 1, None), (4, 1, 4), (5, 3, 5), (5, 3, 5), (6, 3, 5), (7, 1, 7)], key=str)
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 4, 5, 7, None]
+    assert neardup.join(odd.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(f"{a:03}", f"{a + 1:03}") for a in range(40)] + [("900", "901"), ("901", "902"), ("905", "905")]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert {got[f"{a:03}"] for a in range(41)} == {"000"} and got["902"] == "900"
+
+
+def test_prefixes_lose_no_link():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 2**63, rng.integers(5, 80)).astype(np.uint64))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.92], rng.integers(0, 2**63, 3).astype(np.uint64)]))
+        frequent = np.sort(base[rng.random(len(base)) < 0.3])
+        if neardup.linked(base, other):
+            a, b = (neardup.prefix(s, frequent, np.arange(len(frequent))) for s in (base, other))
+            assert set(a.tolist()) & set(b.tolist())
+
+
+# Operators 7, 8, 9
+
+
+def brute_pii(text):
+    text = text or ""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    keep = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 16 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s)), "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15}
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    return [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if keep[k](m[0])]
+
+
+def test_pii_base():
+    rng = random.Random(3)
+    pieces = ["a.b@c.de", "x@y", "@@", "1.2.3.4", "300.1.1.1", "0001.002.3.4.5.6.7.8", "4111 1111 1111 1111", "4111111111111112", "+1 (366) 555-9807", "+12", "é", "ü@x.y", "a@b.c.", "--", "5500-0000-0000-0004-", "+49 30 1234567", "q@w.e@r.t", " ", "7"]
+    for _ in range(600):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(9)))
+        assert [s[:3] for s in pii.spans_of(text) if s[0] in pii.KINDS[:4]] == brute_pii(text), text
+    assert pii.spans_of(None) == [] and pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
+
+
+def test_pii_context_and_redaction(odd):
+    assert pii.spans_of("call my phone +1 (366) 555-9807")[0][3] > pii.spans_of("x +1 (366) 555-9807")[0][3]
+    assert pii.redacted("mail a@b.co or 4111111111111111.") == "mail <EMAIL> or <CARD>."
+    row = pii.summary_row(1, "a@b.co")
+    assert row[5] == hashlib.sha256(b"email:0:6").hexdigest() and pii.summary_row(1, None)[5] == hashlib.sha256(b"").hexdigest()
+    assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == 8 and pii.summarize(odd.limit(0)).count() == 0
+
+
+def brute_hits(text, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = split(text), set(), set()
+    for name, item in items:
+        v = split(item)
+        k = min(10, len(v))
+        for win in {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if k else ():
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) == win:
+                    hit |= set(range(i, i + k))
+                    found.add(name)
+    return len(w), len(hit), found
+
+
+def test_decontamination(spark, odd):
+    rng = random.Random(8)
+    items = [(str(i), " ".join(words(rng, rng.choice([0, 2, 9, 10, 25]), 60))) for i in range(12)] + [("x", None), ("y", "Élan VITAL, -- ok")]
+    index = decontam.Index(items)
+    for i in range(150):
+        text = " ".join(words(rng, 30, 60))
+        if i % 2:
+            text += " -- " + items[rng.randrange(12)][1].upper() + "; élan vital ok"
+        n, hit, found = index.scan(text)
+        assert (n, 0 if hit is None else int(hit.sum()), {index.names[j] for j in found}) == brute_hits(text, items)
+    bench = spark.createDataFrame([(1, "the same text the same text the same text the"), (2, None)], "item_id long, text string")
+    rows = {(r["doc_id"], r["n_words"], r["contaminated"]) for r in decontam.scan(odd, bench).collect()}
+    assert (5, 90, True) in rows and (1, 0, False) in rows and decontam.remove(odd, bench).count() == 5
+    assert decontam.original_spans("A, b! c", np.array([True, True, False])) == [(0, 4)]
+    assert decontam.scan(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_media(spark, odd):
+    assert media.payload_of("") == (b"\xff" * 576, 0) and len(media.payload_of("x" * 576)[0]) == 576 and len(media.payload_of("é" * 300)[0]) == 1152
+    row = media.media_row(1, "some text")
+    payload = media.payload_of("some text")[0]
+    assert row[3] == hashlib.sha256(payload).hexdigest() and row[4] == zlib.crc32(payload[-32:]) and row[2] == 576
+    pixels = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    assert (media.decode(b"P6 # c\n4 4\n255\n" + pixels.tobytes()) == pixels).all()
+    assert media.decode(b"P1\n2 2\n1 0\n0 1\n")[..., 0].tolist() == [[0, 255], [255, 0]] and media.decode(b"P2 2 1 4 0 4")[..., 0].tolist() == [[0, 255]]
+    bmp = b"BM" + (54 + 16).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (2).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"\x01\x00\x18\x00" + bytes(24) + bytes([1, 2, 3, 4, 5, 6, 0, 0, 7, 8, 9, 10, 11, 12, 0, 0])
+    assert media.decode(bmp).tolist() == [[[9, 8, 7], [12, 11, 10]], [[3, 2, 1], [6, 5, 4]]]
+    big = np.random.default_rng(1).integers(0, 256, (30, 45, 1)).astype(np.uint8)
+    want = big.reshape(6, 5, 9, 5, 1).mean(axis=(1, 3))
+    assert np.abs(media.area_resize(big, 6, 9) - want).max() <= 0.5 + 1e-6
+    got = media.describe(spark.createDataFrame([(1, bytearray(media.encode_pgm(big))), (2, bytearray(b"junk")), (3, None)], "id long, data binary")).collect()
+    assert [r["height"] for r in got] == [30, None, None] and media.text_media(odd).count() == 8
+
+
+# Operator 3
+
+
+def test_mixing(spark, odd):
+    rng = random.Random(4)
+    rows = [(i, "t " * rng.randrange(1, 40), rng.choice("ef"), rng.choice("abc"), 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"e": 0.6, "f": 0.4}, "topic": {"prose": 1.0}}
+    out = mixing.weigh(docs, targets).collect()
+    total = sum(r["n_tokens"] for r in out)
+    mass = lambda k, v: sum(r["n_tokens"] * r["probability"] * r["weight"] for r in out if r[k] == v) / total
+    assert all(abs(mass("source", s) - t) < 1e-4 for s, t in targets["source"].items()) and abs(mass("lang", "e") - 0.6) < 1e-4
+    assert all(r["kept"] for r in out if r["probability"] == 1)
+    kept = mixing.mix(odd)
+    assert kept.columns[: len(odd.columns)] == odd.columns and mixing.weigh(odd).count() == 8 and mixing.weigh(odd.limit(0)).count() == 0
+
+
+# Operators 1, 4, 10: held-out accuracy
+
+
+def test_language_id(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 150 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97 and np.mean([r["rejected"] for r in rows]) < 0.02
+    got = {(r["doc_id"], r["lang_pred"] == "und") for r in langid.predict(odd, model).collect()}
+    assert {(1, True), (2, True), (4, True), (7, False)} <= got and langid.keep_known(odd, model).columns == odd.columns
+    assert langid.fit(odd.limit(0)).predict("any text") == ("und", 0.0, True)
+    text = "Les amis de la maison " * 20_000
+    assert langid.counts(text).sum() > 0
+
+
+def test_quality(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
+    got = quality.score(odd, labels.limit(0)).collect()
+    assert len(got) == 8 and {r["score"] for r in got} == {0.5}
+
+
+def test_isotonic():
+    from refsieve.llm.learn import isotonic
+
+    x, y = isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.9]), np.array([0, 1, 0, 1, 1]))
+    assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
+
+
+def test_toxicity(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, chain).withColumnRenamed("toxic", "flag").join(labels, "doc_id").collect()
+    assert np.mean([r["flag"] for r in rows if r["toxic"] == 1]) > 0.8 and np.mean([r["flag"] for r in rows if r["toxic"] == 0]) < 0.03
+    assert toxicity.score(odd, chain).count() == 8 and not toxicity.score(odd, toxicity.train([])).where("toxic").count()
+
+
+# Operator 6
+
+
+def test_licenses(odd):
+    index = licenses.Index(licenses.TEMPLATES)
+    rng = random.Random(6)
+    for name, body in licenses.TEMPLATES.items():
+        before, after = " ".join(words(rng, 40)), " ".join(words(rng, 40))
+        found = licenses.matches(index, f"{before}\n{body}\n{after}")
+        assert [m[0] for m in found] == [name] and found[0][4] == 1
+        assert found[0][1] == len(before) + 1 + len(body) - len(body.lstrip())
+    changed = licenses.TEMPLATES["mit"].split(" ")
+    del changed[10:14]
+    assert licenses.matches(index, " ".join(changed))[0][0] == "mit" and not licenses.matches(index, " ".join(words(rng, 300))) and licenses.matches(index, None) == []
+    assert licenses.scan(odd).count() == 8 and licenses.find(odd).count() == 0
+
+
+# Operator 5
+
+
+@pytest.fixture(scope="module")
+def net():
+    return html_blocks.train(160)
+
+
+def test_blocks_match_the_pages():
+    for html, truth in generated_pages(60, 31):
+        assert [b[0] for b in html_blocks.leaf_blocks(html)] == [t for t, _ in truth]
+
+
+def test_labels_held_out(net):
+    right = total = 0
+    for html, truth in generated_pages(60, 99):
+        z = net.forward([html_blocks.encoded(html_blocks.leaf_blocks(html))])[0] > 0
+        right += int((z == np.array([y for _, y in truth])).sum())
+        total += len(truth)
+    assert right / total > 0.95
+
+
+def test_gradients():
+    net = html_blocks.Labeller(3)
+    pages = [html_blocks.encoded(html_blocks.leaf_blocks(h)) for h, _ in list(generated_pages(2, 4))]
+    y = np.concatenate([np.arange(len(p[1])) % 2 for p in pages]).astype(np.float32)
+    loss = lambda: float(np.mean(np.logaddexp(0, (z := net.forward(pages)[0].astype(float))) - y * z))
+    grads = net.gradients(pages, y)
+    for key in ("xf", "hb", "cf", "out"):
+        at = np.unravel_index(np.argmax(np.abs(grads[key])), grads[key].shape)
+        old = net.w[key][at]
+        net.w[key][at] = old + 1e-2
+        up = loss()
+        net.w[key][at] = old - 1e-2
+        assert abs((up - loss()) / 2e-2 - grads[key][at]) < 0.1 * abs(grads[key][at]) + 1e-4
+        net.w[key][at] = old
+
+
+def test_pages(spark, net):
+    html = "<html><body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One  two<br>three<!-- x --><script>s</script></p><p>Four</article><footer>Copyright</footer>"
+    assert html_blocks.main_texts(net, [html, None, "", "<p"])[0] == "T & U\nOne two three\nFour"
+    rows = spark.createDataFrame([(1, "u", html, 5), (2, None, None, 5)], "page_id long, url string, html string, text long")
+    got = {r["page_id"]: r for r in html_blocks.extract(rows, net).collect()}
+    assert got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] == "" and html_blocks.extract(rows.limit(0), net).count() == 0
