@@ -259,21 +259,24 @@ def prefixes(docs: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray]) -
 
 
 def candidates(first: DataFrame) -> DataFrame:
-    """(doc_id, cid, g, grp, blocks): queries, and the other groups, of so many blocks, that share enough of their prefix tokens."""
+    """(doc_id, cid, grp, blocks): queries, and the other groups, of so many blocks, that share enough of their prefix tokens."""
     tokens = first.select(F.posexplode("prefix").alias("pos", "t"), F.xxhash64("g").alias("gl"))
     contested = written(tokens.groupBy("t").agg(F.min("gl").alias("lo"), F.max("gl").alias("hi")).where("lo <> hi").select("t"), "contested")
     few = contested.count() <= BROADCAST_REQUESTS
     rows = first.select("doc_id", "cid", "n", "g", "members", F.posexplode("prefix").alias("pos", "t")).join(F.broadcast(contested) if few else contested, "t")
     rows = written(rows, "contested-rows")
-    groups = rows.groupBy("t", F.col("g").alias("grp"), F.col("members").alias("theirs")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("their_pos"))
-    pairs = rows.join(groups, "t").where("g <> grp and (members < theirs or (members = theirs and g < grp)) and 4 * n <= 5 * high and 4 * low <= 5 * n")
-    met = pairs.groupBy("doc_id", "cid", "n", "g", "grp", "theirs").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("their_pos").alias("their_pos"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # Tokens that both sets have up to where the first of their prefixes ends are in both prefixes, so among the c. What
-    # follows is at most the rest of that set; a link needs 4/9 of both sizes. The bound is loosest at an end of the sizes.
-    bound = "9 * (c + greatest((4 * n + 4) div 5, (4 * {0} + 4) div 5) - 1) >= 4 * (n + {0})"
-    met = met.withColumns({"y1": F.expr("greatest(low, (4 * n + 4) div 5)"), "y2": F.expr("least(high, (5 * n) div 4)")}).where(f"{bound.format('y1')} or {bound.format('y2')}")
-    # For a lone member the last shared token's places bound the overlap too; a group is bounded when its blocks' unions are at hand.
-    return met.where("theirs > 1 or 9 * (c + least(n - 1 - pos, high - 1 - their_pos)) >= 4 * (n + high)").select("doc_id", "cid", "g", "grp", F.ceil(F.col("theirs") / BLOCK).alias("blocks"))
+    # The first token that linked sets of n and m tokens share has at least 4/9 (n + m) tokens from it on in either set, so
+    # only such tokens bring a pair together. ``reach`` is the most that a group's members leave on that side of the bound.
+    groups = rows.groupBy("t", F.col("g").alias("grp"), F.col("members").alias("theirs")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("5 * n - 9 * pos")).alias("reach"))
+    sized = "g <> grp and (members < theirs or (members = theirs and g < grp)) and 4 * n <= 5 * high and 4 * low <= 5 * n"
+    pairs = rows.join(groups, "t").where(f"{sized} and reach >= 4 * n and 5 * n - 9 * pos >= 4 * greatest(low, (4 * n + 4) div 5)")
+    met = written(pairs.groupBy("doc_id", "cid", "n", "grp", "theirs").agg(F.max("high").alias("high")), "met")
+    # A pair of lone classes is then counted over its whole prefixes. Tokens that both have up to where the first of the
+    # prefixes ends are in both; what follows is at most the rest of that set. A group is bounded by its blocks' unions.
+    held = written(rows.groupBy("cid").agg(F.collect_list("t").alias("held")), "held")
+    lone = met.where("theirs = 1").join(held, "cid").join(held.select(F.col("cid").alias("grp"), F.col("held").alias("their")), "grp")
+    lone = lone.where("9 * (size(array_intersect(held, their)) + greatest((4 * n + 4) div 5, (4 * high + 4) div 5) - 1) >= 4 * (n + high)")
+    return lone.select(met.columns).union(met.where("theirs > 1")).select("doc_id", "cid", "grp", F.ceil(F.col("theirs") / BLOCK).alias("blocks"))
 
 
 def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
