@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, validators confirm them (Luhn for cards,
 octet range for IPs, digit counts for phones, mod-97 for IBANs) and context
-words near a span move its score.
+words near a span move its score. Redaction masks every confirmed span of a base
+kind; the score decides only about the kinds that context adds.
 
 Null or empty text has no spans. A null id stays null. Repeated rows give
 repeated results; nothing joins or groups, so ties cannot arise. Input columns
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from refsieve.llm.common import map_rows, rows_of
 
 #: The base kinds in output order, then the kinds that context adds.
-KINDS = ("email", "ip", "card", "phone", "iban", "secret")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "iban", "secret")
 PATTERNS = {
     "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
@@ -129,8 +131,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def summary_row(key: int | None, text: str | None) -> tuple:
     spans = spans_of(text)
-    base = [s for s in spans if s[0] in KINDS[:4]]
-    counts = [sum(s[0] == kind for s in base) for kind in KINDS[:4]]
+    base = [s for s in spans if s[0] in BASE_KINDS]
+    counts = [sum(s[0] == kind for s in base) for kind in BASE_KINDS]
     return key, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), max((s[3] for s in spans), default=0.0)
 
 
@@ -141,8 +143,8 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redacted(text: str | None, least: float = 0.5) -> str | None:
-    """The text with each span scored ``least`` or more replaced by its kind; overlapping spans become one mark, of the first."""
-    spans = sorted((s, e, k) for k, s, e, score in spans_of(text) if score >= least)
+    """The text with each base span, and each other scored ``least`` or more, replaced by its kind; overlapping spans become one mark, of the first."""
+    spans = sorted((s, e, k) for k, s, e, score in spans_of(text) if k in BASE_KINDS or score >= least)
     if not spans:
         return text
     out, done, i = [], 0, 0

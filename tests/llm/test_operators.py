@@ -126,6 +126,25 @@ def test_pii_context_and_redaction(odd):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == 8 and pii.summarize(odd.limit(0)).count() == 0
 
 
+def test_redaction_masks_every_base_span():
+    def brute_redacted(text):
+        spans, out, done = sorted((s, e, k) for k, s, e in brute_pii(text)), "", 0
+        while spans:
+            start, end, kind = spans.pop(0)
+            while spans and spans[0][0] < end:
+                end = max(end, spans.pop(0)[1])
+            out, done = f"{out}{text[done:start]}<{kind.upper()}>", end
+        return out + text[done:]
+
+    assert pii.redacted("in order to reach us +1 (366) 555-9807") == "in order to reach us <PHONE>"
+    assert pii.redacted("in order to open 10.1.2.3") == "in order to open <IP>"
+    rng = random.Random(9)
+    pieces = ["order", "version", "isbn", "call", "and", "a.b@c.de", "10.1.2.3", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (366) 555-9807", "7"]
+    for _ in range(600):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(9)))
+        assert pii.redacted(text) == brute_redacted(text), text
+
+
 def brute_hits(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = split(text), set(), set()
