@@ -7,7 +7,8 @@ WINDOW - 1 words shares one. An inverted index from fingerprint to template
 places picks candidate diagonals in a text; a banded alignment of the template
 against the text around each diagonal gives its matched words, coverage and
 span. Matches of ``COVERAGE`` or more are reported; where two overlap, the one
-with more matched words stays, then the one of the earlier name.
+with more matched words stays, then the one of the earlier name, and the
+diagonals of the other are aligned again with the words beside it.
 
 Templates too short for that guarantee are looked up at every shingle of a text.
 The index is of the size of the templates, not of the corpus. Null and empty
@@ -19,7 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -101,21 +105,18 @@ class Index:
         self.shortest = min(map(len, self.words), default=0)
 
     def diagonals(self, hashes: np.ndarray) -> dict[int, list[int]]:
-        """By template: where in the text it would begin, near ones (within BAND) taken together."""
+        """By template: each place in the text where it would begin."""
         places = np.union1d(winnow(hashes), np.flatnonzero(np.isin(hashes, self.short)))
         low, high = np.searchsorted(self.hashes, hashes[places]), np.searchsorted(self.hashes, hashes[places], side="right")
         found: dict[int, list[int]] = {}
         for i in np.flatnonzero(high > low):
             for number, at in self.entries[low[i] : high[i]]:
                 found.setdefault(number, []).append(int(places[i]) - at)
-        for number, starts in found.items():
-            starts.sort()
-            found[number] = [s for j, s in enumerate(starts) if j == 0 or s - starts[j - 1] > BAND]
-        return found
+        return {number: sorted(set(starts)) for number, starts in found.items()}
 
 
-def align(template: list[bytes], text: list[bytes], start: int) -> tuple[int, int, int]:
-    """Matched words and the first and last matched word of the text, of the best alignment within BAND of a diagonal.
+def align(template: list[bytes], text: list[bytes], start: int, low: int, high: int) -> tuple[int, int, int]:
+    """Matched words and the first and last matched word of text[low:high], of the best alignment within BAND of a diagonal.
 
     Rows are template words, columns the band; a match scores 2, a skipped word of either side costs 1.
     """
@@ -126,7 +127,7 @@ def align(template: list[bytes], text: list[bytes], start: int) -> tuple[int, in
         for j in range(width):
             at = start + i + j - BAND
             options = [(best[j + 1][0] - 1, *best[j + 1][1:])] if j + 1 < width else [(-1 - i, 0, -1, -1)]
-            if 0 <= at < len(text):
+            if low <= at < high:
                 if text[at] == word:
                     s, n, first, _ = best[j]
                     options.append((s + 2, n + 1, at if first < 0 else first, at))
@@ -140,26 +141,55 @@ def align(template: list[bytes], text: list[bytes], start: int) -> tuple[int, in
     return matched, first, last
 
 
+def free_parts(kept: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+    """The parts of words low to high (exclusive) that no kept match, of (first, last, ...) by place, covers."""
+    i = bisect_left(kept, (low,))
+    i -= i > 0 and kept[i - 1][1] >= low
+    parts = []
+    while i < len(kept) and kept[i][0] < high:
+        if low < kept[i][0]:
+            parts.append((low, kept[i][0]))
+        low = kept[i][1] + 1
+        i += 1
+    return [*parts, (low, high)] if low < high else parts
+
+
 def matches(index: Index, text: str | None) -> list[tuple[str, int, int, int, float]]:
     """(name, start, end, matched words, coverage) by start; offsets in code points, end exclusive."""
     words = words_of(text)
     if len(words) < max(1, index.shortest // 2):
         return []
-    found = []
+    # Best first: (-words, name, first, last, template, start, low, high). Before an
+    # alignment (last -1) words and first are bounds, so nothing better comes later.
+    queue: list[tuple] = []
+    need, held = {}, {}
     for number, starts in index.diagonals(shingle_hashes(words)).items():
         template = index.words[number]
+        need[number] = len(template) * (COVERAGE if len(template) > K else 1)
+        held[number] = Counter(template)
         for start in starts:
-            matched, first, last = align(template, words, start)
-            if matched >= len(template) * (COVERAGE if len(template) > K else 1):
-                found.append((-matched, index.names[number], first, last, matched / len(template)))
-    kept: list[tuple] = []
-    for one in sorted(set(found)):
-        if all(one[3] < other[2] or one[2] > other[3] for other in kept):
-            kept.append(one)
+            low, high = max(0, start - BAND), min(len(words), start + len(template) + BAND)
+            queue.append((-len(template), index.names[number], low, -1, number, start, low, high))
+    heapify(queue)
+    kept: list[tuple] = []  # (first, last, name, matched, coverage), by place
+    while queue:
+        less, name, first, last, number, start, low, high = heappop(queue)
+        template = index.words[number]
+        if last < 0 and free_parts(kept, low, high) == [(low, high)]:
+            matched, first, last = align(template, words, start, low, high)
+            if matched >= need[number]:
+                heappush(queue, (-matched, name, first, last, number, start, low, high))
+            continue
+        if last >= 0 and free_parts(kept, first, last + 1) == [(first, last + 1)]:
+            insort(kept, (first, last, name, -less, -less / len(template)))
+        for low, high in free_parts(kept, low, high):
+            bound = sum((held[number] & Counter(words[low:high])).values()) if high - low >= need[number] else 0
+            if bound >= need[number]:
+                heappush(queue, (-bound, name, low, -1, number, start, low, high))
     if not kept:
         return []
     spans = [m.span() for m in _WORD.finditer(text)]
-    return sorted(((name, spans[first][0], spans[last][1], -less, cover) for less, name, first, last, cover in kept), key=lambda m: m[1:3])
+    return sorted(((name, spans[first][0], spans[last][1], matched, cover) for first, last, name, matched, cover in kept), key=lambda m: m[1:3])
 
 
 def summary(index: Index, key: int | None, text: str | None) -> tuple:

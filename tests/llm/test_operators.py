@@ -266,6 +266,24 @@ def test_licenses(odd):
     assert licenses.scan(odd).count() == 8 and licenses.find(odd).count() == 0
 
 
+def test_adjacent_licenses():
+    index = licenses.Index(licenses.TEMPLATES)
+    for n in (1, 2, 3, 7, 40):
+        for gap in ("", "Copyright 2020 A. ", "x y z u v w "):
+            for name in ("all-rights-reserved", "cc-by-line", "mit-line", "isc"):
+                body = licenses.TEMPLATES[name]
+                found = licenses.matches(index, "".join(f"{gap}{body} " for _ in range(n)))
+                step = len(gap) + len(body) + 1
+                assert [m[:2] for m in found] == [(name, i * step + len(gap)) for i in range(n)] and {m[4] for m in found} == {1}
+    # pieces of the template that lead up to its place by steps of the band
+    body = "a b c d e f g h i j k l m n o p q r s t"
+    drift = licenses.Index({"t": body})
+    text = "p q r s t m n o p q j k l m n g h i j k d e f g h " + body
+    assert [(m[1], m[4]) for m in licenses.matches(drift, text)] == [(text.rindex(body), 1)]
+    mixed = "All rights reserved. Licensed under CC BY 4.0. All rights reserved. Released under the MIT License. Licensed under CC BY 4.0."
+    assert [m[0] for m in licenses.matches(index, mixed)] == ["all-rights-reserved", "cc-by-line", "all-rights-reserved", "mit-line", "cc-by-line"]
+
+
 # Operator 5
 
 
