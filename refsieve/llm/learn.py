@@ -31,12 +31,16 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the increasing fit of labels to scores, by pooling adjacent violators."""
+def isotonic(score: np.ndarray, label: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the increasing fit of labels to scores, by pooling adjacent violators.
+
+    With ``count``, a point stands for so many rows of one score and ``label`` is the sum of their labels.
+    """
     order = np.argsort(score, kind="stable")
+    count = np.ones(len(score)) if count is None else count
     pools: list[list[float]] = []  # sum of labels, count, sum of scores
-    for x, y in zip(score[order], label[order], strict=True):
-        pools.append([float(y), 1.0, float(x)])
+    for x, y, n in zip(score[order], label[order], count[order], strict=True):
+        pools.append([float(y), float(n), float(x) * float(n)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]

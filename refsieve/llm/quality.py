@@ -139,10 +139,7 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     if bins.empty:
         scorer.points = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     else:
-        at, n, y = bins["at"].to_numpy() / BINS, bins["n"].to_numpy(), bins["y"].to_numpy()
-        most = np.minimum(n, 1000)  # a bin's weight, by repetition
-        good = np.rint(most * y / n).astype(int)
-        scorer.points = isotonic(np.repeat(at, most), np.concatenate([np.repeat([1, 0], [g, m - g]) for g, m in zip(good, most, strict=True)]))
+        scorer.points = isotonic(bins["at"].to_numpy() / BINS, bins["y"].to_numpy(), bins["n"].to_numpy())
     return scorer
 
 

@@ -241,6 +241,25 @@ def test_isotonic():
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
 
 
+def test_isotonic_counts():
+    from refsieve.llm.learn import isotonic
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        count = rng.integers(1, 30, 12)
+        good = rng.integers(0, count + 1)
+        one = isotonic(np.arange(12), good, count)
+        many = isotonic(np.repeat(np.arange(12), count), np.concatenate([np.repeat([1, 0], [g, n - g]) for g, n in zip(good, count, strict=True)]))
+        assert np.allclose(one[0], many[0]) and np.allclose(one[1], many[1])
+
+
+def test_quality_calibrates_by_count(spark):
+    # the ridge puts 2 above 1; the calibration fold has 3,000 good of 6,000 at 1 and none of 1,000 at 2
+    rows = spark.range(7400).selectExpr("id as doc_id", "if(id < 400, 2L, 1L) as fold", f"array_repeat(if(id < 200 or id between 400 and 6399, 1D, 2D), {quality.STATS}) as x", "cast(if(id < 400, id >= 200, id < 6400 and id % 2 = 0) as int) as quality")
+    scorer = quality.fit(rows.drop("quality"), rows.select("doc_id", "quality"), "quality")
+    assert np.allclose(scorer(np.array([[1.0], [2.0]]) * np.ones(quality.STATS)), 3000.5 / 7001)
+
+
 def test_toxicity(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.fit(docs, labels)
