@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from refsieve.functions.match import cross_check
+from refsieve.functions.match import TITLE_WORDS, cross_check
 from refsieve.functions.similarity import sequence_ratio
 from refsieve.functions.text import arxiv_valid, clean_doi, doi_match, folded, has_cjk, jaccard, retraction_reason, word_set
 from refsieve.plans.schemas import EXPLICIT_LABELS
@@ -153,11 +153,33 @@ def verify_arxiv(items: DataFrame, records: DataFrame, registry: DataFrame, sequ
     return rows.join(links, "__doi", "left").withColumn("kind", F.lit("arxiv")).drop("__doi", "__a", "__b", "seq")
 
 
-def title_candidates(items: DataFrame, registry: DataFrame, most: int = 3, keys: int = 2) -> DataFrame:
-    """The ``most`` registered records nearest in words to each claimed title, of those with one of its rarest words.
+def _placed(rows: DataFrame, key: str, words: str, rare: DataFrame) -> DataFrame:
+    """(key, w, at, size): the rarest words of each row, at least one of which any record at a Jaccard of ``TITLE_WORDS`` shares."""
+    held = rows.select(key, F.explode(words).alias("w")).join(rare, "w", "left").select(key, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w").alias("s"))
+    ordered = held.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s")).select(key, F.size("s").alias("size"), F.posexplode("s").alias("at", "s"))
+    return ordered.where(c("at") <= c("size") - F.ceil(c("size") * TITLE_WORDS)).select(key, c("s.w").alias("w"), "at", "size")
 
-    Blocking on the ``keys`` words that fewest registered titles hold stands in
-    for a search engine's query; ties go to the word, then the record, first in
+
+def _near_titles(asked: DataFrame, index: DataFrame, rare: DataFrame) -> DataFrame:
+    """All (q, found, found_title, score) at a Jaccard of ``TITLE_WORDS`` or more; ``asked`` has each set of words once.
+
+    Two such sets share at least ``need`` words; those begin with the first that
+    they share, so only pairs with that many words left on both sides are scored.
+    """
+    ours = _placed(asked, "q", "q", rare)
+    theirs = _placed(index, "found", "words", rare).join(index, "found").withColumnsRenamed({"at": "their_at", "size": "their_size"})
+    need = (c("size") + c("their_size")) * (TITLE_WORDS / (1 + TITLE_WORDS)) - 1e-9
+    pairs = ours.join(theirs, "w").where(F.least(c("size") - c("at"), c("their_size") - c("their_at")) >= need)
+    return pairs.select("q", "found", "found_title", jaccard(c("q"), c("words")).alias("score")).where(c("score") >= TITLE_WORDS).distinct()
+
+
+def title_candidates(items: DataFrame, registry: DataFrame, most: int = 3, keys: int = 2, whole: bool = True) -> DataFrame:
+    """The ``most`` registered records nearest in words to each claimed title.
+
+    Candidates are all records that the ladder's words would accept and, for
+    those that only characters would or that are merely suggested, the records
+    with one of the ``keys`` words that fewest registered titles hold; not
+    ``whole``: only the latter. Ties go to the word, then the record, first in
     order.
     """
     index = registry.where("valid").select(c("pmid").alias("found"), c("title").alias("found_title"), word_set(c("title")).alias("words"))
@@ -167,6 +189,10 @@ def title_candidates(items: DataFrame, registry: DataFrame, most: int = 3, keys:
     nth = Window.partitionBy("id", "input_ord").orderBy("df", "w")
     wanted = asked.withColumn("w", F.explode("q")).join(rare, "w").withColumn("n", F.row_number().over(nth)).where(c("n") <= keys).select("id", "input_ord", "q", "w")
     pairs = wanted.join(held, "w").select("id", "input_ord", "found", "found_title", jaccard(c("q"), c("words")).alias("score")).distinct()
+    if whole:
+        sets = asked.withColumn("q", F.array_sort("q"))
+        near = _near_titles(sets.select("q").distinct(), index, rare)
+        pairs = pairs.union(sets.join(near, "q").select("id", "input_ord", "found", "found_title", "score")).distinct()
     rank = Window.partitionBy("id", "input_ord").orderBy(c("score").desc(), "found")
     return pairs.withColumn("rank", F.row_number().over(rank)).where(c("rank") <= most).select("id", "input_ord", "found", "found_title", "score", "rank")
 

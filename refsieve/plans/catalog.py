@@ -221,7 +221,7 @@ _CANDIDATES = f"""idx AS (SELECT pmid AS found, title AS found_title, {oracles.w
 
 @query(f"WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_CANDIDATES} SELECT input_ord, found, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM cand WHERE rank <= 3")
 def suggest_topk(spark: SparkSession, d: str) -> DataFrame:
-    return verify.title_candidates(synth.claims(spark, d), synth.registry(spark, d)).select("input_ord", "found", "rank", F.round("score", 6).alias("score"))
+    return verify.title_candidates(synth.claims(spark, d), synth.registry(spark, d), whole=False).select("input_ord", "found", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_CANDIDATES}, base AS (

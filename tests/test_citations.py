@@ -109,6 +109,25 @@ def test_other_legs(spark):
     assert (found["pmid"], found["verdict"]) == ("1", "correct")
 
 
+def test_title_search_finds_every_title_near_in_words(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(24)]
+    titles = [" ".join(rng.sample(pool, rng.randrange(1, 12))) for _ in range(150)]
+    claimed = [" ".join(rng.sample(t.split(), len(t.split()) - rng.randrange(2)) + rng.sample(["odd", "rare", "unheard"], rng.randrange(3))) for t in titles] + ["", None]
+    # two wrong words that are rarer than all of the record's own
+    titles += ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta theta iota", "odd", "rare"]
+    claimed.append("alpha beta gamma delta epsilon zeta odd rare")
+    registry = spark.createDataFrame([(str(i), t, True) for i, t in enumerate(titles)], "pmid string, title string, valid boolean")
+    items = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(claimed)], "id string, input_ord long, claimed_title string")
+    got = {(r["input_ord"], r["found"]) for r in verify.title_candidates(items, registry, most=1000).where("score >= 0.5").collect()}
+    near = lambda a, b: 2 * len(a & b) >= len(a | b) > 0
+    want = {(i, str(j)) for (i, a), (j, b) in itertools.product(enumerate(claimed), enumerate(titles)) if near(set((a or "").split()), set(b.split()))}
+    assert got == want and (len(claimed) - 1, "150") in want
+
+
 def test_delta_ledger_readiness(spark):
     old = spark.createDataFrame([("a", "correct", False), ("b", "mismatch", False), ("c", "correct", False), ("d", "correct", False)], "key string, verdict string, retracted boolean")
     new = spark.createDataFrame([("a", "mismatch", False, False), ("b", "correct", False, False), ("c", "partial", True, False), ("e", "correct", True, False)], "key string, verdict string, retracted boolean, network_error boolean")
