@@ -11,19 +11,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Ids up to this many (8 bytes each) may be broadcast; beyond it a join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: A table is broadcast only while its rows, at so many bytes each in a hash table, stay below this.
+BROADCAST_BYTES = 32_000_000
 
 #: A-Z to a-z on bytes; other bytes, so all non-ASCII text, stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir.
+
+    Where that is unset, a temporary one if the driver runs all tasks; on a
+    cluster, whose executors would not see it, that raises.
+    """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.refsieve.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="refsieve-")
         spark.conf.set("spark.refsieve.dir", base)
     return f"{base.rstrip('/')}/refsieve-{spark.sparkContext.applicationId}"
@@ -36,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its counted rows take less than BROADCAST_BYTES; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def send(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast ``value`` by value, classes included; what is returned gives it in Python workers, unpacked once a task."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

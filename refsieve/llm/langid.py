@@ -85,9 +85,7 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 3) -> Model:
     names = sorted({lang for lang, _, _ in rows})
     if len(names) < 2:
         return Model(names, np.zeros((BUCKETS, len(names)), np.float32), np.zeros(len(names)), 1.0, 0.0)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+    found = [(np.frombuffer(at, np.uint16), np.frombuffer(n, np.float32)) for _, at, n in rows]
     y = np.array([names.index(lang) for lang, _, _ in rows])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -96,10 +94,12 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 3) -> Model:
     out, bias = np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
 
     def share(at: np.ndarray, short: bool) -> np.ndarray:
-        part = x[at]
-        if short:  # as if the text were short: a few of its n-grams
-            part = np.stack([rng.multinomial(rng.integers(3, 80), p / p.sum()) for p in part.astype(np.float64)]).astype(np.float32)
-        return part / np.maximum(part.sum(1, keepdims=True), 1)
+        part = np.zeros((len(at), BUCKETS), np.float32)
+        for i, (where, n) in enumerate(found[j] for j in at):
+            if short:  # as if the text were short: a few of its n-grams
+                n = rng.multinomial(rng.integers(3, 80), n.astype(np.float64) / n.sum(dtype=np.float64))
+            part[i, where] = n / n.sum()
+        return part
 
     for epoch in range(EPOCHS):
         rate = RATE * 40 * (1 - epoch / EPOCHS)
@@ -114,10 +114,11 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 3) -> Model:
             bias -= 0.02 * grad.sum(0)
             emb -= rate * mean.T @ back
     weights = emb @ out
-    tests = np.concatenate([share(held, False), *(share(held, True) for _ in range(3))])
-    logits, truth = tests @ weights + bias, np.tile(y[held], 4)
     if not len(held):
         return Model(names, weights, bias, 1.0, 0.0)
+    # A batch at a time: only one batch's bucket matrix is ever held.
+    logits = np.concatenate([share(at, short) @ weights + bias for short in (False, True, True, True) for at in np.array_split(held, -(-len(held) // BATCH))])
+    truth = np.tile(y[held], 4)
     heat = temperature(logits, truth)
     p = softmax(logits / heat)
     return Model(names, weights, bias, heat, threshold(p.max(1), p.argmax(1) == truth))
