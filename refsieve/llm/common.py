@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: A table is broadcast only while its rows, at so many bytes each in a hash table, stay below this.
 BROADCAST_BYTES = 32_000_000
 
+#: Rows of an Arrow batch in written tables.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: A-Z to a-z on bytes; other bytes, so all non-ASCII text, stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -38,10 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage durably."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read back: cuts the lineage durably.
+
+    Python functions on the way get BATCH_ROWS rows at once at most, as rows may hold long texts or sets.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    usual = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, usual)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over Arrow batches; in the end, what it freed goes back to the system, as Python workers are used again."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return whole
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -102,7 +127,7 @@ def map_rows(df: DataFrame, row: Callable[..., tuple], ddl: str, size: int = 204
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return arrow_rows(schema, (row(*r) for r in rows_of(batches)), size)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(tidied(run), ddl)
 
 
 def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -112,7 +137,7 @@ def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> Da
         for batch in batches:
             yield batch.filter(pa.array(keep(batch), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def utf8(text: str | None) -> bytes:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import rows_of, send
+from refsieve.llm.common import rows_of, send, tidied
 from refsieve.llm.learn import sigmoid
 from refsieve.llm.pagegen import generated_pages
 
@@ -324,4 +324,4 @@ def extract(pages: DataFrame, net: Labeller | None = None, id_col: str = "page_i
                 texts = main_texts(sent(), [batch.column(2)[at + i].as_py() for i in range(len(part))])
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
-    return pages.select(F.col(id_col).cast("bigint"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select(F.col(id_col).cast("bigint"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(tidied(run), "page_id bigint, url string, text string, n_chars bigint")

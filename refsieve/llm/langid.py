@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import keep_rows, mix, rows_of, send, utf8
+from refsieve.llm.common import keep_rows, mix, rows_of, send, tidied, utf8
 from refsieve.llm.learn import fold, sample, softmax, temperature
 
 BUCKETS, WIDTH = 1 << 13, 16
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     learnable = docs.where(F.col(lang_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    picked = sample(learnable, SAMPLE).select("text", "lang").mapInArrow(run, ddl).collect()
+    picked = sample(learnable, SAMPLE).select("text", "lang").mapInArrow(tidied(run), ddl).collect()
     return train(sorted((r.lang, bytes(r.at), bytes(r.n)) for r in picked))
 
 
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     source = docs.select(F.col(id_col).cast("bigint"), (fold(id_col) == 0).alias("held"), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -15,11 +15,13 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def sample(labelled: DataFrame, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """At most about ``bound`` rows of ``labelled``, picked by a hash of the id: the same rows on every run."""
+    """At most about ``bound`` rows of ``labelled``, picked by a hash of the id, the least row of each id: the same rows on every run."""
     n = labelled.count()
     if n <= bound:
         return labelled
-    return labelled.where(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    picked = labelled.where(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    rest = [c for c in labelled.columns if c != id_col]
+    return picked.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("row")).select(id_col, "row.*")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import LOWER, map_rows, rows_of, send, span_hashes, utf8, word_spans
+from refsieve.llm.common import LOWER, map_rows, rows_of, send, span_hashes, tidied, utf8, word_spans
 
 K, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
@@ -215,4 +215,4 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             if found := matches(sent(), text):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[key] * len(found), *zip(*found, strict=True)], schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "id bigint, license string, start bigint, end bigint, matched bigint, coverage double")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(tidied(run), "id bigint, license string, start bigint, end bigint, matched bigint, coverage double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import map_rows, rows_of, utf8
+from refsieve.llm.common import map_rows, rows_of, tidied, utf8
 
 BLOCK, SIDE, PAD = 576, 24, b"\xff"
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*)*(\d+)")
@@ -149,4 +149,4 @@ def describe(media: DataFrame, id_col: str = "id", data_col: str = "data", side:
                 found = (None,) * 5
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((key, *found), schema, strict=True)], schema=schema)
 
-    return media.select(F.col(id_col).cast("bigint"), F.col(data_col)).mapInArrow(run, "id bigint, height bigint, width bigint, channels bigint, tile binary, dhash string")
+    return media.select(F.col(id_col).cast("bigint"), F.col(data_col)).mapInArrow(tidied(run), "id bigint, height bigint, width bigint, channels bigint, tile binary, dhash string")

@@ -13,7 +13,7 @@ the cell has no tokens. Targets default to ``balanced``: each value's share of a
 marginal is proportional to the square root of its tokens. A target value that
 the table lacks is left out and the rest is scaled to one. Repeated rows get
 the same probability and draw; an empty table gives an empty result. Extra
-columns are ignored by ``weigh`` and kept by ``mix``.
+columns are ignored by ``weigh`` and kept by ``mix``, which names its own apart.
 """
 
 from __future__ import annotations
@@ -109,12 +109,19 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The sampled documents: all columns of ``docs``, and ``mix_topic`` and ``mix_weight`` after them."""
+    """The sampled documents: all columns of ``docs``, and ``mix_topic`` and ``mix_weight`` after them.
+
+    A new column whose name is taken gets the first free one of mix_weight_2, mix_weight_3 and so on.
+    """
     own = described(docs, text_col, source_col, lang_col)
     weights = fitted(cells_of(docs.select(*own)), targets)
     names = {"source": "__refsieve_source", "lang": "__refsieve_lang", "topic": "__refsieve_topic"}
-    taken = set(docs.columns)
+    taken = {c.lower() for c in docs.columns}
     rows = docs.select("*", *[c.alias(names[n]) for c, n in zip(own, DIMENSIONS, strict=False)])
     out = _join(rows, weights.withColumnsRenamed(names | {"probability": "__refsieve_p", "weight": "__refsieve_weight"}), list(names.values()))
     kept = out.where(draw(F.col(id_col), seed) < F.col("__refsieve_p"))
-    return kept.select(*docs.columns, *[F.col(f"__refsieve_{c}").alias(f"mix_{c}") for c in ("topic", "weight") if f"mix_{c}" not in taken])
+    return kept.select(*docs.columns, *[F.col(f"__refsieve_{c}").alias(free_name(f"mix_{c}", taken)) for c in ("topic", "weight")])
+
+
+def free_name(name: str, taken: set[str]) -> str:
+    return name if name not in taken else next(new for i in range(2, len(taken) + 3) if (new := f"{name}_{i}") not in taken)

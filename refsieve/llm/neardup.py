@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from refsieve.llm.common import broadcast_if_small, rows_of, send, shingle_set, written
+from refsieve.llm.common import broadcast_if_small, rows_of, send, shingle_set, tidied, written
 from refsieve.llm.graph import components
 
 K = 5
@@ -51,12 +51,12 @@ BANDS, PER_BAND, LEADERS = 6, 2, 6
 AGREE = 6
 BLOCK = 64
 #: Queries that one task checks against one copy of a block.
-QUERIES_PER_SALT = 500
+QUERIES_PER_SALT = 128
 #: Bytes of a row in a broadcast hash table: of a request for a set, of a lone token.
 REQUEST_BYTES, TOKEN_BYTES = 160, 32
 #: Tokens listed as often repeated: a fixed memory of 5 MB, and only an order.
 FREQUENT = 300_000
-WINDOW_TOKENS, WINDOW_COUNT = 2_000_000, 3
+WINDOW_TOKENS, WINDOW_COUNT = 500_000, 3
 #: Classes whose set a task remembers to have written already; a forgotten one is written again.
 REMEMBERED = 100_000
 
@@ -165,7 +165,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
         if rows:
             yield _batch(rows, SKETCH)
 
-    return docs.mapInArrow(run, SKETCH_DDL)
+    return docs.mapInArrow(tidied(run), SKETCH_DDL)
 
 
 def _repeated(window: dict[bytes, np.ndarray]) -> tuple:
@@ -222,7 +222,7 @@ def checked(shipped: DataFrame) -> DataFrame:
             yield _batch(rows, schema)
 
     dealt = shipped.select("grp", "block", "salt", "side", "cid", "rid", "tokens").repartition("grp", "block", "salt").sortWithinPartitions("grp", "block", "salt", "side")
-    return dealt.mapInArrow(run, CHECKED)
+    return dealt.mapInArrow(tidied(run), CHECKED)
 
 
 def _long(n: int) -> Column:
@@ -288,7 +288,7 @@ def unions(sketched: DataFrame, grouped: DataFrame) -> DataFrame:
 
     asked = written(grouped.where("members > 1").select("rid", F.col("g").alias("grp"), "block"), "matrix-members")
     dealt = sets_of(sketched, asked).select("grp", "block", "tokens").repartition("grp", "block").sortWithinPartitions("grp", "block")
-    return written(dealt.mapInArrow(run, "grp binary, block bigint, tokens binary"), "matrix")
+    return written(dealt.mapInArrow(tidied(run), "grp binary, block bigint, tokens binary"), "matrix")
 
 
 def prefixes(sketched: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -306,7 +306,7 @@ def prefixes(sketched: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Da
         if rows:
             yield _batch(rows, schema)
 
-    return sketched.where("rid is not null").select("rid", "tokens").mapInArrow(run, "rid bigint, prefix array<bigint>")
+    return sketched.where("rid is not null").select("rid", "tokens").mapInArrow(tidied(run), "rid bigint, prefix array<bigint>")
 
 
 def candidates(first: DataFrame) -> DataFrame:
@@ -430,4 +430,4 @@ def with_digest(docs: DataFrame, k: int, text_col: str) -> DataFrame:
             sets = (shingle_set(None if (text := v.as_py()) is None else str(text), k) for v in batch.column(at))
             yield batch.append_column("__refsieve_cid", pa.array([digest(s) if len(s) else None for s in sets], pa.binary()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__refsieve_cid", BinaryType())]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField("__refsieve_cid", BinaryType())]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import map_rows, rows_of
+from refsieve.llm.common import map_rows, rows_of, tidied
 
 #: The base kinds in output order, then the kinds that context adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -126,7 +126,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             if spans := spans_of(text):
                 yield pa.RecordBatch.from_pylist([{"id": key, "kind": k, "start": s, "end": e, "value": text[s:e], "score": score} for k, s, e, score in spans], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "id bigint, kind string, start bigint, end bigint, value string, score double")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(tidied(run), "id bigint, kind string, start bigint, end bigint, value string, score double")
 
 
 def summary_row(key: int | None, text: str | None) -> tuple:
@@ -168,4 +168,4 @@ def redact(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataF
             new = pa.array((redacted(v.as_py(), least) for v in column), type=column.type)
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import rows_of, send, utf8, written
+from refsieve.llm.common import rows_of, send, tidied, utf8, written
 from refsieve.llm.learn import fold, isotonic
 
 FEATURES, SCALE, RIDGE = 160, 3.0, 1e-3
@@ -71,7 +71,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     source = docs.select(F.col(id_col).cast("bigint"), fold(id_col).cast("bigint"), F.col(text_col).cast("string"))
-    return written(source.mapInArrow(run, "doc_id bigint, fold bigint, x array<double>"), "statistics")
+    return written(source.mapInArrow(tidied(run), "doc_id bigint, fold bigint, x array<double>"), "statistics")
 
 
 class Kernel:
@@ -124,7 +124,7 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
             total += np.concatenate([(z.T @ z).ravel(), z.T @ y])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "v"])
 
-    summed = main.select("x", "y").mapInArrow(parts, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
+    summed = main.select("x", "y").mapInArrow(tidied(parts), "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
     gram, moment = summed[: size * size].reshape(size, size), summed[size * size :]
     beta = np.linalg.solve(gram + RIDGE * gram[-1, -1] * np.diag([*np.ones(FEATURES), 0.0]) / FEATURES + 1e-9 * np.eye(size), moment)
     scorer = Scorer(kernel, beta, None)
@@ -135,7 +135,7 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
             at = np.clip(np.rint(held().raw(_matrix(batch.column(0))) * BINS), -BINS, 2 * BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["at", "y"])
 
-    bins = known.where(F.col("fold") == CALIBRATION).select("x", "y").mapInArrow(binned, "at bigint, y double").groupBy("at").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toPandas().sort_values("at")
+    bins = known.where(F.col("fold") == CALIBRATION).select("x", "y").mapInArrow(tidied(binned), "at bigint, y double").groupBy("at").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toPandas().sort_values("at")
     if bins.empty:
         scorer.points = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     else:
@@ -154,4 +154,4 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             held = batch.column(1).to_numpy(zero_copy_only=False) == 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(p), pa.array((p >= LEAST).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, score double, predicted int")

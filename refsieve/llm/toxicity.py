@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import rows_of, send, span_hashes, utf8, word_spans
+from refsieve.llm.common import rows_of, send, span_hashes, tidied, utf8, word_spans
 from refsieve.llm.learn import fold, sample, sigmoid
 
 CATEGORIES = ("explicit", "coded", "toxic")
@@ -133,16 +133,17 @@ def train(rows: list[tuple[int, bytes]]) -> Chain:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Chain:
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     picked = sample(marked.where(fold() != 0), SAMPLE)
-    schema = pa.schema([("y", pa.int64()), ("found", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("found", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, features(text).tobytes()) for y, text in rows_of(iter([batch]))]
+            rows = [(key, y, features(text).tobytes()) for key, y, text in rows_of(iter([batch]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    # The sample is bounded, so its ids are broadcast to the scan of the texts.
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("y").cast("bigint"), "text")
-    return train(sorted((int(r.y), bytes(r.found)) for r in texts.mapInArrow(run, "y bigint, found binary").collect()))
+    # The sample is bounded, so its ids are broadcast to the scan of the texts; of each id one text is taken.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("y").cast("bigint"), "text")
+    found = texts.mapInArrow(tidied(run), "doc_id bigint, y bigint, found binary").groupBy("doc_id").agg(F.min(F.struct("y", "found")).alias("row"))
+    return train(sorted((int(r.y), bytes(r.found)) for r in found.select("row.*").collect()))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,4 +160,4 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     source = docs.select(F.col(id_col).cast("bigint"), (fold(id_col) == 0).alias("held"), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, held_out boolean, p_explicit double, p_coded double, score double, toxic boolean")
+    return source.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, p_explicit double, p_coded double, score double, toxic boolean")

@@ -172,8 +172,31 @@ def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, "the same text the same text the same text the"), (2, None)], "item_id long, text string")
     rows = {(r["doc_id"], r["n_words"], r["contaminated"]) for r in decontam.scan(odd, bench).collect()}
     assert (5, 90, True) in rows and (1, 0, False) in rows and decontam.remove(odd, bench).count() == 5
-    assert decontam.original_spans("A, b! c", np.array([True, True, False])) == [(0, 4)]
+    assert decontam.runs_of("A, b! c", np.array([True, True, False])) == [(0, 1, 0, 4)]
     assert decontam.scan(odd, bench.limit(0)).where("contaminated").count() == 0
+    nameless = spark.createDataFrame([(None, "the same text the same text the same text the"), (None, "text the same text the same text the same text the")], "item_id long, text string")
+    got = [r for r in decontam.scan(odd, nameless).collect() if r["doc_id"] == 5]
+    assert {(r["n_items"], r["contaminated"], r["items_sha256"]) for r in got} == {(1, True, hashlib.sha256(b"").hexdigest())} and decontam.remove(odd, nameless).count() == 5
+
+
+def test_decontamination_in_blocks(spark, odd, monkeypatch):
+    rng = random.Random(18)
+    items = [(i % 25 if i % 9 else None, " ".join(words(rng, rng.choice([0, 3, 10, 40]), 50))) for i in range(30)] + [(99, " ".join(words(rng, 300, 50)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(words(rng, 30, 50)) + " - " + (items[i % 31][1].upper() if i % 2 else "") for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[7]), (200, None)], "doc_id long, text string")
+    once = sorted(map(tuple, decontam.scan(docs, bench).collect()), key=str)
+    kept = sorted(map(tuple, decontam.remove(docs, bench).collect()), key=str)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 700)
+    assert len(list(decontam.blocks(bench, "item_id", "text"))) > 5
+    assert sorted(map(tuple, decontam.scan(docs, bench).collect()), key=str) == once
+    assert sorted(map(tuple, decontam.remove(docs, bench).collect()), key=str) == kept
+    assert decontam.remove(odd, bench).columns == odd.columns
+    for key, n, n_hit, n_items, _, bad, spans in once:
+        if key is not None and key < 80:
+            count, hit, names = brute_hits(texts[key], items)
+            assert (n, n_hit, n_items, bad) == (count, hit, len(names), bool(hit)), key
+            assert sum(len(re.findall(r"[^\W_]+", texts[key][int(a) : int(b)])) for a, b in (x.split(":") for x in spans.split(",") if x)) == n_hit
 
 
 def test_media(spark, odd):
