@@ -8,11 +8,14 @@ context. It is trained on generated pages (``pagegen``) of many layouts.
 
 Character references are decoded, white space (line breaks by br included) in a
 block becomes one space, blocks are trimmed and joined by newlines in page
-order. Scripts, styles, comments, unrendered elements and markup never reach a
-block. Null, empty and textless pages give an empty text. Unclosed tags,
-comments and quotes are read as browsers read them, or nearly so. Pages of any
-length are labelled as one sequence. Repeated rows give repeated results; extra
-columns are not read.
+order. Scripts, styles, templates, form fields, the head's title, comments and
+markup never reach a block; all other text does, fallback content and formulas
+included. The network reads a path's ``PATH_WORDS`` innermost words. Null, empty
+and textless pages give an empty text. Unclosed tags, comments and quotes are
+read as browsers read them, or nearly so: after a quote that never closes, tags
+end at the first ``>``. Reading takes time in proportion to a page's length.
+Pages of any length are labelled as one sequence. Repeated rows give repeated
+results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -33,7 +37,7 @@ from refsieve.llm.pagegen import generated_pages
 
 #: Element names by how they are read.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-UNSEEN = frozenset("script style noscript template textarea select svg iframe object title math audio video canvas".split())
+UNSEEN = frozenset("script style template textarea select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KEPT_INLINE = frozenset("a button label".split())
 SAME_LEVEL = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
@@ -41,8 +45,10 @@ _TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)
 _LOOSE = re.compile(r"</?([A-Za-z][^\s/>]*+)([^>]*+)>")
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
+_NAME = re.compile(r"</?[A-Za-z]")
 
 PATHS, WORDS = 1 << 10, 1 << 11
+PATH_WORDS, STEPS = 16, 4096
 PATH_DIM, LEAF_DIM, WORD_DIM, MEASURES, HIDDEN = 12, 8, 8, 7, 16
 INPUT = PATH_DIM + LEAF_DIM + WORD_DIM + MEASURES
 PAGES, EPOCHS, BATCH, RATE = 480, 8, 16, 0.01
@@ -51,47 +57,66 @@ CELLS = 20_000
 
 
 class Block:
-    __slots__ = ("linked", "path", "pieces")
+    __slots__ = ("depth", "linked", "path", "pieces")
 
     def __init__(self, path: tuple[str, ...]) -> None:
-        self.path, self.pieces, self.linked = path, [], 0
+        self.path, self.pieces, self.linked, self.depth = path, [], 0, 0
 
     @property
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
 
 
-def _close(stack: list[tuple[str, tuple[str, ...]]], name: str, stops: tuple[str, ...] = ()) -> bool:
-    """Close the innermost ``name`` unless one of ``stops`` is met first."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
-            del stack[i:]
-            return True
-        if stack[i][0] in stops:
-            return False
-    return False
+class Stack:
+    """Open elements, (name, path words), and where each name is open: closing looks at no more than it removes."""
 
+    def __init__(self) -> None:
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
 
-def leaf_blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path words, characters in links) of the blocks with text, in page order."""
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, words))
+
+    def close(self, name: str, stops: tuple[str, ...] = ()) -> None:
+        """Close the innermost ``name`` and all in it, unless one of ``stops`` is open in it."""
+        if not (places := self.at.get(name)) or any(self.at.get(stop, [-1])[-1:] > places[-1:] for stop in stops):
+            return
+        place = places[-1]
+        for other, _ in self.open[place:]:
+            self.at[other].pop()
+        del self.open[place:]
+
+    def path(self) -> tuple[str, ...]:
+        """The innermost path words, outermost first."""
+        found: list[str] = []
+        for _, words in reversed(self.open):
+            found[:0] = words
+            if len(found) >= PATH_WORDS:
+                break
+        return tuple(found[-PATH_WORDS:])
+
+
+def leaf_blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int, int]]:
+    """(text, path words, characters in links, open elements) of the blocks with text, in page order."""
     html = html or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    done: list[Block] = []
+    stack, done = Stack(), []
     now = Block(())
-    at, size = 0, len(html)
+    at, size, last = 0, len(html), html.rfind(">")
+    strict, unclosed = True, set()
 
     def turn() -> None:
         nonlocal now
         if now.pieces:
             done.append(now)
-        now = Block(tuple(w for _, words in stack for w in words))
+            now = Block(())
 
     def say(piece: str) -> None:
         if piece:
             if not now.pieces:
-                now.path = tuple(w for _, words in stack for w in words)
+                now.path, now.depth = stack.path(), len(stack.open)
             now.pieces.append(unescape(piece))
-            if any(name == "a" for name, _ in stack[-3:]):
+            if any(name == "a" for name, _ in stack.open[-3:]):
                 now.linked += len(piece)
 
     while at < size:
@@ -108,23 +133,32 @@ def leaf_blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             end = html.find(">", low)
             at = size if end < 0 else end + 1
             continue
-        m = _TAG.match(html, low) or _LOOSE.match(html, low)
-        if not m:
+        if low > last or not _NAME.match(html, low):
             say("<")
             at = low + 1
             continue
+        m = _TAG.match(html, low) if strict else None
+        if not m:
+            strict = False
+            if not (m := _LOOSE.match(html, low)):
+                say("<")
+                at = low + 1
+                continue
         at, name = m.end(), m[1].lower()
         if html[low + 1] == "/":
             if name in BLOCKS or name in KEPT_INLINE:
                 if name in BLOCKS:
                     turn()
-                _close(stack, name)
-                if name in BLOCKS:
-                    turn()
+                stack.close(name)
             continue
         if name in UNSEEN:
-            end = re.compile(rf"</{re.escape(name)}\s*+>?", re.IGNORECASE).search(html, at)
-            at = size if end is None and name in ("script", "style") else at if end is None else end.end()
+            end = None if name in unclosed else re.compile(rf"</{name}\s*+>?", re.IGNORECASE).search(html, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = size
+            else:
+                unclosed.add(name)
             continue
         if name in VOID:
             if name == "hr":
@@ -135,21 +169,20 @@ def leaf_blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if name in BLOCKS:
             turn()
             if name == "body":
-                _close(stack, "head")
-            _close(stack, "p", ("table", "button")) if name not in SAME_LEVEL or name in ("li", "dt", "dd") else None
+                stack.close("head")
+            if name not in SAME_LEVEL or name in ("li", "dt", "dd"):
+                stack.close("p", ("table", "button"))
             if name in SAME_LEVEL:
-                _close(stack, name, SAME_LEVEL[name])
+                stack.close(name, SAME_LEVEL[name])
         elif name not in KEPT_INLINE:
             continue
         marks = [w for g in _MARK.findall(m[2]) for w in _PART.findall("".join(g).lower())] if m[2] else []
-        stack.append((name, (name, *(f".{w}" for w in marks[:6]))))
-        if name in BLOCKS:
-            turn()
+        stack.push(name, (name, *(f".{w}" for w in marks)))
     turn()
-    return [(text, b.path, b.linked) for b in done if (text := b.text)]
+    return [(text, b.path, b.linked, b.depth) for b in done if (text := b.text)]
 
 
-def encoded(blocks: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[np.ndarray], list[int], list[np.ndarray], np.ndarray]:
+def encoded(blocks: list[tuple[str, tuple[str, ...], int, int]]) -> tuple[list[np.ndarray], list[int], list[np.ndarray], np.ndarray]:
     """Path numbers, leaf number, word numbers and measures of each block."""
     known: dict[str, int] = {}
 
@@ -161,14 +194,14 @@ def encoded(blocks: list[tuple[str, tuple[str, ...], int]]) -> tuple[list[np.nda
 
     paths, leaves, words = [], [], []
     measures = np.zeros((len(blocks), MEASURES), np.float32)
-    for i, (text, path, linked) in enumerate(blocks):
+    for i, (text, path, linked, depth) in enumerate(blocks):
         tags = [p for p in path if p[0] != "."]
-        paths.append(np.array([number(p, PATHS) for p in path[-16:]] or [0]))
+        paths.append(np.array([number(p, PATHS) for p in path] or [0]))
         leaves.append(number("/".join(tags[-2:]), PATHS))
         split = text.lower().split()
         words.append(np.array([number(w, WORDS) for w in split]))
         n = len(text)
-        measures[i] = (np.log1p(len(split)) / 4, linked / max(n, 1), min(1.0, 20 * sum(text.count(c) for c in ".,;:!?") / n), min(1.0, 5 * sum(text.count(c) for c in "0123456789") / n), i / len(blocks), len(tags) / 10, 1.0)
+        measures[i] = (np.log1p(len(split)) / 4, linked / max(n, 1), min(1.0, 20 * sum(text.count(c) for c in ".,;:!?") / n), min(1.0, 5 * sum(text.count(c) for c in "0123456789") / n), i / len(blocks), min(1.0, depth / 10), 1.0)
     return paths, leaves, words, measures
 
 
@@ -256,6 +289,28 @@ class Labeller:
         both = np.hstack([hf[t, b], hb[turn, b]])
         return (both @ self.w["out"] + self.w["bias"])[:, 0], (x, back, where, turn, kf, kb, both)
 
+    def scores(self, pages: list[tuple]) -> np.ndarray:
+        """What ``forward`` gives, without its record for the gradients: both directions at once, STEPS of input at a time."""
+        x, _, (t, b, sizes, _) = self.inputs(pages)
+        turn = np.array(sizes)[b] - 1 - t
+        back = np.zeros_like(x)
+        back[turn, b] = x[t, b]
+        steps, n = x.shape[:2]
+        weights, recur = np.stack([self.w["xf"], self.w["xb"]]), np.stack([self.w["hf"], self.w["hb"]])
+        start = np.stack([self.w["cf"], self.w["cb"]])[:, None]
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        states = np.empty((steps, 2, n, HIDDEN), np.float32)
+        for at in range(0, steps, STEPS):
+            part = np.stack([x[at : at + STEPS], back[at : at + STEPS]], 1)
+            pre = np.matmul(part, weights) + start
+            for s in range(len(pre)):  # padding comes last, so what follows a page's end is not read
+                z = pre[s] + np.matmul(h, recur)
+                gates = 1 / (1 + np.exp(-np.clip(z[..., : 3 * HIDDEN], -35, 35)))
+                c = gates[..., HIDDEN : 2 * HIDDEN] * c + gates[..., :HIDDEN] * np.tanh(z[..., 3 * HIDDEN :])
+                h = states[at + s] = gates[..., 2 * HIDDEN :] * np.tanh(c)
+        both = np.hstack([states[t, 0, b], states[turn, 1, b]])
+        return (both @ self.w["out"] + self.w["bias"])[:, 0]
+
     def gradients(self, pages: list[tuple], labels: np.ndarray) -> dict[str, np.ndarray]:
         logits, (x, back, (t, b, _, bags), turn, kf, kb, both) = self.forward(pages)
         into = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -271,8 +326,9 @@ class Labeller:
         return into
 
 
+@cache
 def train(pages: int = PAGES, seed: int = 1) -> Labeller:
-    """Adam on generated pages."""
+    """Adam on generated pages; trained once a driver process."""
     rng = np.random.default_rng(seed)
     data = []
     for html, truth in generated_pages(pages, seed):
@@ -303,7 +359,7 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
     while order:
         most = max(1, CELLS // len(blocks[order[-1]]))
         group, order = order[-most:], order[:-most]
-        logits, _ = net.forward([encoded(blocks[i]) for i in group])
+        logits = net.scores([encoded(blocks[i]) for i in group])
         at = 0
         for i in group:
             out[i] = "\n".join(b[0] for b, z in zip(blocks[i], logits[at : at + len(blocks[i])], strict=True) if z > 0)
