@@ -3,7 +3,8 @@
 Images are numpy arrays of shape (height, width, channels), 8-bit. ``decode``
 reads PBM/PGM/PPM (plain and raw, up to 16 bits a sample, scaled to 8) and
 uncompressed BMP (1, 4, 8, 24, 32 bits). ``area_resize`` averages exact areas
-by integral images. Tiles are NPY files; ``dhash`` is a 64-bit difference hash.
+by integral images, a strip of rows at a time. Tiles are NPY files; difference
+hashes have 64 bits.
 
 A text column is treated as a byte payload: UTF-8, padded with bytes 255 to a
 positive multiple of 576, stored as a grey PGM of 24 columns (24 x 24 pixels a
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from refsieve.llm.common import map_rows, rows_of, tidied, utf8
 
 BLOCK, SIDE, PAD = 576, 24, b"\xff"
+#: Rows of a picture that are summed at once.
+STRIP = 1 << 14
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*)*(\d+)")
 
 
@@ -93,28 +96,41 @@ def _bounds(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return low, edges - low
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target pixel's exact source area, from one integral image with linear interpolation at its edges."""
-    sums = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, pixels.shape[2]))
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=sums[1:, 1:])
-    low, part = _bounds(pixels.shape[0], height)
-    rows = sums[low] * (1 - part)[:, None, None] + sums[np.minimum(low + 1, pixels.shape[0])] * part[:, None, None]
-    low, part = _bounds(pixels.shape[1], width)
-    both = rows[:, low] * (1 - part)[None, :, None] + rows[:, np.minimum(low + 1, pixels.shape[1])] * part[None, :, None]
-    area = pixels.shape[0] * pixels.shape[1] / (height * width)
-    return np.clip(np.rint((both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]) / area), 0, 255).astype(np.uint8)
-
-
-def dhash(pixels: np.ndarray) -> str:
-    """64 bits, one for each pair of neighbours of an 8 x 9 grey thumbnail, in hex."""
-    small = area_resize(pixels, 8, 9).astype(np.int64).sum(2)
-    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
-
-
-def npy_tile(pixels: np.ndarray, side: int = SIDE) -> bytes:
+def _integral_rows(pixels: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The integral image's rows ``edges`` (sorted, 0 to height), STRIP rows of the picture at a time."""
+    out = np.zeros((len(edges), pixels.shape[1] + 1, pixels.shape[2]))
+    total = np.zeros(out.shape[1:])
+    for at in range(0, pixels.shape[0], STRIP):
+        sums = np.cumsum(np.cumsum(pixels[at : at + STRIP], 0, dtype=np.float64), 1)
+        first, last = np.searchsorted(edges, (at + 1, at + len(sums) + 1))
+        out[first:last] = total
+        out[first:last, 1:] += sums[edges[first:last] - at - 1]
+        total[1:] += sums[-1]
+    return out
+
+
+def area_resize(pixels: np.ndarray, *sizes: tuple[int, int]) -> list[np.ndarray]:
+    """For each (height, width) the mean of each target pixel's exact source area, by an integral image with linear interpolation at its edges."""
+    bounds = [_bounds(pixels.shape[0], height) for height, _ in sizes]
+    edges = np.unique(np.concatenate([np.minimum(low + d, pixels.shape[0]) for low, _ in bounds for d in (0, 1)]))
+    sums, out = _integral_rows(pixels, edges), []
+    for (low, part), (height, width) in zip(bounds, sizes, strict=True):
+        above, below = sums[np.searchsorted(edges, low)], sums[np.searchsorted(edges, np.minimum(low + 1, pixels.shape[0]))]
+        rows = above * (1 - part)[:, None, None] + below * part[:, None, None]
+        low, part = _bounds(pixels.shape[1], width)
+        both = rows[:, low] * (1 - part)[None, :, None] + rows[:, np.minimum(low + 1, pixels.shape[1])] * part[None, :, None]
+        area = pixels.shape[0] * pixels.shape[1] / (height * width)
+        out.append(np.clip(np.rint((both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]) / area), 0, 255).astype(np.uint8))
+    return out
+
+
+def features(pixels: np.ndarray, side: int = SIDE) -> tuple[bytes, str]:
+    """The NPY tile, and 64 bits in hex, one for each pair of neighbours of an 8 x 9 grey thumbnail: one integral image for both."""
+    tile, small = area_resize(pixels, (side, side), (8, 9))
     out = io.BytesIO()
-    np.save(out, area_resize(pixels, side, side), allow_pickle=False)
-    return out.getvalue()
+    np.save(out, tile, allow_pickle=False)
+    grey = small.astype(np.int64).sum(2)
+    return out.getvalue(), np.packbits(grey[:, 1:] > grey[:, :-1]).tobytes().hex()
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -127,12 +143,13 @@ def media_row(key: int | None, text: str | None) -> tuple:
     stored = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE))
     pixels = decode(stored)
     back = pixels.tobytes()
-    return key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), dhash(pixels), hashlib.sha256(npy_tile(pixels)).hexdigest()
+    tile, feature = features(pixels)
+    return key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tile
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the digests of its payload as read back, of the stored image and of its NPY tile."""
-    ddl = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile_sha256 string"
+    """One row per document: the digests of its payload as read back and of the stored image, its difference hash and its NPY tile."""
+    ddl = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile binary"
     return map_rows(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")), media_row, ddl)
 
 
@@ -144,8 +161,8 @@ def describe(media: DataFrame, id_col: str = "id", data_col: str = "data", side:
         for key, data in rows_of(batches):
             try:
                 pixels = decode(data or b"")
-                found = (*pixels.shape, npy_tile(pixels, side), dhash(pixels))
-            except (ValueError, struct.error, IndexError):
+                found = (*pixels.shape, *features(pixels, side))
+            except (ValueError, struct.error, IndexError, OverflowError):
                 found = (None,) * 5
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((key, *found), schema, strict=True)], schema=schema)
 
