@@ -354,7 +354,7 @@ def group_pairs(sketched: DataFrame, grouped: DataFrame, matrix: DataFrame, aske
 
 
 def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The sketch of every document, and (cid, component_id) of every class of equal sets."""
+    """The sketch of every document, and (cid, root, component_id) of every class of equal sets: ids may repeat, roots name one component."""
     sketched = written(sketch(docs.where("doc_id is not null"), k), "sketch")
     named = sketched.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("rid").alias("rid"), F.min("mh").alias("mh"))
     classes = written(named, "classes")
@@ -383,7 +383,7 @@ def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     rooted = grouped.join(joined.withColumnRenamed("node", "g"), "g", "left").select("cid", "doc_id", F.coalesce("root", "g").alias("root"))
     rooted = written(rooted, "rooted")
     least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    return sketched, written(rooted.join(least, "root").select("cid", "component_id"), "components")
+    return sketched, written(rooted.join(least, "root").select("cid", "root", "component_id"), "components")
 
 
 def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,7 +414,7 @@ def keep_one(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
         return kept
     same = kept[id_col].cast("bigint") == F.col("__refsieve_twice")
     twice = with_digest(kept.join(repeated, same, "left_semi"), k, text_col)
-    best = rows.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "cid")).alias("best")).select(F.col("best.doc_id").alias("__refsieve_id"), F.col("best.cid").alias("__refsieve_best"))
+    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "cid")).alias("best")).select(F.col("best.doc_id").alias("__refsieve_id"), F.col("best.cid").alias("__refsieve_best"))
     picked = twice.join(best, (twice[id_col].cast("bigint") == F.col("__refsieve_id")) & (F.col("__refsieve_cid") == F.col("__refsieve_best")), "left_semi")
     whole = F.struct(*docs.columns)
     picked = picked.groupBy(F.col(id_col).alias("__refsieve_id"), "__refsieve_cid").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
