@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refsieve.functions.similarity import sequence_ratio
-from refsieve.functions.text import first_year, folded, has_cjk, jaccard, word_set
+from refsieve.functions.text import first_year, folded, has_cjk, shared_ratio, word_set
 
 TITLE_WORDS, TITLE_SEQUENCE = 0.5, 0.9
 REGISTRY_AUTHORS = 10
@@ -14,41 +14,59 @@ REGISTRY_AUTHORS = 10
 JOURNAL_STOP, ABBREV_STOP = ["the", "of", "and", "journal", "j"], ["of", "and", "the", "in", "on", "for"]
 
 
-def surname(name: Column) -> Column:
-    """Of "Family AB", "A Family" and single names; lower case, without trailing marks; "" for blanks."""
-    parts = F.filter(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda p: p != "")
+def surname(parts: Column) -> Column:
+    """Of a name's parts, "Family AB" or "A Family" or one alone; lower case, without trailing marks; "" for blanks."""
     first, last = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
     initial_first = (F.length(first) == 1) | F.contains(first, F.lit("."))
     picked = F.when((F.size(parts) > 1) & initial_first, last).otherwise(first)
-    return F.regexp_replace(F.lower(F.coalesce(picked, F.lit(""))), "[.,]+$", "")
+    return F.rtrim(F.lower(F.coalesce(picked, F.lit(""))), F.lit(".,"))
 
 
 def surnames(names: Column) -> Column:
-    return F.filter(F.transform(names, surname), lambda s: F.length(s) >= 2)
+    # Parts first, so that the picking reads a lambda's variable and splits each name once.
+    parts = F.transform(names, lambda n: F.split(F.trim(F.regexp_replace(F.coalesce(n, F.lit("")), r"\s+", " ")), " "))
+    return F.filter(F.transform(parts, surname), lambda s: F.length(s) >= 2)
 
 
-def author_check(claimed: Column, actual: Column) -> dict[str, Column]:
-    """ran, full_skip, any_skip, hits, match of two author lists.
+def with_authors(rows: DataFrame, claimed: str = "claimed_authors", actual: str = "authors") -> DataFrame:
+    """``rows`` with author_ran, author_full_skip, author_any_skip, author_hits and author_match of two author lists.
 
     Names in another script than the registry's carry no signal and are dropped;
     if none is left the check is skipped. A claimed surname hits if it is part of
-    a registered one; two hits are needed when two or more are compared.
+    a registered one; two hits are needed when two or more are compared. Each
+    step is a projection of its own, so that nothing is computed twice.
     """
-    ours, theirs = surnames(claimed), surnames(F.slice(actual, 1, REGISTRY_AUTHORS))
-    some = (F.coalesce(F.size(ours), F.lit(0)) > 0) & (F.coalesce(F.size(theirs), F.lit(0)) > 0)
-    their_cjk = F.exists(theirs, has_cjk)
-    mixed = some & (F.exists(ours, has_cjk) != their_cjk)
-    kept = F.when(mixed, F.filter(ours, lambda s: has_cjk(s) == their_cjk)).otherwise(ours)
-    full = mixed & (F.size(kept) == 0)
-    hits = F.size(F.filter(kept, lambda c: F.exists(theirs, lambda a: F.contains(a, c))))
-    ran = some & ~full
-    match = ran & (hits >= F.when(F.size(kept) >= 2, 2).otherwise(1))
-    false = F.lit(False)
-    return {"ran": F.coalesce(ran, false), "full_skip": F.coalesce(full, false), "any_skip": F.coalesce(mixed, false), "hits": F.when(ran, hits), "match": F.coalesce(match, false)}
+    c, false = F.col, F.lit(False)
+    rows = rows.withColumns({"__ours": surnames(c(claimed)), "__theirs": surnames(F.slice(c(actual), 1, REGISTRY_AUTHORS))})
+    some = (F.coalesce(F.size("__ours"), F.lit(0)) > 0) & (F.coalesce(F.size("__theirs"), F.lit(0)) > 0)
+    rows = rows.withColumns({"__some": some, "__cjk": has_cjk(F.array_join("__theirs", " ")), "__our_cjk": has_cjk(F.array_join("__ours", " "))})
+    rows = rows.withColumn("author_any_skip", F.coalesce(c("__some") & (c("__our_cjk") != c("__cjk")), false))
+    rows = rows.withColumn("__kept", F.when(c("author_any_skip"), F.filter("__ours", lambda s: has_cjk(s) == c("__cjk"))).otherwise(c("__ours")))
+    rows = rows.withColumn("author_full_skip", c("author_any_skip") & (F.size("__kept") == 0))
+    rows = rows.withColumn("author_ran", c("__some") & ~c("author_full_skip"))
+    hits = F.size(F.filter("__kept", lambda ours: F.exists("__theirs", lambda theirs: F.contains(theirs, ours))))
+    rows = rows.withColumn("author_hits", F.when(c("author_ran"), hits))
+    enough = c("author_hits") >= F.when(F.size("__kept") >= 2, 2).otherwise(1)
+    return rows.withColumn("author_match", F.coalesce(c("author_ran") & enough, false)).drop("__ours", "__theirs", "__some", "__cjk", "__our_cjk", "__kept")
+
+
+#: Names of more words are compared by a walk over the words instead of a pattern, whose matcher recurs.
+PATTERN_WORDS = 200
 
 
 def _words_in_order(words: Column, pool: Column) -> Column:
-    """Whether each word begins a later word of the pool, taken greedily; the state is the next place, -1 once failed."""
+    """Whether each word begins a later word of the pool, taken greedily.
+
+    The words become one pattern: each skips as few words of the pool as it can
+    and never gives a place back, so matching is linear and stays in one function.
+    """
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"(?>(?:\S+ )*?\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\S*(?: |$))")))
+    pattern = F.concat(F.lit("^"), F.array_join(quoted, ""))
+    return F.when(F.size(pool) <= PATTERN_WORDS, F.regexp_like(F.array_join(pool, " "), pattern)).otherwise(_walk(words, pool))
+
+
+def _walk(words: Column, pool: Column) -> Column:
+    """The same, word by word; the state is the next place, -1 once failed."""
     n = F.size(pool)
 
     def step(at: Column, word: Column) -> Column:
@@ -70,8 +88,8 @@ def journal_abbreviates(short: Column, full: Column) -> Column:
 def journal_match(claimed: Column, actual: Column) -> Column:
     a, b = F.lower(F.trim(claimed)), F.lower(F.trim(actual))
     words = lambda c: F.array_except(F.array_distinct(F.split(c, r"\s+")), F.array(*map(F.lit, [*JOURNAL_STOP, ""])))
-    common = F.size(F.array_intersect(words(a), words(b))) / F.least(F.size(words(a)), F.size(words(b)))
-    near = (F.size(words(a)) > 0) & (F.size(words(b)) > 0) & (common >= 0.5)
+    ours, theirs = words(a), words(b)
+    near = (2 * F.size(F.array_intersect(ours, theirs)) >= F.least(F.size(ours), F.size(theirs))) & (F.size(ours) > 0) & (F.size(theirs) > 0)
     return F.coalesce(F.contains(b, a) | F.contains(a, b) | near | journal_abbreviates(claimed, actual) | journal_abbreviates(actual, claimed), F.lit(False))
 
 
@@ -92,7 +110,9 @@ def compared(rows: DataFrame, sequence: bool = True) -> DataFrame:
     ct, at = F.col("claimed_title"), F.col("title")
     both = _some(ct) & _some(at)
     skip = both & (has_cjk(ct) != has_cjk(at))
-    rows = rows.withColumns({"title_ran": both, "title_skipped": skip, "word_ratio": F.when(both & ~skip, jaccard(word_set(ct), word_set(at)))})
+    rows = rows.withColumns({"title_ran": both, "title_skipped": skip, "__cw": F.when(both, word_set(ct)), "__rw": F.when(both, word_set(at))})
+    rows = rows.withColumn("__shared", F.size(F.array_intersect("__cw", "__rw")))
+    rows = rows.withColumn("word_ratio", F.when(F.col("title_ran") & ~F.col("title_skipped"), shared_ratio(F.col("__shared"), F.size("__cw"), F.size("__rw")))).drop("__cw", "__rw", "__shared")
     if sequence:
         a, b = folded(ct), folded(at)
         may = (2 * F.least(F.length(a), F.length(b)) >= TITLE_SEQUENCE * (F.length(a) + F.length(b))) & (F.col("word_ratio") < TITLE_WORDS)
@@ -100,14 +120,13 @@ def compared(rows: DataFrame, sequence: bool = True) -> DataFrame:
         rows = rows.withColumn("seq_ratio", sequence_ratio("seq_a", "seq_b")).drop("seq_a", "seq_b")
     else:
         rows = rows.withColumn("seq_ratio", F.lit(None).cast("double"))
-    author = author_check(F.col("claimed_authors"), F.col("authors"))
+    rows = with_authors(rows)
     journal_ran = _some(F.col("claimed_journal")) & _some(F.col("journal"))
     year = first_year(F.col("pubdate"))
     year_ran = _some(F.col("claimed_year")) & (year != "")
     return rows.withColumns(
         {
             "title_match": F.coalesce((F.col("word_ratio") >= TITLE_WORDS) | (F.coalesce(F.col("seq_ratio"), F.lit(0.0)) >= TITLE_SEQUENCE), F.lit(False)),
-            **{f"author_{k}": v for k, v in author.items()},
             "journal_ran": journal_ran,
             "journal_match": journal_ran & journal_match(F.col("claimed_journal"), F.col("journal")),
             "year_ran": year_ran,
@@ -144,9 +163,15 @@ def graded(rows: DataFrame) -> DataFrame:
         (c("title_match"), "partial", F.lit("title matches but author/journal not claimed or differ")),
         (F.lit(True), "mismatch", listed(miss(title & ~c("title_match"), "title differs"), miss(~skipped & ~c("author_match"), "author differs"), journal_miss, year_miss)),
     ]
-    verdict, details = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for when, name, text in reversed(steps):
-        verdict, details = F.when(when, F.lit(name)).otherwise(verdict), F.when(when, text).otherwise(details)
+    # The first rule that holds is found once; verdict and details are read off its number.
+    rule = F.lit(len(steps) - 1)
+    for i in range(len(steps) - 2, -1, -1):
+        rule = F.when(steps[i][0], i).otherwise(rule)
+    rows = rows.withColumn("__rule", rule)
+    details = F.lit(None).cast("string")
+    for i, (_, _, text) in enumerate(steps):
+        details = F.when(c("__rule") == i, text).otherwise(details)
+    verdict = F.get(F.array(*[F.lit(name) for _, name, _ in steps]), c("__rule"))
     compared_authors = authors & _any(c("authors"))
     return rows.withColumns(
         {
@@ -158,7 +183,7 @@ def graded(rows: DataFrame) -> DataFrame:
             "field_journal": F.when(c("journal_ran") & ~(c("title_skipped") & far & ~c("journal_match")), c("journal_match")),
             "field_year": F.when(c("year_ran"), c("year_match")),
         }
-    )
+    ).drop("__rule")
 
 
 def cross_check(rows: DataFrame, sequence: bool = True) -> DataFrame:

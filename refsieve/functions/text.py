@@ -96,10 +96,14 @@ def word_set(c: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, [*STOP_WORDS, ""])))
 
 
+def shared_ratio(shared: Column, ours: Column, theirs: Column) -> Column:
+    """Jaccard of two sets from how many elements they share and have; 0 if either is empty."""
+    return F.when((ours > 0) & (theirs > 0), shared.cast("double") / (ours + theirs - shared)).otherwise(0.0)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two word sets; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))).otherwise(0.0)
+    return shared_ratio(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
 
 def has_cjk(c: Column) -> Column:

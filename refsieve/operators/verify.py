@@ -78,8 +78,17 @@ def verify_pmid(items: DataFrame, registry: DataFrame, sequence: bool = True) ->
         (~valid & _true(c("network_error")), "unknown", F.lit("registry unreachable (network), never counted as invalid"), "network_error", F.lit(0.0)),
         (~valid & ~_true(c("network_error")), "invalid", F.lit("identifier not found in the registry"), "not_found", F.lit(0.0)),
     ]
-    for when, verdict, details, route, confidence in steps:
-        rows = rows.withColumn("__hit", when).withColumns({"verdict": F.when(c("__hit"), verdict).otherwise(c("verdict")), "details": F.when(c("__hit"), details).otherwise(c("details")), "route": F.when(c("__hit"), route).otherwise(c("route")), "confidence": F.when(c("__hit"), confidence).otherwise(c("confidence"))})
+    # No two of them hold at once, so the number of the one that does says all.
+    hit = F.lit(-1)
+    for i, (when, *_) in enumerate(steps):
+        hit = F.when(when, i).otherwise(hit)
+    rows = rows.withColumn("__hit", hit)
+    made = {}
+    for at, name in enumerate(("verdict", "details", "route", "confidence"), 1):
+        made[name] = c(name)
+        for i, step in enumerate(steps):
+            made[name] = F.when(c("__hit") == i, step[at]).otherwise(made[name])
+    rows = rows.withColumns(made)
     rows = rows.withColumn("verdict", capped_splice(c("verdict"), c("doi_splice")))
     flagged = valid & _true(c("retracted"))
     rows = rows.withColumns({"details": retraction_details(c("verdict"), c("details"), flagged), "verdict": capped_retraction(c("verdict"), flagged), "retracted": flagged, "valid": valid, "network_error": _true(c("network_error"))})

@@ -46,7 +46,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a citation of a part, right or wrong in one of eight ways; a third is scanned, not vouched for."""
     o = F.col("o_orderkey")
     part = registry(spark, sf_dir).select(F.col("pmid").alias("id"), "title", "authors", "journal", "pubdate", "doi")
-    rows = table(spark, sf_dir, "orders").select(o.alias("input_ord"), "o_custkey", (o % CLASSES).alias("class"), (F.col("o_custkey") + 10_000_000).cast("string").alias("id"))
+    # The file is one row group and so one task; real claims come in many, so these are dealt to all cores.
+    orders = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)
+    rows = orders.select(o.alias("input_ord"), "o_custkey", (o % CLASSES).alias("class"), (F.col("o_custkey") + 10_000_000).cast("string").alias("id"))
     rows = rows.join(part, "id")
     kind, key = F.col("class"), F.col("o_custkey")
     title = F.when(kind.isin(1, 2), F.when(kind == 1, F.concat(F.lit("unrelated survey number "), (key % 17).cast("string")))).when(kind == 6, F.concat(F.lit("trial of "), F.regexp_replace("title", " trial ", " "))).otherwise(F.col("title"))
