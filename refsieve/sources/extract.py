@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Patterns in the order in which hits are emitted.
+#: The patterns of each kind, in the order in which hits are emitted.
 PMID = (r"(?i)PMID[:\s]*(\d{4,9})", r"(?i)pubmed[:\s]*(\d{4,9})", r"(?i)pubmed\.ncbi\.nlm\.nih\.gov/(\d{4,9})/")
-_STOPS = r"[^\s\"'<>),;\]"
-DOI = (rf"(?i)(?:https?://(?:dx\.)?doi\.org/|doi:\s*)(10\.\d{{4,9}}/{_STOPS}?&=]+)", rf"(?i)\b(10\.\d{{4,9}}/{_STOPS}?&=]+)")
-ARXIV = (rf"(?i)arxiv\.org/(?:abs|pdf|format)/({_STOPS}]+)", rf"(?i)arxiv:\s*({_STOPS}]+)")
+DOI = (r"(?i)(?:https?://(?:dx\.)?doi\.org/|doi:\s*)(10\.\d{4,9}/[^\s\"'<>),;\]?&=]+)", r"(?i)\b(10\.\d{4,9}/[^\s\"'<>),;\]?&=]+)")
+ARXIV = (r"(?i)arxiv\.org/(?:abs|pdf|format)/([^\s\"'<>),;\]]+)", r"(?i)arxiv:\s*([^\s\"'<>),;\]]+)")
 _PREFIX = re.compile(r"(?:(?:https?://(?:dx\.)?doi\.org/|dx\.doi\.org/|doi\.org/|doi:)\s*)+")
 _TAIL = ".,;:。，；）」】)]}!?！？\"”’' \t\n"
 #: Characters of context before and after a hit.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from refsieve.functions.text import blank_to_null
 
 #: Extensions that a scan reads; the largest part of an archive; tags that break lines.
-EXTENSIONS = ("md", "txt", "html", "htm", "json", "csv", "docx", "pptx", "nxml", "xml")
+EXTENSIONS = ("md", "txt", "html", "htm", "json", "docx", "pptx", "nxml", "jats", "xml")
 PART_LIMIT = 64 << 20
 BREAKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article table ul ol blockquote pre td th dt dd figcaption header footer".split())
 JATS_BREAKS = frozenset("p sec title article-title ref mixed-citation element-citation abstract caption list-item tr td th break".split())
@@ -82,17 +83,17 @@ def jats_text(data: bytes) -> str:
     if local(root) not in ("article", "pmc-articleset") and not any(local(e) == "front" for e in root.iter()):
         raise ValueError("not JATS")
     out: list[str] = []
-
-    def walk(e: ElementTree.Element) -> None:
-        line = local(e) in JATS_BREAKS
-        out.append(("\n" if line else "") + (e.text or ""))
-        out.extend(f" {v} " for k, v in e.attrib.items() if k.rpartition("}")[2] == "href")
-        for child in e:
-            walk(child)
-            out.append(child.tail or "")
-        out.append("\n" if line else "")
-
-    walk(root)
+    todo = [("open", root)]  # a stack, as depth is the document's choice
+    while todo:
+        step, e = todo.pop()
+        line = "\n" if local(e) in JATS_BREAKS else ""
+        if step == "open":
+            out += [line, e.text or "", *(f" {v} " for k, v in e.attrib.items() if k.rpartition("}")[2] == "href")]
+            todo.append(("close", e))
+            for child in reversed(e):
+                todo += [("tail", child), ("open", child)]
+        else:
+            out.append(line if step == "close" else e.tail or "")
     return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[^\S\n]+", " ", "".join(out))).strip()
 
 
@@ -105,7 +106,7 @@ def decode(path: str, data: bytes) -> tuple[str, str, bool]:
         return raw, form, False
     try:
         return readers[form](data), form, False
-    except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, zlib.error, KeyError, ValueError, RuntimeError, EOFError, ElementTree.ParseError):  # encrypted, too deep and unknown packings among them
         return raw, "text", True
 
 
