@@ -173,17 +173,18 @@ def graded(rows: DataFrame) -> DataFrame:
         details = F.when(c("__rule") == i, text).otherwise(details)
     verdict = F.get(F.array(*[F.lit(name) for _, name, _ in steps]), c("__rule"))
     compared_authors = authors & _any(c("authors"))
-    return rows.withColumns(
-        {
-            "verdict": verdict,
-            "details": details,
-            "confidence": F.when(checks > 0, wins / checks).otherwise(0.0),
-            "field_title": F.when(c("title_ran") & ~c("title_skipped"), c("title_match")),
-            "field_author": F.when(compared_authors & ~c("author_full_skip"), c("author_match")),
-            "field_journal": F.when(c("journal_ran") & ~(c("title_skipped") & far & ~c("journal_match")), c("journal_match")),
-            "field_year": F.when(c("year_ran"), c("year_match")),
-        }
-    ).drop("__rule")
+    made = {
+        "verdict": verdict,
+        "details": details,
+        "confidence": F.when(checks > 0, wins / checks).otherwise(0.0),
+        "field_title": F.when(c("title_ran") & ~c("title_skipped"), c("title_match")),
+        "field_author": F.when(compared_authors & ~c("author_full_skip"), c("author_match")),
+        "field_journal": F.when(c("journal_ran") & ~(c("title_skipped") & far & ~c("journal_match")), c("journal_match")),
+        "field_year": F.when(c("year_ran"), c("year_match")),
+    }
+    # One struct a row, unpacked by a generator: a filter on what it gives is not rewritten into all
+    # that it is made of, as one on projected columns would be.
+    return rows.select(*[x for x in rows.columns if x != "__rule"], F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
 
 
 def cross_check(rows: DataFrame, sequence: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ functions, which render bounded summaries.
 from __future__ import annotations
 
 import json
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -116,10 +117,16 @@ def reference_list(rows: DataFrame, style: str) -> DataFrame:
         name = F.lower(F.coalesce(F.get(author_list(), F.lit(0)), F.lit("")))
         rows = numbered(rows, [name, c("input_ord")], F.substring(name, 1, 3))
     else:
-        rows = numbered(rows, [c("input_ord")], F.floor(c("input_ord") / 65536))
+        span = rows.agg(F.min("input_ord").cast("double").alias("__low"), (F.max("input_ord").cast("double") + 1).alias("__high"))  # one row
+        rows = rows.crossJoin(F.broadcast(span))
+        rows = numbered(rows, [c("input_ord")], F.width_bucket(c("input_ord").cast("double"), c("__low"), c("__high"), F.lit(BUCKETS)))
     return rows.select("section", "n", "pmid", reference(style, c("n")).alias("entry"))
 
 
+#: Ranges of the input order within which places are counted.
+BUCKETS = 4096
+
+
 def numbered(rows: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
     """Rows with ``n``, their place within their section.
 
@@ -176,7 +183,8 @@ def evidence_pack(rows: DataFrame, path: str) -> None:
     """Eight folders under ``path``: audit, bibtex, ris, csl, csv, references, ledger, summary."""
     shown = display(rows)
     write_lines(audit_items(rows), "item", ["input_ord"], f"{path}/audit")
-    write_lines(bibtex(shown), "entry", ["input_ord"], f"{path}/bibtex")
+    whole = bibtex(shown).select(F.lit(0).alias("part"), "input_ord", "entry").union(bib_total(shown).select(F.lit(1), F.lit(0), "entry"))
+    write_lines(whole, "entry", ["part", "input_ord"], f"{path}/bibtex")
     write_lines(ris(shown), "entry", ["input_ord"], f"{path}/ris")
     write_lines(csl(shown), "item", ["input_ord"], f"{path}/csl")
     csv_rows(shown).orderBy("input_ord").write.mode("overwrite").csv(f"{path}/csv", header=True)
@@ -186,32 +194,123 @@ def evidence_pack(rows: DataFrame, path: str) -> None:
     counts.crossJoin(readiness(counts)).write.mode("overwrite").json(f"{path}/summary")
 
 
-def report(rows: DataFrame, path: str) -> None:
-    """A report by the path's extension: .json, .jsonl (a folder), .md, .html or .csv; anything else is refused (K0).
+#: Marks of the verdicts and of a field that agrees, differs or was not compared.
+ICONS = {"correct": "✅", "mismatch": "⚠️", "partial": "🔶", "invalid": "❌"}
+FIELD_MARKS = ("✓", "✗", "—")
+#: How many rows of each category of a change report a readable report lists; the counts cover all.
+LISTED = {"newly_retracted": 50, "degraded": 20, "improved": 20, "new": 20, "dropped": 20}
+HONESTY = (
+    "Network failures are reported as unknown, never as not found, and are not cached.",
+    "A missing retraction record is no evidence that there is no retraction.",
+    "Cached records of ids that were not found expire after 3 days, others after 30 by default.",
+    "A paper retracted after it was cached shows when its record expires.",
+    "Papers under an expression of concern are not flagged.",
+)
+
 
-    The single-file forms are for reports that a person reads, so their rows are
+def text_rows(rows: DataFrame) -> DataFrame:
+    """(input_ord, line): each row as a person reads it, with evidence by field and suggestions (K1)."""
+    have = set(rows.columns)
+    icon = F.lit("❓")
+    for verdict, mark in ICONS.items():
+        icon = F.when(c("verdict") == verdict, mark).otherwise(icon)
+    label = F.when(c("kind") == "arxiv", "arXiv ").when((c("kind") == "doi") & (_text(c("pmid")) == ""), "DOI ").otherwise("PMID ") if {"kind", "pmid"} <= have else F.lit("PMID ")
+    yes, no, none = FIELD_MARKS
+    marks = F.array_join(F.array(*[F.concat(F.lit(f"{k} "), F.when(c(f"field_{k}"), yes).when(~c(f"field_{k}"), no).otherwise(none)) for k in ("title", "author", "journal", "year")]), " · ")
+    line = lambda head, x, most=90: F.when(_text(x) != "", F.concat(F.lit(f"\n   {head}: "), F.substring(x, 1, most)))
+    known = F.concat_ws("", line("Actual", c("title")), line("Claimed", c("claimed_title")), line("Details", c("details"), 100_000), F.concat(F.lit("\n   Evidence: "), marks))
+    if "replacement_pmids" in have:
+        known = F.concat_ws("", known, F.concat(F.lit("\n   ♻ same-topic records, no verdicts: "), F.array_join("replacement_pmids", ", ")))
+    if "suggested_pmids" in have:
+        known = F.concat_ws("", known, F.array_join(F.transform(F.slice("suggested_pmids", 1, 2), lambda s: F.concat(F.lit("\n   → PMID "), s["pmid"], F.lit(" - "), s["title"])), ""))
+    body = F.when(F.coalesce("valid", F.lit(False)), known).otherwise(F.concat(F.lit("\n   Error: "), F.coalesce(F.nullif(c("details"), F.lit("")), F.lit("?"))))
+    return rows.select("input_ord", F.concat(icon, F.lit(" "), label, _text(c("id")), F.lit(" ("), _text(c("label")), F.lit(") ["), c("verdict"), F.lit("]"), body).alias("line"))
+
+
+def text_head(counts: DataFrame) -> DataFrame:
+    """(at, line): readiness, counts and warnings above the rows of a text report."""
+    both = counts.crossJoin(readiness(counts).select("line"))  # one row each
+    number = lambda k: c(k).cast("string")
+    results = F.concat(F.lit("Results: "), number("correct"), F.lit("/"), number("total"), F.lit(" correct, "), number("mismatch"), F.lit(" mismatch, "), number("invalid"), F.lit(" invalid, "), number("partial"), F.lit(" partial, "), number("unknown"), F.lit(" unknown"))
+    warn = lambda k, text: F.when(c(k) > 0, F.concat(F.lit("⚠ "), number(k), F.lit(f" {text}")))
+    lines = F.array(F.concat(F.lit("Readiness: "), c("line")), results, warn("unmatched", "relevance warnings"), warn("network_errors", "could not be verified (network); unknown, not invalid"), warn("retracted", "point to retracted papers; capped at partial"), warn("doi_splice", "claim a DOI other than the registered one; capped at partial"))
+    return both.select(F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("at", "line"))
+
+
+def bib_total(rows: DataFrame) -> DataFrame:
+    """The remark that ends a BibTeX export: how many entries were kept, commented out and left out."""
+    counts = export_counts(rows)
+    return counts.select(F.concat(F.lit("% total: "), c("included").cast("string"), F.lit(" included, "), c("partial").cast("string"), F.lit(" partial (commented), "), c("excluded").cast("string"), F.lit(" excluded")).alias("entry"))
+
+
+def jsonl_lines(rows: DataFrame) -> DataFrame:
+    """(part, input_ord, line): a JSON object per row, then one with the counters (K3)."""
+    body = rows.select(F.lit(0).alias("part"), "input_ord", F.to_json(F.struct(*rows.columns)).alias("line"))
+    tail = stats(rows).select(F.struct("*").alias("_stats")).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("input_ord"), F.to_json(F.struct("_stats")).alias("line"))
+    return body.union(tail)
+
+
+def delta_lines(changes: DataFrame) -> DataFrame:
+    """(at, n, line): a change report's counts, then the first rows of each category by key (K5)."""
+    sizes = changes.groupBy("category").agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("m"))  # five categories at most
+    counts = F.array_join(F.array(*[F.concat(F.lit(f"{k.replace('_', ' ')}: "), F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0)).cast("string")) for k in LISTED]), " · ")
+    head = whole.select(F.lit(0).alias("at"), F.lit(0).alias("n"), counts.alias("line"))
+    most, place, mark = F.lit(0), F.lit(0), F.lit("")
+    for i, ((name, limit), sign) in enumerate(zip(LISTED.items(), "⚠↓↑+−", strict=True), 1):
+        most, place, mark = (F.when(c("category") == name, F.lit(x)).otherwise(y) for x, y in ((limit, most), (i, place), (sign, mark)))
+    rows = changes.withColumns({"n": F.row_number().over(Window.partitionBy("category").orderBy("key")), "at": place}).where(c("n") <= most)
+    moved = F.when(c("category").isin("degraded", "improved"), F.concat(F.lit(": "), c("was"), F.lit(" → "), c("now"))).otherwise("")
+    return head.union(rows.select("at", "n", F.concat(F.lit("- "), mark, F.lit(" "), markdown_safe(c("key")), moved)))
+
+
+def audit_document(rows: DataFrame, options: dict, changes: DataFrame | None = None) -> dict:
+    """All of an audit but its citations: tool, options, summary, changes and what the reader should know (K7)."""
+    made = {"tool": {"name": "refsieve", "options": options}, "summary": stats(rows).first().asDict(), "readiness": readiness(stats(rows)).first().asDict(), "honesty_notes": list(HONESTY)}
+    made["delta_vs_baseline"] = None if changes is None else {r["category"]: r["n"] for r in changes.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    return made
+
+
+_FILTERS = """<p><button onclick="pick('')">all</button> <button onclick="pick('correct')">correct</button> <button onclick="pick('mismatch')">mismatch</button> <button onclick="pick('partial')">partial</button> <button onclick="pick('invalid')">invalid</button> <button onclick="pick('unknown')">unknown</button></p>
+<script>function pick(v){document.querySelectorAll('tr').forEach(function(r){r.hidden=v!==''&&r.className!==v})}</script>
+"""
+
+
+def report(rows: DataFrame, path: str, options: dict | None = None, changes: DataFrame | None = None) -> None:
+    """A report by the path's extension: .json, .jsonl (a folder), .md, .html, .csv or .txt; anything else is refused (K0).
+
+    ``changes`` are the rows of ``rollup.delta`` against an earlier run. The
+    single-file forms are for reports that a person reads, so their rows are
     streamed to the file, not collected.
     """
     form = Path(path).suffix.lower()
     if form == ".jsonl":
-        rows.orderBy("input_ord").write.mode("overwrite").json(path)
+        write_lines(jsonl_lines(rows), "line", ["part", "input_ord"], path)
         return
-    if form not in (".json", ".md", ".html", ".csv"):
+    if form not in (".json", ".md", ".html", ".csv", ".txt"):
         raise ValueError(f"no report form for {form or path!r}")
-    shown, counts = display(rows), stats(rows).first().asDict()
+    shown = display(rows)
+    told = [] if changes is None else [r["line"] for r in delta_lines(changes).orderBy("at", "n").toLocalIterator()]
     with open(path, "w", encoding="utf-8-sig" if form == ".csv" else "utf-8") as out:
         if form == ".json":
-            out.write(f'{{"stats": {json.dumps(counts)}, "results": [')
+            whole = json.dumps(audit_document(rows, options or {}, changes), ensure_ascii=False)
+            out.write(f'{whole[:-1]}, "citations": [')
             for i, r in enumerate(audit_items(rows).orderBy("input_ord").toLocalIterator()):
                 out.write((", " if i else "") + r["item"])
             out.write("]}\n")
         elif form == ".md":
             out.write("| id | verdict | confidence | claimed | registered | details |\n|---|---|---|---|---|---|\n")
             out.writelines(r["line"] + "\n" for r in markdown_rows(shown).orderBy("input_ord").toLocalIterator())
+            out.writelines(["\n## Delta vs baseline\n", *(f"{line}\n" for line in told)] if told else [])
         elif form == ".html":
-            out.write("<!DOCTYPE html><meta charset=utf-8><table>\n")
+            out.write(f"<!DOCTYPE html><meta charset=utf-8>\n{_FILTERS}<table>\n")
             out.writelines(r["row"] + "\n" for r in html_rows(shown).toLocalIterator())
             out.write("</table>\n")
+            out.writelines(["<section><h2>Delta vs baseline</h2>\n", *(f"<p>{escape(line)}</p>\n" for line in told), "</section>\n"] if told else [])
+        elif form == ".txt":
+            out.writelines(r["line"] + "\n" for r in text_head(stats(rows)).orderBy("at").toLocalIterator())
+            out.writelines(line + "\n" for line in told)
+            out.writelines(r["line"] + "\n" for r in text_rows(rows).orderBy("input_ord").toLocalIterator())
         else:
             frame = csv_rows(shown).orderBy("input_ord")
             out.write(",".join(frame.columns) + "\n")

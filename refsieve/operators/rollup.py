@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from refsieve.functions.text import arxiv_valid
+from refsieve.operators.lint import with_first
 from refsieve.plans.schemas import CACHE_DAYS, NEGATIVE_CACHE_DAYS
 
 VERDICTS = ("correct", "mismatch", "partial", "invalid", "unknown")
-_FLAGS = ("retracted", "doi_splice", "arxiv_doi_mismatch", "wrong_pmid_signal")
+_FLAGS = ("retracted", "doi_splice", "arxiv_doi_mismatch", "wrong_pmid_signal", "unmatched", "retried_recovered", "breaker_skipped")
 _ROUTES = {"existence_only": "existence_only", "mismatch_gated": "mismatch_gated", "existence_title_match": "existence_title_match", "title_corroborated": "title_corroborated"}
 
 
@@ -30,9 +31,37 @@ def stats(rows: DataFrame) -> DataFrame:
     aggs += [(count(F.col(f)) if f in have else F.lit(0).cast("long")).alias(f) for f in _FLAGS]
     aggs += [(count(F.col("route") == r) if "route" in have else F.lit(0).cast("long")).alias(n) for r, n in _ROUTES.items()]
     aggs.append((count(F.col("network_error")) if "network_error" in have else F.lit(0).cast("long")).alias("network_errors"))
+    of = lambda kind, when: count((F.col("kind") == kind) & when) if "kind" in have else F.lit(0).cast("long")
+    aggs += [of("doi", F.col("valid")).alias("doi_resolved") if "valid" in have else F.lit(0).cast("long").alias("doi_resolved"), of("arxiv", F.col("verdict") == "invalid").alias("arxiv_invalid"), (count(F.col("merged_into").isNotNull()) if "merged_into" in have else F.lit(0).cast("long")).alias("doi_merged_into_pmid")]
     return rows.agg(*aggs)
 
 
+def delta_counts(changes: DataFrame) -> DataFrame:
+    """Rows of ``delta`` by category."""
+    return changes.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def source_mix(rows: DataFrame, source: str = "meta_source") -> DataFrame:
+    """By source of the metadata: rows, correct ones and their share in percent."""
+    correct = F.count_if(F.col("verdict") == "correct")
+    return rows.groupBy(source).agg(F.count("*").alias("n"), correct.alias("correct"), F.round(100.0 * correct / F.count("*"), 2).alias("percent"))
+
+
+def breaker_rejects(calls: DataFrame) -> DataFrame:
+    """Rejected calls (url) by host, most first (A10)."""
+    return calls.groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host")
+
+
+def subset(rows: DataFrame, verdicts: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one of the verdicts or with one of the flags; of neither, all (P10)."""
+    if not verdicts and not flags:
+        return rows
+    wanted = F.col("verdict").isin(*verdicts)
+    for flag in flags:
+        wanted = wanted | F.coalesce(F.col(flag), F.lit(False))
+    return rows.where(wanted)
+
+
 def readiness(counts: DataFrame) -> DataFrame:
     """ready, problems, line and exit_code from ``stats``. Partial rows are no problem; network failures block."""
     c = F.col
@@ -102,17 +131,17 @@ def upserted(cache: DataFrame, found: DataFrame, key: str = "pmid") -> DataFrame
 
 
 def lint(claims: DataFrame) -> DataFrame:
-    """(input_ord, tag, severity) of claims rows (input_ord, pmid, doi, arxiv_id, title); rules run in one pass and a window."""
+    """(input_ord, tag, severity) of claims rows (input_ord, pmid, doi, arxiv_id, title); the rules that the claims array's own columns allow; ``lint.claims`` has all."""
     c = F.col
     text = lambda k: F.trim(F.coalesce(c(k), F.lit("")))
     key = F.coalesce(*[F.nullif(text(k), F.lit("")) for k in ("pmid", "doi", "arxiv_id")])
-    rows = claims.withColumn("__key", key).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("input_ord")))
+    rows = with_first(claims.withColumn("__key", key), order="input_ord")
     rules = [
         (key.isNull(), "missing_id", "ERROR"),
         (text("pmid").rlike(r"\D"), "pmid_not_digits", "ERROR"),
         ((text("arxiv_id") != "") & ~arxiv_valid(text("arxiv_id")), "arxiv_shape", "ERROR"),
         ((text("doi") != "") & ~F.lower(text("doi")).rlike(r"^(https?://(dx\.)?doi\.org/|doi:\s*)?10\.\d{4,9}/"), "doi_prefix", "WARN"),
-        (c("__key").isNotNull() & (c("__nth") > 1), "duplicate_key", "WARN"),
+        (c("input_ord") > c("__first"), "duplicate_key", "WARN"),
         (text("title") == "", "no_title", "WARN"),
     ]
     issues = F.array(*[F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(tag).alias("tag"), F.lit(level).alias("severity"))) for when, tag, level in rules])

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from refsieve.functions.match import TITLE_WORDS, cross_check
 from refsieve.functions.similarity import sequence_ratio
-from refsieve.functions.text import arxiv_valid, clean_doi, doi_match, folded, has_cjk, jaccard, retraction_reason, word_set
+from refsieve.functions.text import arxiv_valid, clean_doi, doi_match, folded, has_cjk, jaccard, keyword_score, path_keywords, retraction_reason, word_set
 from refsieve.plans.schemas import EXPLICIT_LABELS
 
 c = F.col
@@ -233,3 +233,121 @@ def with_reasons(rows: DataFrame, notices: DataFrame) -> DataFrame:
     """Retracted rows with the reason that their notice gives."""
     told = notices.select(clean_doi(c("doi")).alias("__notice"), retraction_reason(c("title"), c("abstract")).alias("retraction_reason"))
     return rows.join(told, clean_doi(c("notice_doi")) == c("__notice"), "left").drop("__notice")
+
+
+def with_links(rows: DataFrame, links: DataFrame, registry: DataFrame) -> DataFrame:
+    """DOI rows (id) with the linked PMID, unless that record registers another DOI: then ``link_note`` says so."""
+    linked = links.groupBy(clean_doi(c("doi")).alias("__doi")).agg(F.min("pmid").alias("__pmid"))
+    record = registry.where(_true(c("valid"))).select(c("pmid").alias("__pmid"), F.struct("title", "journal", "pubdate", "authors", "doi", "retracted").alias("__linked"))
+    joined = rows.join(linked.join(record, "__pmid"), clean_doi(c("id")) == c("__doi"), "left")
+    other = _some(clean_doi(c("__linked.doi"))) & ~doi_match(c("__linked.doi"), c("id"))
+    joined = joined.withColumns({"link_note": F.when(_true(other), "linked record registers a different DOI — link ambiguous, keeping the DOI registry's metadata"), "linked": F.when(~_true(other), c("__linked")), "pmid": F.when(~_true(other), c("__pmid"))})
+    return joined.drop("__doi", "__pmid", "__linked")
+
+
+def merged_scanned(doi_items: DataFrame, links: DataFrame, pmid_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scanned DOIs split by whether their linked PMID is verified already (J8b): (to be checked, merged into a PMID)."""
+    linked = links.groupBy(clean_doi(c("doi")).alias("__doi")).agg(F.min("pmid").alias("merged_into"))
+    seen = pmid_rows.where(_true(c("valid"))).select(c("id").alias("merged_into")).distinct()
+    known = linked.join(seen, "merged_into")
+    same = clean_doi(c("id")) == c("__doi")
+    scanned = doi_items.where(~c("explicit"))
+    kept = scanned.join(known, same, "left_anti").unionByName(doi_items.where("explicit"))
+    return kept, scanned.join(known, same).drop("__doi")
+
+
+def plain_title(title: Column) -> Column:
+    """A registered title without the mark of a retraction before it."""
+    return F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^\s*RETRACTED(\s+ARTICLE)?\s*:\s*", "")
+
+
+def crossref_check(rows: DataFrame, records: DataFrame, sequence: bool = True) -> DataFrame:
+    """PMID rows with what the DOI registry says of their registered DOI.
+
+    doi_verified: resolved, or false where the registry could not say; null
+    without a DOI. doi_title_match: titles alike in characters (without
+    ``sequence``: equal when folded). A retraction there flags the row, before
+    one that the publication type tells; ``retraction_source`` names which.
+    """
+    theirs = records.groupBy(clean_doi(c("doi")).alias("__doi")).agg(F.min_by(F.struct("status", "title", "retracted", "retraction_note"), F.when(c("status") == "resolved", 0).otherwise(1)).alias("__r"))
+    asked = _true(c("valid")) & _some(clean_doi(c("doi")))
+    rows = rows.withColumn("__key", F.when(asked, clean_doi(c("doi")))).join(theirs, c("__key") == c("__doi"), "left")
+    resolved = _true(c("__r.status") == "resolved")
+    rows = rows.withColumns({"__a": F.when(resolved, folded(plain_title(c("__r.title")))), "__b": F.when(resolved, folded(c("title")))})
+    alike = sequence_ratio("__a", "__b") >= 0.9 if sequence else c("__a") == c("__b")
+    known = _true(c("__r.retracted")) & asked
+    return rows.withColumns(
+        {
+            "doi_verified": F.when(asked, resolved),
+            "doi_title_match": F.when(asked & resolved, F.coalesce(alike, F.lit(False))),
+            "retraction_source": F.when(known, "doi registry").when(_true(c("retracted")), "publication type"),
+            "retraction_note": F.when(known, c("__r.retraction_note")),
+            "retracted": known | _true(c("retracted")),
+        }
+    ).drop("__key", "__doi", "__r", "__a", "__b")
+
+
+#: Title words that searches leave out.
+QUERY_STOP = ("the", "and", "for", "with", "from", "that", "this")
+REPLACEMENT_STOP = (*QUERY_STOP, "effect", "study", "using", "based")
+
+
+def title_query(title: Column, most: int, stop: tuple[str, ...]) -> Column:
+    """The first words of a title longer than three characters, stop words apart."""
+    bare = F.transform(F.split(F.coalesce(title, F.lit("")), r"\s+"), lambda w: F.btrim(w, F.lit(",.;:()")))
+    return F.array_join(F.slice(F.filter(bare, lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*stop)), 1, most), " ")
+
+
+def suggestion_query(authors: Column, title: Column, journal: Column, year: Column) -> Column:
+    """What a registry is searched for in place of a mismatch: author, title words, journal, year (F20); "" if nothing is claimed."""
+    tagged = lambda x, tag: F.when(_some(x), F.concat(x, F.lit(tag)))
+    words = F.slice(F.filter(F.split(F.coalesce(title, F.lit("")), r"\s+"), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*QUERY_STOP)), 1, 4)
+    return F.concat_ws(" AND ", tagged(F.get(authors, F.lit(0)), "[au]"), F.nullif(F.array_join(words, " "), F.lit("")), tagged(journal, "[jour]"), tagged(year, "[dp]"))
+
+
+def replacements(rows: DataFrame, registry: DataFrame, most: int = 3) -> DataFrame:
+    """``replacement_pmids`` for retracted rows: live records of other ids whose titles are nearest in words; suggestions, not verdicts."""
+    title = F.coalesce(F.nullif(c("title"), F.lit("")), "claimed_title")
+    suggested = F.lit(False) if "suggested_pmids" not in rows.columns else F.coalesce(F.size("suggested_pmids") > 0, F.lit(False))
+    asked = rows.where(_true(c("retracted")) & (F.length(title) >= 15) & ~suggested).select("id", "input_ord", title_query(title, 6, REPLACEMENT_STOP).alias("claimed_title"))
+    live = registry.where(~_true(c("retracted")))
+    found = title_candidates(asked, live, most + 1, whole=False).where(c("found") != c("id"))
+    rank = Window.partitionBy("id", "input_ord").orderBy("rank")
+    kept = found.withColumn("n", F.row_number().over(rank)).where(c("n") <= most)
+    packed = kept.groupBy("id", "input_ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "found"))), lambda x: x["found"]).alias("replacement_pmids"))
+    return rows.join(packed, ["id", "input_ord"], "left")
+
+
+def with_relevance(rows: DataFrame, least: float = 0.2) -> DataFrame:
+    """``match_score`` of the registered title and the words of the source's file name, and ``unmatched`` below ``least``."""
+    score = keyword_score(c("title"), path_keywords(c("label")))
+    return rows.withColumn("match_score", F.when(_true(c("valid")), score)).withColumn("unmatched", _true(c("match_score") < least))
+
+
+#: Characters that begin a registered title: no shorter title counts, and longer ones are looked up by them.
+LEAD = 6
+
+
+def cjk_search(items: DataFrame, works: DataFrame, sequence: bool = True) -> DataFrame:
+    """Entries (id, input_ord, raw, claimed_*) without an identifier, by a registered title that stands in their text as it is.
+
+    ``works`` has work_id, title, authors, journal, year, retracted. A title
+    that an entry holds begins with six characters that the entry holds, so
+    pairs are joined on those; then the whole title must be there, the years must
+    not differ, and the ladder must say correct. Never a mismatch: all else is
+    unknown. The longest title wins, then the least work_id.
+    """
+    text = F.coalesce(c("raw"), F.lit(""))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - LEAD + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(LEAD))))
+    asked = items.where(has_cjk(c("raw"))).select("id", "input_ord", "raw", c("claimed_authors").alias("__authors"), c("claimed_journal").alias("__journal"), c("claimed_year").alias("__year"), F.explode(grams).alias("__lead"))
+    record = works.where(F.length("title") >= LEAD).select("work_id", F.trim("title").alias("title"), "authors", "journal", c("year").alias("pubdate"), "retracted").withColumn("__lead", F.substring("title", 1, LEAD))
+    met = asked.join(record, "__lead").where(F.contains(c("raw"), c("title")) & (~_some(c("__year")) | ~_some(c("pubdate")) | (c("__year") == c("pubdate")))).drop("__lead")
+    met = met.withColumns({"claimed_title": c("title"), "claimed_authors": F.when(F.coalesce(F.size("__authors"), F.lit(0)) > 0, c("__authors")).otherwise(F.slice("authors", 1, 3)), "claimed_journal": F.when(_some(c("__journal")), c("__journal")).otherwise(c("journal")), "claimed_year": F.when(_some(c("__year")), c("__year")).otherwise(c("pubdate"))})
+    good = cross_check(met, sequence).where("verdict = 'correct'")
+    order = F.struct((-F.length("title")).alias("l"), "work_id")
+    best = good.groupBy("id", "input_ord").agg(F.min_by(F.struct("work_id", "title", "journal", "pubdate", "retracted", F.bround("confidence", 2).alias("confidence")), order).alias("__best"))
+    rows = items.join(best, ["id", "input_ord"], "left")
+    found = c("__best").isNotNull()
+    graded = F.when(found, capped_retraction(F.lit("correct"), c("__best.retracted"))).otherwise("unknown")
+    note = F.lit("registered title stands verbatim in the entry")
+    return rows.withColumns({"verdict": graded, "details": F.when(found, retraction_details(F.lit("correct"), note, c("__best.retracted"))).otherwise("no registered title stands verbatim in the entry; a PMID or DOI would decide"), "route": F.when(found, "cjk_title"), "work_id": c("__best.work_id"), "title": c("__best.title"), "retracted": _true(c("__best.retracted")), "confidence": c("__best.confidence"), "valid": found, "kind": F.lit("title")}).drop("__best")

@@ -293,7 +293,7 @@ _STATS = "count(*) AS total, " + ", ".join(f"count_if(verdict = '{v}') AS {v}" f
 
 @query(f"{_PMID} SELECT {_STATS} FROM pmid_rows")
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.stats(_rows(spark, d)).drop("arxiv_doi_mismatch", "wrong_pmid_signal", "title_corroborated")
+    return rollup.stats(_rows(spark, d)).select("total", *rollup.VERDICTS, "retracted", "doi_splice", "network_errors", "existence_only", "mismatch_gated", "existence_title_match")
 
 
 @query(f"{_PMID}, s AS (SELECT {_STATS} FROM pmid_rows) SELECT invalid + mismatch + retracted + doi_splice AS problems, invalid + mismatch + retracted + doi_splice = 0 AND network_errors = 0 AS ready, CAST(CASE WHEN network_errors > 0 THEN 2 WHEN invalid + mismatch + retracted + doi_splice > 0 THEN 1 ELSE 0 END AS INT) AS exit_code FROM s")

@@ -112,7 +112,7 @@ def pmid_rows() -> str:
   SELECT *, CASE route WHEN 'network_error' THEN 'unknown' WHEN 'not_found' THEN 'invalid' WHEN 'existence_only' THEN 'correct' WHEN 'mismatch_gated' THEN 'unknown' WHEN 'existence_title_match' THEN 'correct' ELSE ladder END AS v1,
          CASE WHEN route IN ('network_error', 'not_found') THEN 0 WHEN route = 'existence_only' THEN 1 WHEN route = 'existence_title_match' THEN greatest(conf, 0.8) ELSE conf END AS conf1
   FROM routed
-), pmid_rows AS (
+), pmid_rows AS MATERIALIZED (
   SELECT * EXCLUDE (v1, conf1), CASE WHEN retracted AND v1 IN ('correct', 'partial') THEN 'partial' WHEN doi_splice AND v1 = 'correct' THEN 'partial' ELSE v1 END AS verdict, round_even(conf1, 2) AS confidence
   FROM v1
 )"""
