@@ -1,7 +1,8 @@
 """Named queries over the driver's tables, and their DuckDB SQL.
 
-Queries that SQL cannot express (character similarity, context parsing, nested
-exports) have no SQL; their results are tested in ``tests``.
+Queries that SQL cannot express (character similarity, context parsing) have no
+SQL; their results are tested in ``tests``. Where SQL checks the ladder, titles
+are compared by words alone (``sequence`` off).
 """
 
 from __future__ import annotations
@@ -108,12 +109,6 @@ def verify_pmid(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("id", "input_ord", "verdict", "route", "confidence", "doi_splice", "retracted")
 
 
-@query(f"{_PMID} SELECT input_ord, verdict FROM pmid_rows WHERE route = 'mismatch_gated'")
-def mismatch_gate(spark: SparkSession, d: str) -> DataFrame:
-    bare = synth.claims(spark, d)
-    return verify.verify_pmid(bare, synth.registry(spark, d), False).where("route = 'mismatch_gated'").select("input_ord", "verdict")
-
-
 #: A title alone, scanned: only then may the upgrade apply.
 _BARE = "SELECT * REPLACE ('scan.txt' AS label, false AS explicit, CAST(NULL AS VARCHAR[]) AS claimed_authors, CAST(NULL AS VARCHAR) AS claimed_journal, CAST(NULL AS VARCHAR) AS claimed_year, CAST(NULL AS VARCHAR) AS claimed_doi) FROM claims"
 
@@ -238,6 +233,16 @@ def title_search(spark: SparkSession, d: str) -> DataFrame:
 _SHIFTED = "SELECT * REPLACE ('scan.txt' AS label, false AS explicit, CAST(NULL AS VARCHAR[]) AS claimed_authors, CAST(10000000 + (CAST(id AS BIGINT) - 10000000) % 60 + 1 AS VARCHAR) AS id) FROM claims"
 
 
+def _shifted(spark: SparkSession, d: str) -> DataFrame:
+    key = c("id").cast("long") - 10_000_000
+    return synth.claims(spark, d).withColumns({"label": F.lit("scan.txt"), "explicit": F.lit(False), "claimed_authors": F.lit(None).cast("array<string>"), "id": (key % 60 + 10_000_001).cast("string")})
+
+
+@query(f"{_PMID.replace('FROM claims c LEFT JOIN', f'FROM ({_SHIFTED}) c LEFT JOIN')} SELECT input_ord, verdict, route FROM pmid_rows WHERE route = 'mismatch_gated'")
+def mismatch_gate(spark: SparkSession, d: str) -> DataFrame:
+    return verify.verify_pmid(_shifted(spark, d), synth.registry(spark, d), False).where("route = 'mismatch_gated'").select("input_ord", "verdict", "route")
+
+
 @query(f"""{_PMID.replace('FROM claims c LEFT JOIN', f'FROM ({_SHIFTED}) c LEFT JOIN')}, gated AS (
   SELECT * FROM pmid_rows WHERE route = 'mismatch_gated' AND len(cw) >= 4
 ), found AS (
@@ -245,10 +250,8 @@ _SHIFTED = "SELECT * REPLACE ('scan.txt' AS label, false AS explicit, CAST(NULL
 )
 SELECT p.input_ord, CASE WHEN same THEN 'correct' ELSE verdict END AS verdict, coalesce(NOT same, false) AS wrong_pmid_signal, CASE WHEN NOT same THEN other END AS suggested FROM pmid_rows p LEFT JOIN found f USING (input_ord)""")
 def second_opinion(spark: SparkSession, d: str) -> DataFrame:
-    key = c("id").cast("long") - 10_000_000
-    items = synth.claims(spark, d).withColumns({"label": F.lit("scan.txt"), "explicit": F.lit(False), "claimed_authors": F.lit(None).cast("array<string>"), "id": (key % 60 + 10_000_001).cast("string")})
     registry = synth.registry(spark, d)
-    rows = verify.second_opinion(verify.verify_pmid(items, registry, False), registry)
+    rows = verify.second_opinion(verify.verify_pmid(_shifted(spark, d), registry, False), registry)
     return rows.select("input_ord", "verdict", "wrong_pmid_signal", "suggested")
 
 
@@ -461,19 +464,28 @@ def export_counts(spark: SparkSession, d: str) -> DataFrame:
     return export.export_counts(_cited(spark, d))
 
 
-@query(f"""{_FIRST} SELECT input_ord, id AS pmid, status, CASE WHEN status = 'included' THEN '@article{{' || lower(split_part(authors[1], ' ', 1)) || pubdate[1:4] || 'pmid' || id || ',' || chr(10) || '  pmid = {{' || id || '}},' || chr(10) || '  title = {{' || replace(title, '#', '\\#') || '}},' || chr(10) || '  author = {{' || array_to_string(list_transform(authors, lambda a: replace(a, ' ', ', ')), ' and ') || '}},' || chr(10) || '  journal = {{' || journal || '}},' || chr(10) || '  year = {{' || pubdate[1:4] || '}},' || chr(10) || '  volume = {{' || volume || '}},' || chr(10) || '  pages = {{' || pages || '}},' || chr(10) || '  doi = {{' || doi || '}},' || chr(10) || '  note = {{verified (correct; PMID ' || id || ')}}' || chr(10) || '}}' END AS entry FROM firsts WHERE status IN ('included', 'excluded')""".replace("'\\\\#'", "'\\#'"))
+_BIB_BODY = r"""'@article{' || lower(split_part(authors[1], ' ', 1)) || pubdate[1:4] || 'pmid' || id || ',' || chr(10) || '  pmid = {' || id || '},' || chr(10) || '  title = {' || replace(title, '#', '\#') || '},' || chr(10) || '  author = {' || array_to_string(list_transform(authors, lambda a: replace(a, ' ', ', ')), ' and ') || '},' || chr(10) || '  journal = {' || journal || '},' || chr(10) || '  year = {' || pubdate[1:4] || '},' || chr(10) || '  volume = {' || volume || '},' || chr(10) || '  pages = {' || pages || '},' || chr(10) || '  doi = {' || doi || '},' || chr(10) || '  note = {verified (' || verdict || '; PMID ' || id || ')}' || chr(10) || '}'"""
+_GONE = "'% EXCLUDED (RETRACTED): PMID ' || id || ' — do not cite.'"
+
+
+@query(f"{_FIRST}, b AS (SELECT *, {_BIB_BODY} AS body FROM firsts) SELECT input_ord, id AS pmid, status, CASE status WHEN 'included' THEN body WHEN 'partial' THEN '% PARTIAL MATCH — verify manually: …' || chr(10) || '% ' || replace(body, chr(10), chr(10) || '% ') WHEN 'retracted' THEN {_GONE} END AS entry FROM b")
 def bib(spark: SparkSession, d: str) -> DataFrame:
-    return export.bibtex(_cited(spark, d)).where("status in ('included', 'excluded')")
+    """All entries; the reason of a partial one, which is the ladder's text, is shown as an ellipsis."""
+    return export.bibtex(_cited(spark, d)).withColumn("entry", F.regexp_replace("entry", r"^(% PARTIAL MATCH — verify manually: )[^\n]*", "$1…"))
 
 
-@query(f"""{_FIRST} SELECT input_ord, id AS pmid, status, CASE WHEN status = 'included' THEN 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || array_to_string(list_transform(authors, lambda a: 'AU  - ' || a), chr(10)) || chr(10) || 'JO  - ' || journal || chr(10) || 'PY  - ' || pubdate[1:4] || chr(10) || 'DO  - ' || doi || chr(10) || 'AN  - ' || id || chr(10) || 'N1  - verified (correct; PMID ' || id || ')' || chr(10) || 'ER  - ' END AS entry FROM firsts WHERE status IN ('included', 'excluded')""")
+@query(f"{_FIRST} SELECT input_ord, id AS pmid, status, CASE WHEN status IN ('included', 'partial') THEN 'TY  - ' || CASE verdict WHEN 'correct' THEN 'JOUR' ELSE 'DATA' END || chr(10) || 'TI  - ' || title || chr(10) || array_to_string(list_transform(authors, lambda a: 'AU  - ' || a), chr(10)) || chr(10) || 'JO  - ' || journal || chr(10) || 'PY  - ' || pubdate[1:4] || chr(10) || 'DO  - ' || doi || chr(10) || 'AN  - ' || id || chr(10) || 'N1  - verified (' || verdict || '; PMID ' || id || ')' || CASE verdict WHEN 'partial' THEN '; PARTIAL MATCH — verify manually: …' ELSE '' END || chr(10) || 'ER  - ' WHEN status = 'retracted' THEN {_GONE} END AS entry FROM firsts")
 def ris(spark: SparkSession, d: str) -> DataFrame:
-    return export.ris(_cited(spark, d)).where("status in ('included', 'excluded')")
+    """All records, with an ellipsis for the reason of a partial one."""
+    return export.ris(_cited(spark, d)).withColumn("entry", F.regexp_replace("entry", r"(PARTIAL MATCH — verify manually: )[^\n]*", "$1…"))
 
 
-@query()
+@query(f"""{_FIRST} SELECT input_ord, id AS pmid, status, 'pmid:' || id AS cite, title, journal, CAST(pubdate[1:4] AS INT) AS year, list_transform(authors, lambda a: split_part(a, ' ', 1)) AS families, volume, pages, doi, 'verified (' || verdict || ')' AS note FROM firsts WHERE status IN ('included', 'partial')""")
 def csl(spark: SparkSession, d: str) -> DataFrame:
-    return export.csl(_cited(spark, d))
+    """Items read back from their JSON; the reason of a partial one is cut off."""
+    schema = "id STRING, title STRING, `container-title` STRING, issued STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>, author ARRAY<STRUCT<family: STRING, given: STRING, literal: STRING>>, volume STRING, page STRING, DOI STRING, note STRING"
+    x = export.csl(_cited(spark, d)).withColumn("x", F.from_json("item", schema))
+    return x.select("input_ord", "pmid", "status", c("x.id").alias("cite"), "x.title", c("x.container-title").alias("journal"), F.get(F.get("x.issued.date-parts", F.lit(0)), F.lit(0)).alias("year"), F.transform("x.author", lambda a: a["family"]).alias("families"), "x.volume", c("x.page").alias("pages"), c("x.DOI").alias("doi"), F.regexp_extract("x.note", r"^([^;]*)", 1).alias("note"))
 
 
 @query(f"{_FIRST} SELECT CASE WHEN status = 'included' THEN 'verified' ELSE 'review' END AS section, row_number() OVER (PARTITION BY status ORDER BY input_ord) AS n, id AS pmid FROM firsts WHERE status IN ('included', 'partial')")
@@ -481,24 +493,41 @@ def reference_list(spark: SparkSession, d: str) -> DataFrame:
     return export.reference_list(_cited(spark, d), "gbt").select("section", "n", "pmid")
 
 
-@query()
+@query(f"{_PMID} SELECT input_ord, id AS pmid, label, claimed_title, title, doi, verdict FROM pmid_rows")
 def audit_json(spark: SparkSession, d: str) -> DataFrame:
-    return export.audit_items(_rows(spark, d))
+    """Audit records read back from their JSON."""
+    x = F.from_json("item", "pmid STRING, source_file STRING, claimed STRUCT<claimed_title: STRING>, registered STRUCT<title: STRING, doi: STRING>, verdict STRUCT<final: STRING>")
+    return export.audit_items(_rows(spark, d)).withColumn("x", x).select("input_ord", "x.pmid", c("x.source_file").alias("label"), "x.claimed.claimed_title", "x.registered.title", "x.registered.doi", c("x.verdict.final").alias("verdict"))
 
 
-@query()
+def _md(x: str) -> str:
+    return rf"regexp_replace(trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g')), '([\\\[\]|])', '\\\1', 'g')[1:120]"
+
+
+@query(f"{_PMID} SELECT input_ord, '| ' || id || ' | ' || verdict || ' | …' || ' | ' || {_md('claimed_title')} || ' | ' || {_md('title')} || ' | …' AS line FROM pmid_rows")
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return export.markdown_rows(export.display(_rows(spark, d)))
+    """Table rows; the confidence and the reason are shown as an ellipsis."""
+    rows = export.markdown_rows(export.display(_rows(spark, d)))
+    cells = F.split("line", r" \| ")
+    return rows.select("input_ord", F.concat_ws(" | ", F.get(cells, F.lit(0)), F.get(cells, F.lit(1)), F.lit("…"), F.get(cells, F.lit(3)), F.get(cells, F.lit(4)), F.lit("…")).alias("line"))
 
 
-@query()
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"{_PMID} SELECT input_ord, CAST(CASE WHEN retracted OR doi_splice THEN 0 ELSE CASE verdict WHEN 'mismatch' THEN 1 WHEN 'invalid' THEN 2 WHEN 'partial' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END END AS INT) AS severity, '<tr class=\"' || verdict || '\"><td>' || id || '</td><td>' || verdict || '</td>' AS head, '<td>' || {_escaped('claimed_title')} || '</td><td>' || {_escaped('title')} || '</td><td>' || {_escaped('array_to_string(authors[1:3], chr(44) || chr(32))')} || '</td><td>' || {_escaped('journal')} || '</td><td>' || {_escaped('pubdate')} || '</td><td>' || {_escaped('doi')} || '</td>' AS cells FROM pmid_rows")
 def report_html(spark: SparkSession, d: str) -> DataFrame:
-    return export.html_rows(export.display(_rows(spark, d)))
+    """Table rows without confidence, reason and label."""
+    rows = export.html_rows(export.display(_rows(spark, d)))
+    shape = r"^(<tr[^>]*>(?:<td>[^<]*</td>){2})<td>[^<]*</td>((?:<td>[^<]*</td>){6})"
+    return rows.select("input_ord", "severity", F.regexp_extract("row", shape, 1).alias("head"), F.regexp_extract("row", shape, 2).alias("cells"))
 
 
-@query()
+@query(f"{_PMID} SELECT input_ord, id, verdict, coalesce(title, '') AS title, coalesce(array_to_string(authors[1:3], ', '), '') AS authors, coalesce(journal, '') AS journal, coalesce(pubdate, '') AS pubdate, coalesce(doi, '') AS doi, coalesce(claimed_title, '') AS claimed_title, coalesce(claimed_journal, '') AS claimed_journal, coalesce(claimed_year, '') AS claimed_year, label FROM pmid_rows")
 def report_csv(spark: SparkSession, d: str) -> DataFrame:
-    return export.csv_rows(export.display(_rows(spark, d)))
+    """The CSV report without confidence, reason and the flag's spelling."""
+    return export.csv_rows(export.display(_rows(spark, d))).select("input_ord", "id", "verdict", "title", "authors", "journal", "pubdate", "doi", "claimed_title", "claimed_journal", "claimed_year", "label")
 
 
 @query(f"WITH {synth.sql()} SELECT coalesce(id, '') AS pmid, coalesce(claimed_title, '') AS title, coalesce(array_to_string(claimed_authors, '; '), '') AS authors, coalesce(claimed_journal, '') AS journal, coalesce(claimed_year, '') AS year FROM claims")
