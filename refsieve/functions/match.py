@@ -14,7 +14,11 @@ REGISTRY_AUTHORS = 10
 JOURNAL_STOP, ABBREV_STOP = ["the", "of", "and", "journal", "j"], ["of", "and", "the", "in", "on", "for"]
 
 
-def surname(parts: Column) -> Column:
+def name_parts(name: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), " ")
+
+
+def family_name(parts: Column) -> Column:
     """Of a name's parts, "Family AB" or "A Family" or one alone; lower case, without trailing marks; "" for blanks."""
     first, last = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
     initial_first = (F.length(first) == 1) | F.contains(first, F.lit("."))
@@ -22,10 +26,14 @@ def surname(parts: Column) -> Column:
     return F.rtrim(F.lower(F.coalesce(picked, F.lit(""))), F.lit(".,"))
 
 
+def surname(name: Column) -> Column:
+    return family_name(name_parts(name))
+
+
 def surnames(names: Column) -> Column:
     # Parts first, so that the picking reads a lambda's variable and splits each name once.
-    parts = F.transform(names, lambda n: F.split(F.trim(F.regexp_replace(F.coalesce(n, F.lit("")), r"\s+", " ")), " "))
-    return F.filter(F.transform(parts, surname), lambda s: F.length(s) >= 2)
+    parts = F.transform(names, lambda n: name_parts(n))
+    return F.filter(F.transform(parts, lambda p: family_name(p)), lambda s: F.length(s) >= 2)
 
 
 def with_authors(rows: DataFrame, claimed: str = "claimed_authors", actual: str = "authors") -> DataFrame:

@@ -177,9 +177,9 @@ def pubtype_retracted(types: Column) -> Column:
 
 
 def registered_doi(article_ids: Column, elocation: Column) -> Column:
-    """The doi of an identifier list, else one in the e-location."""
+    """The doi of an identifier list, else what the e-location, which may name several ids, marks as one."""
     listed = F.filter(article_ids, lambda x: (x["idtype"] == "doi") & (F.coalesce(x["value"], F.lit("")) != ""))
-    return F.coalesce(F.try_element_at(listed, F.lit(1))["value"], F.nullif(F.regexp_extract(elocation, r"(10\.\d{4,9}/\S+)", 1), F.lit("")), F.lit(""))
+    return F.coalesce(F.try_element_at(listed, F.lit(1))["value"], F.nullif(F.regexp_extract(F.coalesce(elocation, F.lit("")), r"doi:\s*(\S+)", 1), F.lit("")), F.lit(""))
 
 
 def host_key(url: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from html import escape
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -276,7 +277,21 @@ _FILTERS = """<p><button onclick="pick('')">all</button> <button onclick="pick('
 """
 
 
-def report(rows: DataFrame, path: str, options: dict | None = None, changes: DataFrame | None = None) -> None:
+def _write_items(out: TextIO, whole: dict, name: str, items: DataFrame) -> None:
+    """``whole`` as a JSON object with one more member: the items, streamed in input order."""
+    out.write(f'{json.dumps(whole, ensure_ascii=False)[:-1]}, "{name}": [')
+    for i, r in enumerate(items.orderBy("input_ord").toLocalIterator()):
+        out.write((", " if i else "") + r["item"])
+    out.write("]}\n")
+
+
+def audit_report(rows: DataFrame, path: str, options: dict, changes: DataFrame | None = None) -> None:
+    """The whole audit as one JSON file, from which it can be followed (K7)."""
+    with open(path, "w", encoding="utf-8") as out:
+        _write_items(out, audit_document(rows, options, changes), "citations", audit_items(rows))
+
+
+def report(rows: DataFrame, path: str, changes: DataFrame | None = None) -> None:
     """A report by the path's extension: .json, .jsonl (a folder), .md, .html, .csv or .txt; anything else is refused (K0).
 
     ``changes`` are the rows of ``rollup.delta`` against an earlier run. The
@@ -293,11 +308,7 @@ def report(rows: DataFrame, path: str, options: dict | None = None, changes: Dat
     told = [] if changes is None else [r["line"] for r in delta_lines(changes).orderBy("at", "n").toLocalIterator()]
     with open(path, "w", encoding="utf-8-sig" if form == ".csv" else "utf-8") as out:
         if form == ".json":
-            whole = json.dumps(audit_document(rows, options or {}, changes), ensure_ascii=False)
-            out.write(f'{whole[:-1]}, "citations": [')
-            for i, r in enumerate(audit_items(rows).orderBy("input_ord").toLocalIterator()):
-                out.write((", " if i else "") + r["item"])
-            out.write("]}\n")
+            _write_items(out, {"stats": stats(rows).first().asDict()}, "results", audit_items(rows))
         elif form == ".md":
             out.write("| id | verdict | confidence | claimed | registered | details |\n|---|---|---|---|---|---|\n")
             out.writelines(r["line"] + "\n" for r in markdown_rows(shown).orderBy("input_ord").toLocalIterator())
