@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only while its rows, at so many bytes each in a hash table, stay below this.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 64_000_000
 
 #: Rows of an Arrow batch in written tables.
 BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,14 +61,19 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim:
-            trim(0)
+        give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, a written table, marked for broadcast if its counted rows take less than BROADCAST_BYTES; else as it is, for a shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -37,7 +37,7 @@ from refsieve.llm.common import broadcast_if_small, keep_rows, map_rows, send, u
 
 WIDTH = 10
 #: Bytes of item text in one automaton, and of a broadcast row of hits besides its spans.
-BLOCK_BYTES, HIT_BYTES = 1_000_000, 400
+BLOCK_BYTES, HIT_BYTES = 1_000_000, 800
 
 #: A-Z to a-z; digits, letters and bytes of non-ASCII characters stay; the rest are separators.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

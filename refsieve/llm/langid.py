@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import keep_rows, mix, rows_of, send, tidied, utf8
+from refsieve.llm.common import give_back, keep_rows, mix, rows_of, send, tidied, utf8
 from refsieve.llm.learn import fold, sample, softmax, temperature
 
 BUCKETS, WIDTH = 1 << 13, 16
@@ -151,7 +151,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     learnable = docs.where(F.col(lang_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     picked = sample(learnable, SAMPLE).select("text", "lang").mapInArrow(tidied(run), ddl).collect()
-    return train(sorted((r.lang, bytes(r.at), bytes(r.n)) for r in picked))
+    model = train(sorted((r.lang, bytes(r.at), bytes(r.n)) for r in picked))
+    del picked
+    give_back()  # the driver lives on
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,7 +53,7 @@ BLOCK = 64
 #: Queries that one task checks against one copy of a block.
 QUERIES_PER_SALT = 128
 #: Bytes of a row in a broadcast hash table: of a request for a set, of a lone token.
-REQUEST_BYTES, TOKEN_BYTES = 160, 32
+REQUEST_BYTES, TOKEN_BYTES = 320, 64
 #: Tokens listed as often repeated: a fixed memory of 5 MB, and only an order.
 FREQUENT = 300_000
 WINDOW_TOKENS, WINDOW_COUNT = 500_000, 3

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import rows_of, send, span_hashes, tidied, utf8, word_spans
+from refsieve.llm.common import give_back, rows_of, send, span_hashes, tidied, utf8, word_spans
 from refsieve.llm.learn import fold, sample, sigmoid
 
 CATEGORIES = ("explicit", "coded", "toxic")
@@ -143,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     # The sample is bounded, so its ids are broadcast to the scan of the texts; of each id one text is taken.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("y").cast("bigint"), "text")
     found = texts.mapInArrow(tidied(run), "doc_id bigint, y bigint, found binary").groupBy("doc_id").agg(F.min(F.struct("y", "found")).alias("row"))
-    return train(sorted((int(r.y), bytes(r.found)) for r in found.select("row.*").collect()))
+    chain = train(sorted((int(r.y), bytes(r.found)) for r in found.select("row.*").collect()))
+    give_back()  # the driver lives on
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
