@@ -194,16 +194,17 @@ def title_candidates(items: DataFrame, registry: DataFrame, most: int = 3, keys:
     index = registry.where("valid").select(c("pmid").alias("found"), c("title").alias("found_title"), word_set(c("title")).alias("words"))
     held = index.select("found", "found_title", "words", F.explode("words").alias("w"))
     rare = held.groupBy("w").agg(F.count("*").alias("df"))
-    asked = items.where(_some(c("claimed_title"))).select("id", "input_ord", word_set(c("claimed_title")).alias("q"))
-    nth = Window.partitionBy("id", "input_ord").orderBy("df", "w")
-    wanted = asked.withColumn("w", F.explode("q")).join(rare, "w").withColumn("n", F.row_number().over(nth)).where(c("n") <= keys).select("id", "input_ord", "q", "w")
-    pairs = wanted.join(held, "w").select("id", "input_ord", "found", "found_title", jaccard(c("q"), c("words")).alias("score")).distinct()
+    asked = items.where(_some(c("claimed_title"))).select("id", "input_ord", F.array_sort(word_set(c("claimed_title"))).alias("q"))
+    # Claims of one title share its candidates: they are found, scored and ranked once for each set of words.
+    sets = asked.select("q").distinct()
+    nth = Window.partitionBy("q").orderBy("df", "w")
+    wanted = sets.withColumn("w", F.explode("q")).join(rare, "w").withColumn("n", F.row_number().over(nth)).where(c("n") <= keys).select("q", "w")
+    pairs = wanted.join(held, "w").select("q", "found", "found_title", jaccard(c("q"), c("words")).alias("score"))
     if whole:
-        sets = asked.withColumn("q", F.array_sort("q"))
-        near = _near_titles(sets.select("q").distinct(), index, rare)
-        pairs = pairs.union(sets.join(near, "q").select("id", "input_ord", "found", "found_title", "score")).distinct()
-    rank = Window.partitionBy("id", "input_ord").orderBy(c("score").desc(), "found")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(c("rank") <= most).select("id", "input_ord", "found", "found_title", "score", "rank")
+        pairs = pairs.union(_near_titles(sets, index, rare))
+    rank = Window.partitionBy("q").orderBy(c("score").desc(), "found")
+    best = pairs.distinct().withColumn("rank", F.row_number().over(rank)).where(c("rank") <= most)
+    return asked.join(best, "q").select("id", "input_ord", "found", "found_title", "score", "rank")
 
 
 def title_search(items: DataFrame, registry: DataFrame, sequence: bool = True) -> DataFrame:

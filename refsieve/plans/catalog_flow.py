@@ -368,3 +368,19 @@ def stats_all(spark: SparkSession, d: str) -> DataFrame:
     o = c("input_ord")
     rows = _rows(spark, d).withColumns({"kind": F.when(o % 3 == 0, "doi").when(o % 3 == 1, "arxiv").otherwise("pmid"), "unmatched": c("valid") & ~F.contains(F.lower(F.coalesce("title", F.lit("trial"))), F.lit("k1")), "merged_into": F.when(o % 10 == 0, c("id"))})
     return rollup.stats(rows).select("total", *rollup.VERDICTS, "unmatched", "doi_resolved", "arxiv_invalid", "doi_merged_into_pmid")
+
+
+# The ladder across scripts: a title, then only authors, in Chinese characters
+
+
+@query(f"""{_SYNTH} SELECT pmid, CASE k % 4 WHEN 3 THEN 'correct' ELSE 'partial' END AS verdict,
+  CASE k % 4 WHEN 0 THEN 'title skipped (cross-language); comparable fields match' WHEN 1 THEN 'title not claimed (author skipped cross-language); all comparable fields match' WHEN 2 THEN 'title not claimed; journal differs' ELSE 'author skipped (cross-language)' END AS details
+FROM (SELECT *, CAST(pmid AS BIGINT) - 10000000 AS k FROM registry)""")
+def cross_language(spark: SparkSession, d: str) -> DataFrame:
+    from refsieve.functions.match import cross_check
+
+    k, null = _key(), F.lit(None)
+    foreign = F.array(F.lit("张三"), F.lit("李四"))
+    title = F.when(k % 4 == 0, "儿童风湿病的治疗研究").when(k % 4 == 3, c("title"))
+    rows = synth.registry(spark, d).withColumns({"claimed_title": title, "claimed_authors": F.when(k % 4 == 0, c("authors")).otherwise(foreign), "claimed_journal": F.when(k % 4 == 2, "Acta Botanica").otherwise(c("journal")), "claimed_year": F.substring("pubdate", 1, 4), "claimed_doi": null.cast("string")})
+    return cross_check(rows, False).select("pmid", "verdict", "details")
