@@ -32,7 +32,7 @@ BUCKETS, WIDTH = 1 << 13, 16
 SIZES = (1, 2, 3, 4)
 #: Bound of the labelled texts that the model is trained on, and that are gathered on the driver as bucket counts.
 SAMPLE = 2_500
-EPOCHS, BATCH, RATE = 12, 32, 0.5
+STEPS, BATCH, RATE = 744, 32, 0.5
 CHUNK = 1 << 18
 #: The largest share of accepted texts that may be wrong, and the largest share of known texts that may be rejected, on the calibration fold.
 ERROR, LOSS = 0.01, 0.002
@@ -101,18 +101,21 @@ def train(rows: list[tuple[str, bytes, bytes]], seed: int = 3) -> Model:
             part[i, where] = n / n.sum()
         return part
 
-    for epoch in range(EPOCHS):
-        rate = RATE * 40 * (1 - epoch / EPOCHS)
-        for at in np.array_split(rng.permutation(seen), max(1, len(seen) // BATCH)):
-            mean = share(at, rng.random() < 0.5)
-            hidden = mean @ emb
-            grad = softmax(hidden @ out + bias)
-            grad[np.arange(len(at)), y[at]] -= 1
-            grad /= len(at)
-            back = grad @ out.T
-            out -= RATE * 4 * hidden.T @ grad
-            bias -= 0.02 * grad.sum(0)
-            emb -= rate * mean.T @ back
+    order = iter(())
+    for step in range(STEPS):  # as many for a small table as for a full sample
+        if (at := next(order, None)) is None:
+            order = iter(np.array_split(rng.permutation(seen), max(1, len(seen) // BATCH)))
+            at = next(order)
+        rate = RATE * 40 * (1 - step / STEPS)
+        mean = share(at, rng.random() < 0.5)
+        hidden = mean @ emb
+        grad = softmax(hidden @ out + bias)
+        grad[np.arange(len(at)), y[at]] -= 1
+        grad /= len(at)
+        back = grad @ out.T
+        out -= RATE * 4 * hidden.T @ grad
+        bias -= 0.02 * grad.sum(0)
+        emb -= rate * mean.T @ back
     weights = emb @ out
     if not len(held):
         return Model(names, weights, bias, 1.0, 0.0)
