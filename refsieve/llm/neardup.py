@@ -177,8 +177,8 @@ def _repeated(window: dict[bytes, np.ndarray]) -> tuple:
 def frequent_tokens(sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT most repeated tokens, sorted, and each one's rank from rare to often."""
     counted = sketched.where("tok is not null").select(F.explode(F.arrays_zip("tok", "cnt")).alias("x")).groupBy(F.col("x.tok").alias("tok")).agg(F.sum("x.cnt").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "tok").limit(FREQUENT).select("tok").toPandas()
-    tokens = rows["tok"].to_numpy(np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("n"), "tok").limit(FREQUENT).select("tok").toArrow()
+    tokens = rows.column("tok").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (len(tokens) - 1 - order).astype(np.int64)
 
