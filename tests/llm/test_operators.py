@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from refsieve.llm import decontam, html_blocks, langid, licenses, media, mixing, neardup, pii, quality, toxicity
 from refsieve.llm.graph import components
@@ -341,7 +342,7 @@ def test_many_notices():
 # Operator 3
 
 
-def test_mixing(spark, odd):
+def test_mixing(spark, odd, monkeypatch):
     rng = random.Random(4)
     rows = [(i, "t " * rng.randrange(1, 40), rng.choice("ef"), rng.choice("abc"), 1) for i in range(400)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -351,6 +352,23 @@ def test_mixing(spark, odd):
     mass = lambda k, v: sum(r["n_tokens"] * r["probability"] * r["weight"] for r in out if r[k] == v) / total
     assert all(abs(mass("source", s) - t) < 1e-4 for s, t in targets["source"].items()) and abs(mass("lang", "e") - 0.6) < 1e-4
     assert all(r["kept"] for r in out if r["probability"] == 1)
+    cells = mixing.cells_of(docs.select(*mixing.described(docs, "text", "source", "lang")))
+    raked = {tuple(r[:3]): float(r[3]) for r in cells.collect()}
+    for at in range(3 * mixing.ROUNDS):  # by hand, cell by cell
+        axis = at % 3
+        for value, goal in targets[mixing.DIMENSIONS[axis]].items():
+            whole = sum(v for k, v in raked.items() if k[axis] == value)
+            raked |= {k: v * goal / whole for k, v in raked.items() if k[axis] == value}
+    tokens = {k: sum(r["n_tokens"] for r in out if (r["source"], r["lang"], r["topic"]) == k) for k in raked}
+    for r in out:
+        k = (r["source"], r["lang"], r["topic"])
+        assert not tokens[k] or abs(r["probability"] * r["weight"] - raked[k] * total / tokens[k]) < 1e-6
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)  # all joins by shuffles
+    assert sorted(map(tuple, mixing.weigh(docs, targets).collect())) == sorted(map(tuple, out))
+    monkeypatch.undo()
+    wordless = docs.limit(3).withColumn("text", F.lit(None).cast("string"))
+    assert {(r["probability"], r["kept"]) for r in mixing.weigh(wordless).collect()} == {(0.0, False)}
+    assert {r["kept"] for r in mixing.weigh(docs.limit(3), {"source": {"nowhere": 1.0}}).collect()} == {False}
     kept = mixing.mix(odd)
     assert kept.columns == [*odd.columns, "mix_topic", "mix_weight_2"] and mixing.weigh(odd).count() == 8 and mixing.weigh(odd.limit(0)).count() == 0
 
@@ -366,6 +384,7 @@ def test_language_id(spark, odd):
     got = {(r["doc_id"], r["lang_pred"] == "und") for r in langid.predict(odd, model).collect()}
     assert {(1, True), (2, True), (4, True), (7, False)} <= got and langid.keep_known(odd, model).columns == odd.columns
     assert langid.fit(odd.limit(0)).predict("any text") == ("und", 0.0, True)
+    assert langid.counts("\u00bd \u00b2 \u2167 _ 7") is None  # numbers, no letter
     text = "Les amis de la maison " * 20_000
     assert langid.counts(text).sum() > 0
 
