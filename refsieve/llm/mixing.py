@@ -21,12 +21,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from refsieve.llm.common import written
 
 ROUNDS = 12
 SEED = "mix-1"
-#: Cells, or values of a dimension (about 60 bytes each), up to this many are broadcast.
+#: Cells (about 60 bytes each) up to this many are broadcast.
 BROADCAST_CELLS = 500_000
 DIMENSIONS = ("source", "lang", "topic")
 #: Patterns of the topics, first match wins, else prose.
@@ -57,56 +58,36 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
 
 
-def _goals(cells: DataFrame, name: str, targets: dict[str, float] | None) -> DataFrame:
-    """(name, goal_<name>): the target share of each value of one dimension."""
-    sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("mass"))
+def _with_goal(cells: DataFrame, name: str, targets: dict[str, float] | None) -> DataFrame:
+    """``cells`` with ``goal_<name>``: the target share of its value of one dimension."""
+    sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("mass"))
     if targets is None:
         share = F.sqrt("mass")
     else:
-        share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("value")), F.lit(0.0))
-    shares = sums.select("value", share.alias("share"))
+        share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col(name)), F.lit(0.0))
+    shares = sums.select(name, share.alias("share"))
     whole = shares.agg(F.sum("share").alias("whole"))  # one row
-    return shares.crossJoin(F.broadcast(whole)).select(F.col("value").alias(name), F.coalesce(F.try_divide("share", "whole"), F.lit(0.0)).alias(f"goal_{name}"))
-
-
-def _scaled(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-    """``cells`` with ``raked``: its tokens times the factor of its value in each dimension of ``factors``."""
-    raked = F.col("tokens").cast("double")
-    for name, table in factors.items():
-        cells = cells.join(table.select(F.col("value").alias(name), F.col("factor").alias(f"by_{name}")), name)
-        raked = raked * F.col(f"by_{name}")
-    return cells.withColumn("raked", raked).drop(*[f"by_{name}" for name in factors])
+    return cells.join(shares.crossJoin(F.broadcast(whole)).select(name, F.coalesce(F.try_divide("share", "whole"), F.lit(0.0)).alias(f"goal_{name}")), name)
 
 
 def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(source, lang, topic, probability, weight) from ``cells`` (source, lang, topic, tokens).
 
-    A cell's raked tokens are its tokens times one factor for each dimension. A
-    step sums the cells by the values of one dimension, scaled by the factors of
-    the others, and sets its factors to goal over sum. The sums are combined
-    before they are shuffled, so a value that most cells share makes no large
-    task; what a step writes to the shared folder is a row for each value.
+    Windows by one dimension at a time, so a cell table of any size stays
+    distributed; the tables between steps are written to the shared folder.
     """
-    cells = written(cells, "cells")
-    goals = {name: written(_goals(cells, name, (targets or {}).get(name)), f"goals-{name}") for name in DIMENSIONS}
-    few = {name: goals[name].count() <= BROADCAST_CELLS for name in DIMENSIONS}
-
-    def sized(name: str, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if few[name] else table
-
     for name in DIMENSIONS:
-        cells = cells.join(sized(name, goals[name]), name)
-    cells = written(cells, "cells-goals")
-    factors: dict[str, DataFrame] = {}
-    for _ in range(rounds):
+        cells = _with_goal(cells, name, (targets or {}).get(name))
+    cells = written(cells.withColumn("raked", F.col("tokens").cast("double")), "cells")
+    for at in range(rounds):
         for name in DIMENSIONS:
-            others = {other: table for other, table in factors.items() if other != name}
-            sums = _scaled(cells, others).groupBy(F.col(name).alias("value")).agg(F.sum("raked").alias("mass"), F.min(f"goal_{name}").alias("goal"))
-            factor = F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias("factor")
-            factors[name] = sized(name, written(sums.select("value", factor), f"factors-{name}"))
+            mass = F.sum("raked").over(Window.partitionBy(name))
+            cells = cells.withColumn("raked", F.when(mass > 0, F.col("raked") * F.col(f"goal_{name}") / mass).otherwise(0.0))
+        if at % 3 == 2:
+            cells = written(cells, "raked")
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))  # one row
     ratio = F.when(F.col("tokens") > 0, F.col("raked") * F.col("total") / F.col("tokens")).otherwise(0.0)
-    return _scaled(cells, factors).crossJoin(F.broadcast(total)).select(*DIMENSIONS, F.round(F.least(F.lit(1.0), ratio), 9).alias("probability"), F.round(F.greatest(F.lit(1.0), ratio), 9).alias("weight"))
+    return cells.crossJoin(F.broadcast(total)).select(*DIMENSIONS, F.round(F.least(F.lit(1.0), ratio), 9).alias("probability"), F.round(F.greatest(F.lit(1.0), ratio), 9).alias("weight"))
 
 
 def described(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> list[Column]:
