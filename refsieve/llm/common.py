@@ -7,6 +7,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/refsieve-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run within."""
+    usual = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, min(int(usual), rows) if int(usual) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, usual)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage durably.
 
     Python functions on the way get BATCH_ROWS rows at once at most, as rows may hold long texts or sets.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS)
-    try:
+    with batches_of(spark, BATCH_ROWS):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_CONF, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,17 +87,27 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def send(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcast ``value`` by value, classes included; what is returned gives it in Python workers, unpacked once a task."""
-    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    held: list = []
+class Sent:
+    """A value broadcast by value, classes included; a call gives it in Python workers, unpacked once a task."""
+
+    def __init__(self, packed: object) -> None:
+        self.packed, self.held = packed, []
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "held": []}
+
+    def __call__(self) -> object:
+        if not self.held:
+            self.held.append(pickle.loads(self.packed.value))
+        return self.held[0]
+
+    def release(self) -> None:
+        """Free the executors' copies, when what needed them has been written."""
+        self.packed.unpersist()
 
-    def get() -> object:
-        if not held:
-            held.append(pickle.loads(packed.value))
-        return held[0]
 
-    return get
+def send(spark: SparkSession, value: object) -> Sent:
+    return Sent(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

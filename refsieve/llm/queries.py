@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from refsieve.llm import decontam, html_blocks, langid, licenses, media, mixing, neardup, pii, quality, toxicity
+from refsieve.llm import codes, decontam, html_blocks, langid, licenses, media, mixing, neardup, negatives, pii, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def mined_label() -> Column:
+    """The label of a row of embeddings; that of every seventh id is moved to the next of ten, as wrong labels are."""
+    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), mined_label())
+
+
 def mixing_sql() -> str:
     """The raking as a chain of windows, a step for each dimension and round."""
     topics = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in mixing.TOPICS)
@@ -86,10 +104,62 @@ FROM d JOIN w USING (source, lang, topic)"""
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_source_mixing, op4_quality, op5_html_text, op6_license_scan, op7_pii, op8_decontamination, op9_media, op10_toxicity)}
+def codes_sql() -> str:
+    """Lloyd's rounds as a chain of assignments and codebooks, all parts of all vectors anew in each."""
+
+    def assigned(at: int) -> str:
+        far = "SELECT r, p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM part JOIN b{} USING (p)".format(at)
+        return f"a{at} AS MATERIALIZED (SELECT r, p, min(far) AS far, arg_min(e, far * 256 + e) AS e FROM ({far}) GROUP BY r, p)"
+
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding))
+), part AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {codes.PARTS}) + 1:(p + 1) * (len(v) // {codes.PARTS})] AS x FROM kept, (SELECT unnest(range({codes.PARTS})) AS p)
+), b0 AS (SELECT p, r - 1 AS e, x AS c FROM part WHERE r <= {codes.ENTRIES})"""
+    ]
+    for at in range(codes.ROUNDS):
+        steps.append(assigned(at))
+        sums = f"SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS x, unnest(range(len(x))) AS i FROM a{at} JOIN part USING (r, p)) GROUP BY p, e, i"
+        moved = f"SELECT p, e, list({floor} ORDER BY i) AS c FROM (SELECT p, e, i, CAST(s AS BIGINT) AS s, n FROM ({sums})) GROUP BY p, e"
+        steps.append(f"b{at + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{at} b LEFT JOIN ({moved}) m USING (p, e))")
+    last = codes.ROUNDS
+    steps.append(assigned(last))
+    return (
+        ", ".join(steps)
+        + f""", coded AS (
+  SELECT r, string_agg(lower(format('{{:02x}}', e)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{last} GROUP BY r
+), named AS (
+  SELECT vec_id, label, code, error FROM coded JOIN kept USING (r)
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM named, digest"""
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_source_mixing, op4_quality, op5_html_text, op6_license_scan, op7_pii, op8_decontamination, op9_media, op10_toxicity, op11_simhash_neardup, op12_vector_codes, op13_hard_negatives)}
 
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing_sql(),
+    "op12_vector_codes": codes_sql(),
+    "op13_hard_negatives": """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), pos AS (
+  SELECT a, b, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN scored n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+""",
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
