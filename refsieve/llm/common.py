@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -167,6 +168,16 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def pieces(text: str, size: int, between: re.Pattern[str]) -> Iterator[str]:
+    """A text in pieces of about ``size`` characters, each of which ends where ``between`` matches: no word is cut."""
+    at = 0
+    while at < len(text):
+        found = between.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of uint64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

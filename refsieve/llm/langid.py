@@ -10,7 +10,7 @@ that the descent did not see.
 Null texts and texts without a letter are `und`, score 0, rejected. Every other
 text gets a learned language; ``rejected`` tells whether the calibrated score is
 below the threshold. Without any labelled text all are `und`. Long texts are
-hashed whole, in chunks. Repeated rows give repeated results, ties go to the
+hashed whole, in pieces that end between words. Repeated rows give repeated results, ties go to the
 language first in order; extra columns are not read by ``predict`` and are kept
 by ``keep_known``.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import give_back, keep_rows, mix, rows_of, send, tidied, utf8
+from refsieve.llm.common import give_back, keep_rows, mix, pieces, rows_of, send, tidied, utf8
 from refsieve.llm.learn import fold, sample, softmax, temperature
 
 BUCKETS, WIDTH = 1 << 13, 16
@@ -44,8 +44,8 @@ def counts(text: str | None) -> np.ndarray | None:
     if not text or not any(c.isalpha() for c in text):
         return None
     total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), CHUNK):  # a word cut at a chunk's end counts as two
-        data = np.frombuffer(utf8(" " + _OTHER.sub(" ", text[at : at + CHUNK].lower()) + " "), np.uint8)
+    for piece in pieces(text.lower(), CHUNK, _OTHER):
+        data = np.frombuffer(utf8(" " + _OTHER.sub(" ", piece) + " "), np.uint8)
         code, blank = data.astype(np.uint64), data == 32
         gram = np.zeros(len(data), np.uint64)
         inner = np.zeros(len(data), bool)  # a blank inside, so not one word's
