@@ -10,7 +10,7 @@ Character references are decoded, white space (line breaks by br included) in a
 block becomes one space, blocks are trimmed and joined by newlines in page
 order. Scripts, styles, templates, form fields, the head's title, comments and
 markup never reach a block; all other text does, fallback content and formulas
-included. The network reads a path's ``PATH_WORDS`` innermost words. Null, empty
+included. A block's share of links counts what stands in any open link. The network reads a path's ``PATH_WORDS`` innermost words. Null, empty
 and textless pages give an empty text. Unclosed tags, comments and quotes are
 read as browsers read them, or nearly so: after a quote that never closes, tags
 end at the first ``>``. Reading takes time in proportion to a page's length.
@@ -41,9 +41,12 @@ UNSEEN = frozenset("script style template textarea select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KEPT_INLINE = frozenset("a button label".split())
 SAME_LEVEL = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-_TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: A quote opens a value only after ``=``; elsewhere it is a character like others.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)|(?=>))"
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[\s/]++|(?:=(?!\s*+[\"'])|[^\s/>=])[^\s/>=]*+(?:%s)?+)*+)>" % re.sub(r"\((?!\?)", "(?:", _VALUE))
 _LOOSE = re.compile(r"</?([A-Za-z][^\s/>]*+)([^>]*+)>")
-_MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.IGNORECASE)
+MARKS = ("class", "id", "role")
 _PART = re.compile(r"[a-z]+")
 _NAME = re.compile(r"</?[A-Za-z]")
 
@@ -68,29 +71,32 @@ class Block:
 
 
 class Stack:
-    """Open elements, (name, path words), and where each name is open: closing looks at no more than it removes."""
+    """Open elements, (name, path words, whether a link), where each name is open, and how many links are: closing looks at no more than it removes."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[tuple[str, tuple[str, ...], bool]] = []
         self.at: dict[str, list[int]] = {}
+        self.links = 0
 
-    def push(self, name: str, words: tuple[str, ...]) -> None:
+    def push(self, name: str, words: tuple[str, ...], link: bool) -> None:
         self.at.setdefault(name, []).append(len(self.open))
-        self.open.append((name, words))
+        self.open.append((name, words, link))
+        self.links += link
 
     def close(self, name: str, stops: tuple[str, ...] = ()) -> None:
         """Close the innermost ``name`` and all in it, unless one of ``stops`` is open in it."""
         if not (places := self.at.get(name)) or any(self.at.get(stop, [-1])[-1:] > places[-1:] for stop in stops):
             return
         place = places[-1]
-        for other, _ in self.open[place:]:
+        for other, _, link in self.open[place:]:
             self.at[other].pop()
+            self.links -= link
         del self.open[place:]
 
     def path(self) -> tuple[str, ...]:
         """The innermost path words, outermost first."""
         found: list[str] = []
-        for _, words in reversed(self.open):
+        for _, words, _ in reversed(self.open):
             found[:0] = words
             if len(found) >= PATH_WORDS:
                 break
@@ -116,7 +122,7 @@ def leaf_blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int, int]]
             if not now.pieces:
                 now.path, now.depth = stack.path(), len(stack.open)
             now.pieces.append(unescape(piece))
-            if any(name == "a" for name, _ in stack.open[-3:]):
+            if stack.links:
                 now.linked += len(piece)
 
     while at < size:
@@ -176,8 +182,11 @@ def leaf_blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int, int]]
                 stack.close(name, SAME_LEVEL[name])
         elif name not in KEPT_INLINE:
             continue
-        marks = [w for g in _MARK.findall(m[2]) for w in _PART.findall("".join(g).lower())] if m[2] else []
-        stack.push(name, (name, *(f".{w}" for w in marks)))
+        given = [(key.lower(), "".join(value)) for key, *value in _ATTRIBUTE.findall(m[2])] if m[2] else []
+        if name == "a" and stack.open and stack.open[-1][0] == "a":
+            stack.close("a")
+        marks = [w for key, value in given if key in MARKS for w in _PART.findall(value.lower())]
+        stack.push(name, (name, *(f".{w}" for w in marks)), name == "a" and any(key == "href" for key, _ in given))
     turn()
     return [(text, b.path, b.linked, b.depth) for b in done if (text := b.text)]
 
