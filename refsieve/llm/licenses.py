@@ -4,9 +4,10 @@ Templates and texts are word sequences (ASCII case folded, runs of letters and
 digits). The winnowed hashes of their ``K``-word shingles are fingerprints: of
 each ``WINDOW`` consecutive shingles the least is kept, so any match of K +
 WINDOW - 1 words shares one. An inverted index from fingerprint to template
-places picks candidate diagonals in a text; a banded alignment of the template
-against the text around each diagonal gives its matched words, coverage and
-span. Matches of ``COVERAGE`` or more are reported; where two overlap, the one
+places picks candidate diagonals in a text. Those around which the text shares
+too few of the template's words, with repeats, are left; for the rest a banded
+alignment of the template against the text around each diagonal gives its
+matched words, coverage and span. Matches of ``COVERAGE`` or more are reported; where two overlap, the one
 with more matched words stays, then the one of the earlier name, and the
 diagonals of the other are aligned again with the words beside it.
 
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from refsieve.llm.common import LOWER, map_rows, rows_of, send, span_hashes, tidied, utf8, word_spans
 
 K, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
+#: From so many diagonals of a template on they are aligned together, so many at once.
+TOGETHER, AT_ONCE = 6, 20_000
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 _SPLIT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _STEP = 1 << 16
@@ -147,6 +150,47 @@ def align(template: list[bytes], text: list[bytes], start: int, low: int, high:
     return matched, first, last
 
 
+#: A state of an alignment in 64 bits: score, matched words, nearness of the first match, and place of the last, from the band's start.
+_SCORE, _MATCHED, _FIRST, _PLACE = 48, 32, 16, (1 << 16) - 1
+
+
+def align_all(template: np.ndarray, text: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """What ``align`` gives for each start, of words as numbers: one table row after the other, all starts at once."""
+    width, one = 2 * BAND + 1, np.int64(1) << _SCORE
+    nothing = (np.int64(1) << 14 << _SCORE) | (np.int64(_PLACE) << _FIRST)
+    best = np.full((width + 1, len(starts)), nothing)
+    for i, word in enumerate(template):
+        best[width] = nothing - i * one
+        at = starts + i - BAND + np.arange(width)[:, None]
+        there = (low <= at) & (at < high)
+        same = there & (text[np.minimum(np.maximum(at, 0), len(text) - 1)] == word)
+        place = i + 1 + np.arange(width)[:, None]
+        begun = np.where((best[:width] >> _FIRST) & _PLACE == _PLACE, best[:width] - (place << _FIRST), best[:width])
+        hit = (begun & ~_PLACE) + 2 * one + (np.int64(1) << _MATCHED) + place
+        beside = np.where(same, hit, np.where(there, best[:width] - one, 0))
+        row = best[1:] - one
+        row = np.where(beside >> _FIRST > row >> _FIRST, beside, row)
+        for j in range(1, width):
+            left = np.where((row[j - 1] >> _MATCHED) & _PLACE > 0, row[j - 1] - one, 0)
+            row[j] = np.where(left >> _FIRST > row[j] >> _FIRST, left, row[j])
+        best[:width] = row
+    last = best[(best[:width] >> _FIRST).argmax(axis=0), np.arange(len(starts))]
+    matched = (last >> _MATCHED) & _PLACE
+    first, end = starts - BAND + _PLACE - ((last >> _FIRST) & _PLACE) - 1, starts - BAND + (last & _PLACE) - 1
+    return [(m, f, e) if m else (0, -1, -1) for m, f, e in zip(matched.tolist(), first.tolist(), end.tolist(), strict=True)]
+
+
+def shared_words(held: dict[int, int], text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each window of the text, the words, with repeats, that a template of so many of each may match there."""
+    order = np.argsort(text, kind="stable")
+    sorted_text = text[order]
+    total = np.zeros(len(low), np.int64)
+    for word, n in held.items():
+        at = order[np.searchsorted(sorted_text, word) : np.searchsorted(sorted_text, word, side="right")]
+        total += np.minimum(np.searchsorted(at, high) - np.searchsorted(at, low), n)
+    return total
+
+
 def free_parts(kept: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
     """The parts of words low to high (exclusive) that no kept match, of (first, last, ...) by place, covers."""
     i = bisect_left(kept, (low,))
@@ -168,21 +212,30 @@ def matches(index: Index, text: str | None) -> list[tuple[str, int, int, int, fl
     # Best first: (-words, name, first, last, template, start, low, high). Before an
     # alignment (last -1) words and first are bounds, so nothing better comes later.
     queue: list[tuple] = []
-    need, held = {}, {}
+    need, held, aligned = {}, {}, {}
+    numbers: dict[bytes, int] = {}
+    coded = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
     for number, starts in index.diagonals(shingle_hashes(words)).items():
-        template = index.words[number]
+        template, starts = index.words[number], np.array(starts)
         need[number] = len(template) * (COVERAGE if len(template) > K else 1)
         held[number] = Counter(template)
-        for start in starts:
-            low, high = max(0, start - BAND), min(len(words), start + len(template) + BAND)
-            queue.append((-len(template), index.names[number], low, -1, number, start, low, high))
+        low, high = np.maximum(starts - BAND, 0), np.minimum(starts + len(template) + BAND, len(words))
+        bound = shared_words({numbers.get(w, -1): n for w, n in held[number].items()}, coded, low, high)
+        good = bound >= need[number]
+        starts, low, high, bound = (x[good] for x in (starts, low, high, bound))
+        for at in range(0, len(starts) if len(starts) >= TOGETHER else 0, AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            found = align_all(np.array([numbers.get(w, -1) for w in template]), coded, starts[part], low[part], high[part])
+            aligned |= zip(((number, s) for s in starts[part].tolist()), found, strict=True)
+        queue += [(-n, index.names[number], lo, -1, number, s, lo, hi) for n, s, lo, hi in zip(bound.tolist(), starts.tolist(), low.tolist(), high.tolist(), strict=True)]
     heapify(queue)
     kept: list[tuple] = []  # (first, last, name, matched, coverage), by place
     while queue:
         less, name, first, last, number, start, low, high = heappop(queue)
         template = index.words[number]
         if last < 0 and free_parts(kept, low, high) == [(low, high)]:
-            matched, first, last = align(template, words, start, low, high)
+            whole = (low, high) == (max(0, start - BAND), min(len(words), start + len(template) + BAND))
+            matched, first, last = aligned.get((number, start)) if whole and (number, start) in aligned else align(template, words, start, low, high)
             if matched >= need[number]:
                 heappush(queue, (-matched, name, first, last, number, start, low, high))
             continue
