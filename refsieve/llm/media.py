@@ -61,11 +61,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count, at + 1)
     elif kind == b"P1":
         digits = re.sub(rb"#[^\r\n]*|\s", b"", data[at:])[:count]
+        if digits.strip(b"01"):
+            raise ValueError("netpbm samples")
         flat = 1 - (np.frombuffer(digits, np.uint8) - 48)
     elif kind in (b"P2", b"P3"):
         flat = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:count], np.int64)
     else:
         raise ValueError("not netpbm")
+    if flat.size and (flat.min() < 0 or flat.max() > top):
+        raise ValueError("netpbm samples")
     flat = flat.reshape(height, width, channels)
     return flat if flat.dtype == np.uint8 and top == 255 else ((flat.astype(np.int64) * 255 * 2 + top) // (2 * top)).astype(np.uint8)
 
