@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from refsieve.functions.match import TITLE_WORDS, cross_check
 from refsieve.functions.similarity import sequence_ratio
 from refsieve.functions.text import arxiv_valid, clean_doi, doi_match, folded, has_cjk, jaccard, keyword_score, path_keywords, retraction_reason, word_set
+from refsieve.operators.contained import GRAM, contained
+from refsieve.operators.durable import written
+from refsieve.operators.nearest import nearest
 from refsieve.plans.schemas import EXPLICIT_LABELS
 
 c = F.col
@@ -98,17 +101,15 @@ def verify_pmid(items: DataFrame, registry: DataFrame, sequence: bool = True) ->
 def second_opinion(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Gated rows whose title stands verbatim in a registered title: the same record makes them correct, another is a signal.
 
-    Candidates are blocked on the title's least common word in the registry, so
-    no title is compared with all others.
+    Each title is looked up once, however many rows claim it; it may begin or end inside a word.
     """
     gated = (c("route") == "mismatch_gated") & (F.size(word_set(c("claimed_title"))) >= 4) & ~has_cjk(c("claimed_title"))
-    asked = rows.where(gated).select("id", "input_ord", folded(c("claimed_title")).alias("q"), F.explode(word_set(c("claimed_title"))).alias("w"))
-    index = registry.where("valid").select(c("pmid").alias("found"), folded(c("title")).alias("t"), F.explode(word_set(c("title"))).alias("w"))
-    rare = index.groupBy("w").agg(F.count("*").alias("df"))
-    first = Window.partitionBy("id", "input_ord").orderBy("df", "w")
-    keys = asked.join(rare, "w").withColumn("n", F.row_number().over(first)).where("n = 1")
-    found = keys.join(index, "w").where(F.contains(c("t"), c("q")))
-    best = found.groupBy("id", "input_ord").agg(F.max((c("found") == c("id"))).alias("same"), F.min("found").alias("other"))
+    asked = rows.where(gated).select("id", "input_ord", folded(c("claimed_title")).alias("title"))
+    titles = written(asked.select("title").distinct().withColumn("nid", F.monotonically_increasing_id()), "claimed-titles")
+    held = written(contained(titles, registry.where("valid").select(c("pmid").alias("tid"), folded(c("title")).alias("text"))), "held-titles")
+    least = held.groupBy("nid").agg(F.min("tid").alias("other"))
+    own = held.select("nid", c("tid").alias("id"), F.lit(True).alias("same"))
+    best = asked.join(titles, "title").join(least, "nid").join(own, ["nid", "id"], "left").select("id", "input_ord", F.coalesce("same", F.lit(False)).alias("same"), "other")
     out = rows.join(best, ["id", "input_ord"], "left")
     return out.withColumns({"wrong_pmid_signal": _true(~c("same")), "suggested": F.when(~c("same"), c("other")), "route": F.when(c("same"), "title_corroborated").otherwise(c("route")), "verdict": F.when(c("same"), "correct").otherwise(c("verdict"))}).drop("same", "other")
 
@@ -162,54 +163,23 @@ def verify_arxiv(items: DataFrame, records: DataFrame, registry: DataFrame, sequ
     return rows.join(links, "__doi", "left").withColumn("kind", F.lit("arxiv")).drop("__doi", "__a", "__b", "seq")
 
 
-def _placed(rows: DataFrame, key: str, words: str, rare: DataFrame) -> DataFrame:
-    """(key, w, at, size): the rarest words of each row, at least one of which any record at a Jaccard of ``TITLE_WORDS`` shares."""
-    held = rows.select(key, F.explode(words).alias("w")).join(rare, "w", "left").select(key, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w").alias("s"))
-    ordered = held.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s")).select(key, F.size("s").alias("size"), F.posexplode("s").alias("at", "s"))
-    return ordered.where(c("at") <= c("size") - F.ceil(c("size") * TITLE_WORDS)).select(key, c("s.w").alias("w"), "at", "size")
+def title_candidates(items: DataFrame, registry: DataFrame, most: int = 3, least: float = 0.0) -> DataFrame:
+    """The ``most`` registered records nearest in words to each claimed title, of all that share a word or reach ``least``.
 
-
-def _near_titles(asked: DataFrame, index: DataFrame, rare: DataFrame) -> DataFrame:
-    """All (q, found, found_title, score) at a Jaccard of ``TITLE_WORDS`` or more; ``asked`` has each set of words once.
-
-    Two such sets share at least ``need`` words; those begin with the first that
-    they share, so only pairs with that many words left on both sides are scored.
-    """
-    ours = _placed(asked, "q", "q", rare)
-    theirs = _placed(index, "found", "words", rare).join(index, "found").withColumnsRenamed({"at": "their_at", "size": "their_size"})
-    need = (c("size") + c("their_size")) * (TITLE_WORDS / (1 + TITLE_WORDS)) - 1e-9
-    pairs = ours.join(theirs, "w").where(F.least(c("size") - c("at"), c("their_size") - c("their_at")) >= need)
-    return pairs.select("q", "found", "found_title", jaccard(c("q"), c("words")).alias("score")).where(c("score") >= TITLE_WORDS).distinct()
-
-
-def title_candidates(items: DataFrame, registry: DataFrame, most: int = 3, keys: int = 2, whole: bool = True) -> DataFrame:
-    """The ``most`` registered records nearest in words to each claimed title.
-
-    Candidates are all records that the ladder's words would accept and, for
-    those that only characters would or that are merely suggested, the records
-    with one of the ``keys`` words that fewest registered titles hold; not
-    ``whole``: only the latter. Ties go to the word, then the record, first in
-    order.
+    Ties go to the record first in order. Claims of one title share its candidates: they are found once for each set of words.
     """
-    index = registry.where("valid").select(c("pmid").alias("found"), c("title").alias("found_title"), word_set(c("title")).alias("words"))
-    held = index.select("found", "found_title", "words", F.explode("words").alias("w"))
-    rare = held.groupBy("w").agg(F.count("*").alias("df"))
+    records = registry.where("valid").select(c("pmid").alias("found"), c("title").alias("found_title"))
     asked = items.where(_some(c("claimed_title"))).select("id", "input_ord", F.array_sort(word_set(c("claimed_title"))).alias("q"))
-    # Claims of one title share its candidates: they are found, scored and ranked once for each set of words.
-    sets = asked.select("q").distinct()
-    nth = Window.partitionBy("q").orderBy("df", "w")
-    wanted = sets.withColumn("w", F.explode("q")).join(rare, "w").withColumn("n", F.row_number().over(nth)).where(c("n") <= keys).select("q", "w")
-    pairs = wanted.join(held, "w").select("q", "found", "found_title", jaccard(c("q"), c("words")).alias("score"))
-    if whole:
-        pairs = pairs.union(_near_titles(sets, index, rare))
-    rank = Window.partitionBy("q").orderBy(c("score").desc(), "found")
-    best = pairs.distinct().withColumn("rank", F.row_number().over(rank)).where(c("rank") <= most)
-    return asked.join(best, "q").select("id", "input_ord", "found", "found_title", "score", "rank")
+    best = nearest(asked, records.select("found", word_set(c("found_title")).alias("words")), most, least)
+    return asked.join(best, "q").join(records, "found").select("id", "input_ord", "found", "found_title", "score", "rank")
 
 
 def title_search(items: DataFrame, registry: DataFrame, sequence: bool = True) -> DataFrame:
-    """Title leg: the best candidate that the ladder calls correct; retracted ones are partial; else unknown, never mismatch."""
-    found = title_candidates(items, registry).select("id", "input_ord", "found", "rank")
+    """Title leg: the best candidate that the ladder calls correct; retracted ones are partial; else unknown, never mismatch.
+
+    Without ``sequence`` the ladder accepts no title below ``TITLE_WORDS``, so none is looked for.
+    """
+    found = title_candidates(items, registry, least=0.0 if sequence else TITLE_WORDS).select("id", "input_ord", "found", "rank")
     records = registry.withColumnRenamed("pmid", "found")
     checked = cross_check(items.join(found, ["id", "input_ord"]).join(records, "found"), sequence).where("verdict = 'correct'")
     best = checked.groupBy("id", "input_ord").agg(F.min_by(F.struct("found", "retracted"), "rank").alias("best"))
@@ -312,7 +282,7 @@ def replacements(rows: DataFrame, registry: DataFrame, most: int = 3) -> DataFra
     suggested = F.lit(False) if "suggested_pmids" not in rows.columns else F.coalesce(F.size("suggested_pmids") > 0, F.lit(False))
     asked = rows.where(_true(c("retracted")) & (F.length(title) >= 15) & ~suggested).select("id", "input_ord", title_query(title, 6, REPLACEMENT_STOP).alias("claimed_title"))
     live = registry.where(~_true(c("retracted")))
-    found = title_candidates(asked, live, most + 1, whole=False).where(c("found") != c("id"))
+    found = title_candidates(asked, live, most + 1).where(c("found") != c("id"))
     rank = Window.partitionBy("id", "input_ord").orderBy("rank")
     kept = found.withColumn("n", F.row_number().over(rank)).where(c("n") <= most)
     packed = kept.groupBy("id", "input_ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "found"))), lambda x: x["found"]).alias("replacement_pmids"))
@@ -325,24 +295,19 @@ def with_relevance(rows: DataFrame, least: float = 0.2) -> DataFrame:
     return rows.withColumn("match_score", F.when(_true(c("valid")), score)).withColumn("unmatched", _true(c("match_score") < least))
 
 
-#: Characters that begin a registered title: no shorter title counts, and longer ones are looked up by them.
-LEAD = 6
-
-
 def cjk_search(items: DataFrame, works: DataFrame, sequence: bool = True) -> DataFrame:
     """Entries (id, input_ord, raw, claimed_*) without an identifier, by a registered title that stands in their text as it is.
 
-    ``works`` has work_id, title, authors, journal, year, retracted. A title
-    that an entry holds begins with six characters that the entry holds, so
-    pairs are joined on those; then the whole title must be there, the years must
-    not differ, and the ladder must say correct. Never a mismatch: all else is
-    unknown. The longest title wins, then the least work_id.
+    ``works`` has work_id, title, authors, journal, year, retracted; titles of
+    fewer than ``GRAM`` characters do not count. The years must not differ, and
+    the ladder must say correct. Never a mismatch: all else is unknown. The
+    longest title wins, then the least work_id.
     """
-    text = F.coalesce(c("raw"), F.lit(""))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - LEAD + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(LEAD))))
-    asked = items.where(has_cjk(c("raw"))).select("id", "input_ord", "raw", c("claimed_authors").alias("__authors"), c("claimed_journal").alias("__journal"), c("claimed_year").alias("__year"), F.explode(grams).alias("__lead"))
-    record = works.where(F.length("title") >= LEAD).select("work_id", F.trim("title").alias("title"), "authors", "journal", c("year").alias("pubdate"), "retracted").withColumn("__lead", F.substring("title", 1, LEAD))
-    met = asked.join(record, "__lead").where(F.contains(c("raw"), c("title")) & (~_some(c("__year")) | ~_some(c("pubdate")) | (c("__year") == c("pubdate")))).drop("__lead")
+    asked = items.where(has_cjk(c("raw"))).select("id", "input_ord", "raw", c("claimed_authors").alias("__authors"), c("claimed_journal").alias("__journal"), c("claimed_year").alias("__year"))
+    asked = written(asked.withColumn("tid", F.monotonically_increasing_id()), "cjk-entries")
+    record = written(works.select(F.monotonically_increasing_id().alias("nid"), "work_id", F.trim("title").alias("title"), "authors", "journal", c("year").alias("pubdate"), "retracted"), "cjk-works")
+    held = contained(record.where(F.length("title") >= GRAM).select("nid", "title"), asked.select("tid", c("raw").alias("text")))
+    met = held.join(asked, "tid").join(record, "nid").where(~_some(c("__year")) | ~_some(c("pubdate")) | (c("__year") == c("pubdate"))).drop("nid", "tid")
     met = met.withColumns({"claimed_title": c("title"), "claimed_authors": F.when(F.coalesce(F.size("__authors"), F.lit(0)) > 0, c("__authors")).otherwise(F.slice("authors", 1, 3)), "claimed_journal": F.when(_some(c("__journal")), c("__journal")).otherwise(c("journal")), "claimed_year": F.when(_some(c("__year")), c("__year")).otherwise(c("pubdate"))})
     good = cross_check(met, sequence).where("verdict = 'correct'")
     order = F.struct((-F.length("title")).alias("l"), "work_id")

@@ -202,29 +202,28 @@ def verify_arxiv(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("input_ord", "id", "verdict", F.coalesce("arxiv_doi_mismatch", F.lit(False)).alias("arxiv_doi_mismatch"))
 
 
-_CANDIDATES = f"""idx AS (SELECT pmid AS found, title AS found_title, {oracles.word_set('title')} AS words FROM registry WHERE valid
-), held AS (SELECT found, found_title, words, unnest(words) AS w FROM idx
-), df AS (SELECT w, count(*) AS df FROM held GROUP BY w
-), q AS (SELECT id, input_ord, {oracles.word_set('claimed_title')} AS q FROM asked WHERE coalesce(claimed_title, '') <> ''
-), keys AS (
-  SELECT id, input_ord, q, w FROM (SELECT *, row_number() OVER (PARTITION BY id, input_ord ORDER BY df, w) AS n FROM (SELECT id, input_ord, q, unnest(q) AS w FROM q) JOIN df USING (w)) WHERE n <= 2
-), cand AS (
-  SELECT *, row_number() OVER (PARTITION BY id, input_ord ORDER BY score DESC, found) AS rank FROM (
-    SELECT DISTINCT id, input_ord, found, found_title, {oracles.jaccard('q', 'words')} AS score FROM keys JOIN held USING (w))
-)"""
-
-
-@query(f"WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_CANDIDATES} SELECT input_ord, found, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM cand WHERE rank <= 3")
+def _candidates(records: str = "valid", most: int = 3) -> str:
+    """CTEs up to cand: the best records of each distinct set of words, by all words that any record shares with it."""
+    return f"""idx AS (SELECT pmid AS found, {oracles.word_set('title')} AS words FROM registry WHERE {records}
+), held AS (SELECT found, len(words) AS s, unnest(words) AS w FROM idx
+), q AS (SELECT id, input_ord, list_sort({oracles.word_set('claimed_title')}) AS q FROM asked WHERE coalesce(claimed_title, '') <> ''
+), sets AS (SELECT DISTINCT q FROM q
+), shared AS (SELECT q, found, CAST(count(*) AS DOUBLE) / (len(q) + s - count(*)) AS score FROM (SELECT q, unnest(q) AS w FROM sets) JOIN held USING (w) GROUP BY q, found, s
+), best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, found) AS rank FROM shared QUALIFY rank <= {most}
+), cand AS (SELECT id, input_ord, found, score, rank FROM q JOIN best USING (q))"""
+
+
+@query(f"WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_candidates()} SELECT input_ord, found, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM cand")
 def suggest_topk(spark: SparkSession, d: str) -> DataFrame:
-    return verify.title_candidates(synth.claims(spark, d), synth.registry(spark, d), whole=False).select("input_ord", "found", "rank", F.round("score", 6).alias("score"))
+    return verify.title_candidates(synth.claims(spark, d), synth.registry(spark, d)).select("input_ord", "found", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_CANDIDATES}, base AS (
-  SELECT c.*, k.found, k.rank, r.title, r.authors, r.journal, r.pubdate, r.doi, r.retracted FROM claims c JOIN (SELECT * FROM cand WHERE rank <= 3) k USING (id, input_ord) JOIN registry r ON r.pmid = k.found
-), {oracles.compared('base')}, best AS (
+@query(f"""WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_candidates()}, base AS (
+  SELECT c.*, k.found, k.rank, r.title, r.authors, r.journal, r.pubdate, r.doi, r.retracted FROM claims c JOIN cand k USING (id, input_ord) JOIN registry r ON r.pmid = k.found
+), {oracles.compared('base')}, won AS (
   SELECT input_ord, arg_min(found, rank) AS pmid, arg_min(retracted, rank) AS retracted FROM graded WHERE ladder = 'correct' GROUP BY input_ord
 )
-SELECT c.input_ord, b.pmid, CASE WHEN b.pmid IS NULL THEN 'unknown' WHEN b.retracted THEN 'partial' ELSE 'correct' END AS verdict FROM claims c LEFT JOIN best b USING (input_ord)""")
+SELECT c.input_ord, b.pmid, CASE WHEN b.pmid IS NULL THEN 'unknown' WHEN b.retracted THEN 'partial' ELSE 'correct' END AS verdict FROM claims c LEFT JOIN won b USING (input_ord)""")
 def title_search(spark: SparkSession, d: str) -> DataFrame:
     return verify.title_search(synth.claims(spark, d), synth.registry(spark, d), False).select("input_ord", "pmid", "verdict")
 
@@ -243,15 +242,26 @@ def mismatch_gate(spark: SparkSession, d: str) -> DataFrame:
     return verify.verify_pmid(_shifted(spark, d), synth.registry(spark, d), False).where("route = 'mismatch_gated'").select("input_ord", "verdict", "route")
 
 
-@query(f"""{_PMID.replace('FROM claims c LEFT JOIN', f'FROM ({_SHIFTED}) c LEFT JOIN')}, gated AS (
-  SELECT * FROM pmid_rows WHERE route = 'mismatch_gated' AND len(cw) >= 4
+#: Of these, every second title is cut inside its first and last words.
+_CUT = f"SELECT * REPLACE (CASE WHEN input_ord % 2 = 0 THEN substring(claimed_title, 3, greatest(length(claimed_title) - 3, 0)) ELSE claimed_title END AS claimed_title) FROM ({_SHIFTED})"
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    inner = F.substr("claimed_title", F.lit(3), F.greatest(F.length("claimed_title") - 3, F.lit(0)))
+    return _shifted(spark, d).withColumn("claimed_title", F.when(c("input_ord") % 2 == 0, inner).otherwise(c("claimed_title")))
+
+
+@query(f"""{_PMID.replace('FROM claims c LEFT JOIN', f'FROM ({_CUT}) c LEFT JOIN')}, gated AS (
+  SELECT *, {oracles.folded('claimed_title')} AS q FROM pmid_rows WHERE route = 'mismatch_gated' AND len(cw) >= 4
+), titles AS (SELECT pmid, {oracles.folded('title')} AS t FROM registry WHERE valid
+), held AS (SELECT q, pmid FROM (SELECT DISTINCT q FROM gated) JOIN titles ON contains(t, q)
 ), found AS (
-  SELECT g.input_ord, bool_or(r.pmid = g.id) AS same, min(r.pmid) AS other FROM gated g JOIN registry r ON r.valid AND contains({oracles.folded('r.title')}, {oracles.folded('g.claimed_title')}) GROUP BY g.input_ord
+  SELECT g.input_ord, bool_or(h.pmid = g.id) AS same, min(h.pmid) AS other FROM gated g JOIN held h USING (q) GROUP BY g.input_ord
 )
 SELECT p.input_ord, CASE WHEN same THEN 'correct' ELSE verdict END AS verdict, coalesce(NOT same, false) AS wrong_pmid_signal, CASE WHEN NOT same THEN other END AS suggested FROM pmid_rows p LEFT JOIN found f USING (input_ord)""")
 def second_opinion(spark: SparkSession, d: str) -> DataFrame:
     registry = synth.registry(spark, d)
-    rows = verify.second_opinion(verify.verify_pmid(_shifted(spark, d), registry, False), registry)
+    rows = verify.second_opinion(verify.verify_pmid(_cut(spark, d), registry, False), registry)
     return rows.select("input_ord", "verdict", "wrong_pmid_signal", "suggested")
 
 
@@ -319,14 +329,22 @@ _OLD = "SELECT CAST(input_ord AS VARCHAR) AS key, CASE WHEN input_ord % 6 = 0 TH
 _NEW = "SELECT CAST(input_ord AS VARCHAR) AS key, verdict AS now, retracted, network_error FROM pmid_rows WHERE input_ord % 14 <> 0"
 
 
-@query(f"""{_PMID}, j AS (SELECT coalesce(o.key, n.key) AS key, o.key IS NOT NULL AS old, n.key IS NOT NULL AS new, was, now, coalesce(was_retracted, false) AS wr, coalesce(retracted, false) AS nr, coalesce(network_error, false) AS down FROM ({_OLD}) o FULL OUTER JOIN ({_NEW}) n ON o.key = n.key)
-SELECT key, 'newly_retracted' AS category FROM j WHERE new AND nr AND NOT wr
-UNION ALL SELECT key, CASE WHEN NOT old THEN 'new' WHEN NOT new THEN 'dropped' WHEN was = 'correct' THEN 'degraded' ELSE 'improved' END FROM j
-WHERE NOT old OR NOT new OR (was = 'correct' AND now IN ('mismatch', 'invalid', 'unknown') AND NOT nr AND NOT down) OR (was IN ('mismatch', 'invalid', 'unknown') AND now = 'correct')""")
+#: The changes: key, category, was, now.
+_CHANGES = f"""{_PMID}, j AS (SELECT coalesce(o.key, n.key) AS key, o.key IS NOT NULL AS old, n.key IS NOT NULL AS new, was, now, coalesce(was_retracted, false) AS wr, coalesce(retracted, false) AS nr, coalesce(network_error, false) AS down FROM ({_OLD}) o FULL OUTER JOIN ({_NEW}) n ON o.key = n.key),
+changes AS (SELECT key, 'newly_retracted' AS category, was, now FROM j WHERE new AND nr AND NOT wr
+UNION ALL SELECT key, CASE WHEN NOT old THEN 'new' WHEN NOT new THEN 'dropped' WHEN was = 'correct' THEN 'degraded' ELSE 'improved' END, was, now FROM j
+WHERE NOT old OR NOT new OR (was = 'correct' AND now IN ('mismatch', 'invalid', 'unknown') AND NOT nr AND NOT down) OR (was IN ('mismatch', 'invalid', 'unknown') AND now = 'correct'))"""
+
+
+@query(f"{_CHANGES} SELECT key, category FROM changes")
 def delta(spark: SparkSession, d: str) -> DataFrame:
+    return _delta(spark, d).select("key", "category")
+
+
+def _delta(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d).withColumn("key", c("input_ord").cast("string"))
     old = rows.where("input_ord % 9 <> 0").select("key", F.when(c("input_ord") % 6 == 0, "mismatch").when(c("input_ord") % 10 == 0, "correct").otherwise(c("verdict")).alias("verdict"), (c("retracted") & (c("input_ord") % 4 == 0)).alias("retracted"))
-    return rollup.delta(old, rows.where("input_ord % 14 <> 0")).select("key", "category")
+    return rollup.delta(old, rows.where("input_ord % 14 <> 0"))
 
 
 @query(f"{_PMID} SELECT input_ord, CAST(CASE WHEN retracted OR doi_splice THEN 0 ELSE CASE verdict WHEN 'mismatch' THEN 1 WHEN 'invalid' THEN 2 WHEN 'partial' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END END AS INT) AS severity FROM pmid_rows ORDER BY severity, input_ord")

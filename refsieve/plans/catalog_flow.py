@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refsieve.operators import export, flow, lint, rollup, verify
 from refsieve.plans import oracles, synth
-from refsieve.plans.catalog import _CACHE, _PMID, _cache, _rows, query
+from refsieve.plans.catalog import _CACHE, _CHANGES, _PMID, _cache, _candidates, _delta, _rows, query
 from refsieve.sources import bibliography, records
 
 c = F.col
@@ -222,12 +222,7 @@ def retraction_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_PMID}, asked AS (SELECT id, input_ord, array_to_string(list_filter(string_split(title, ' '), lambda w: length(w) > 3 AND NOT list_contains(['the', 'and', 'for', 'with', 'from', 'that', 'this', 'effect', 'study', 'using', 'based'], lower(w)))[1:6], ' ') AS claimed_title FROM pmid_rows WHERE retracted AND length(title) >= 15
-), idx AS (SELECT pmid AS found, {oracles.word_set('title')} AS words FROM registry WHERE valid AND NOT retracted
-), held AS (SELECT found, words, unnest(words) AS w FROM idx), df AS (SELECT w, count(*) AS df FROM held GROUP BY w
-), q AS (SELECT id, input_ord, {oracles.word_set('claimed_title')} AS q FROM asked
-), keys AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, input_ord ORDER BY df, w) AS n FROM (SELECT id, input_ord, q, unnest(q) AS w FROM q) JOIN df USING (w)) WHERE n <= 2
-), cand AS (SELECT *, row_number() OVER (PARTITION BY id, input_ord ORDER BY score DESC, found) AS rank FROM (SELECT DISTINCT id, input_ord, found, {oracles.jaccard('q', 'words')} AS score FROM keys JOIN held USING (w))
-), kept AS (SELECT *, row_number() OVER (PARTITION BY id, input_ord ORDER BY rank) AS n FROM cand WHERE rank <= 4 AND found <> id)
+), {_candidates('valid AND NOT retracted', 4)}, kept AS (SELECT *, row_number() OVER (PARTITION BY id, input_ord ORDER BY rank) AS n FROM cand WHERE found <> id)
 SELECT input_ord, string_agg(found, ',' ORDER BY n) AS found FROM kept WHERE n <= 3 GROUP BY input_ord""")
 def retraction_replacements(spark: SparkSession, d: str) -> DataFrame:
     rows = verify.replacements(_rows(spark, d), synth.registry(spark, d))
@@ -331,16 +326,20 @@ def subset(spark: SparkSession, d: str) -> DataFrame:
     return rollup.subset(_rows(spark, d), ("mismatch", "invalid"), ("doi_splice",)).select("input_ord", "verdict")
 
 
-def _changes(spark: SparkSession, d: str) -> DataFrame:
-    from refsieve.plans.catalog import delta  # the query's own runs
+_SIGNS = {name: (at, sign) for at, (name, sign) in enumerate(zip(export.LISTED, "⚠↓↑+−", strict=True), 1)}
 
-    return delta(spark, d)
 
+def _for(column: str, values: dict[str, object]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
-@query(None)
+
+@query(f"""{_CHANGES}, sizes AS (SELECT category, count(*) AS n FROM changes GROUP BY category), nth AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY key) AS n FROM changes)
+SELECT 0 AS at, 0 AS n, {" || ' · ' || ".join(f"'{k.replace('_', ' ')}: ' || coalesce((SELECT n FROM sizes WHERE category = '{k}'), 0)" for k in _SIGNS)} AS line
+UNION ALL SELECT {_for('category', {k: at for k, (at, _) in _SIGNS.items()})}, CAST(n AS INT), '- ' || {_for('category', {k: f"'{sign}'" for k, (_, sign) in _SIGNS.items()})} || ' ' || key || CASE WHEN category IN ('degraded', 'improved') THEN ': ' || was || ' → ' || now ELSE '' END
+FROM nth WHERE n <= {_for('category', export.LISTED)}""")
 def delta_report(spark: SparkSession, d: str) -> DataFrame:
     """The readable change report; its counts cover all rows, its lists the first of each category."""
-    return export.delta_lines(_changes(spark, d).withColumns({"was": F.lit("correct"), "now": F.lit("mismatch")}))
+    return export.delta_lines(_delta(spark, d))
 
 
 @query(f"{_PMID}, s AS (SELECT CASE WHEN retracted THEN 'retracted' WHEN NOT valid THEN 'excluded' WHEN verdict = 'correct' THEN 'included' WHEN verdict = 'partial' THEN 'partial' ELSE 'excluded' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY input_ord) AS n FROM pmid_rows) WHERE n = 1) SELECT '% total: ' || count_if(status = 'included') || ' included, ' || count_if(status = 'partial') || ' partial (commented), ' || count_if(status IN ('excluded', 'retracted')) || ' excluded' AS entry FROM s")
