@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["doi_clean", "verify_pmid", "dedup_explicit_first", "cache_upsert", "extract_doi", "ref_vancouver"]
-MORE = ["verify_doi", "lint_sheet", "decode_ncbi", "report_text"]
+MORE = ["verify_doi", "lint_sheet", "decode_ncbi", "report_text", "title_search", "cjk_title_search"]
 RUNS, MEMORY = 3, "8g"
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from refsieve.functions.styles import AUTHOR_DATE, author_list, reference
 from refsieve.functions.text import first_year, formula_safe, markdown_safe, single_blanks
+from refsieve.operators.durable import written
 from refsieve.operators.rollup import by_severity, ledger, readiness, stats
 
 c = F.col
@@ -114,33 +115,30 @@ def csl(rows: DataFrame) -> DataFrame:
 def reference_list(rows: DataFrame, style: str) -> DataFrame:
     """(section, n, entry) of ``display`` rows: verified entries numbered, then those to review; retracted ones are left out."""
     rows = bibliography(rows).where(c("status").isin("included", "partial")).withColumn("section", F.when(c("status") == "included", "verified").otherwise("review"))
-    if style in AUTHOR_DATE:
-        name = F.lower(F.coalesce(F.get(author_list(), F.lit(0)), F.lit("")))
-        rows = numbered(rows, [name, c("input_ord")], F.substring(name, 1, 3))
-    else:
-        span = rows.agg(F.min("input_ord").cast("double").alias("__low"), (F.max("input_ord").cast("double") + 1).alias("__high"))  # one row
-        rows = rows.crossJoin(F.broadcast(span))
-        rows = numbered(rows, [c("input_ord")], F.width_bucket(c("input_ord").cast("double"), c("__low"), c("__high"), F.lit(BUCKETS)))
+    name = F.lower(F.coalesce(F.get(author_list(), F.lit(0)), F.lit("")))
+    rows = numbered(rows, [name, c("input_ord"), c("pmid")] if style in AUTHOR_DATE else [c("input_ord"), c("pmid")])
     return rows.select("section", "n", "pmid", reference(style, c("n")).alias("entry"))
 
 
-#: Ranges of the input order within which places are counted.
-BUCKETS = 4096
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with ``n``, their place within their section (O3).
 
-
-def numbered(rows: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
-    """Rows with ``n``, their place within their section.
-
-    ``bucket`` coarsens the order: places are counted within buckets, and a
-    running sum over the buckets' sizes does the rest, so no section is sorted
-    in one task.
+    The rows are dealt into ranges of the order itself, by a sample of it, so
+    that however they cluster no task gets much more than another. Each range is
+    sorted and its rows take numbers from where it starts; a running sum over
+    the ranges' sizes, a row for each range and section, does the rest.
     """
-    rows = rows.withColumn("__bucket", bucket)
-    sizes = rows.groupBy("section", "__bucket").agg(F.count("*").alias("__size"))
-    before = F.sum("__size").over(Window.partitionBy("section").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("section", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("section", "__bucket").orderBy(*order))
-    return rows.withColumn("__local", local).join(offsets, ["section", "__bucket"]).withColumn("n", c("__local") + c("__before")).drop("__local", "__before", "__bucket")
+    keys = [c("section"), *[c(f"__key{i}") for i in range(len(order))]]
+    rows = written(rows.withColumns({f"__key{i}": x for i, x in enumerate(order)}), "entries")
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # A number is its task's, in the upper bits, and its place there.
+    at = F.monotonically_increasing_id()
+    placed = written(ranged.withColumn("__at", at).withColumn("__range", F.shiftright("__at", 33)), "entries-placed")
+    sizes = placed.groupBy("section", "__range").agg(F.count("*").alias("__size"), F.min("__at").alias("__first"))
+    before = F.sum("__size").over(Window.partitionBy("section").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("section", "__range", (F.coalesce(before, F.lit(0)) - c("__first") + 1).alias("__add"))
+    out = placed.join(F.broadcast(offsets), ["section", "__range"]).withColumn("n", c("__at") + c("__add"))
+    return out.drop("__at", "__range", "__add", *[f"__key{i}" for i in range(len(order))])
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:

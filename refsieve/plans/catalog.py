@@ -218,12 +218,16 @@ def suggest_topk(spark: SparkSession, d: str) -> DataFrame:
     return verify.title_candidates(synth.claims(spark, d), synth.registry(spark, d)).select("input_ord", "found", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {synth.sql()}, asked AS (SELECT * FROM claims), {_candidates()}, base AS (
-  SELECT c.*, k.found, k.rank, r.title, r.authors, r.journal, r.pubdate, r.doi, r.retracted FROM claims c JOIN cand k USING (id, input_ord) JOIN registry r ON r.pmid = k.found
+def _title_leg(items: str) -> str:
+    return f"""WITH {synth.sql()}, asked AS ({items}), {_candidates()}, base AS (
+  SELECT c.*, k.found, k.rank, r.title, r.authors, r.journal, r.pubdate, r.doi, r.retracted FROM asked c JOIN cand k USING (id, input_ord) JOIN registry r ON r.pmid = k.found
 ), {oracles.compared('base')}, won AS (
   SELECT input_ord, arg_min(found, rank) AS pmid, arg_min(retracted, rank) AS retracted FROM graded WHERE ladder = 'correct' GROUP BY input_ord
 )
-SELECT c.input_ord, b.pmid, CASE WHEN b.pmid IS NULL THEN 'unknown' WHEN b.retracted THEN 'partial' ELSE 'correct' END AS verdict FROM claims c LEFT JOIN won b USING (input_ord)""")
+SELECT c.input_ord, c.id, b.pmid, CASE WHEN b.pmid IS NULL THEN 'unknown' WHEN b.retracted THEN 'partial' ELSE 'correct' END AS verdict FROM asked c LEFT JOIN won b USING (input_ord)"""
+
+
+@query(f"SELECT input_ord, pmid, verdict FROM ({_title_leg('SELECT * FROM claims')})")
 def title_search(spark: SparkSession, d: str) -> DataFrame:
     return verify.title_search(synth.claims(spark, d), synth.registry(spark, d), False).select("input_ord", "pmid", "verdict")
 
@@ -511,6 +515,18 @@ def reference_list(spark: SparkSession, d: str) -> DataFrame:
     return export.reference_list(_cited(spark, d), "gbt").select("section", "n", "pmid")
 
 
+def _numbered(style: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return export.reference_list(_cited(spark, d), style)
+
+    run.__name__ = f"reference_list_{style}"
+    return run
+
+
+for _style in styles.AUTHOR_DATE:
+    query(f"{_FIRST}, placed AS (SELECT * EXCLUDE (n), id AS pmid, row_number() OVER (PARTITION BY status ORDER BY lower(authors[1]), input_ord) AS n FROM firsts WHERE status IN ('included', 'partial')) SELECT CASE WHEN status = 'included' THEN 'verified' ELSE 'review' END AS section, n, pmid, {_LINES[_style]} AS entry FROM placed")(_numbered(_style))
+
+
 @query(f"{_PMID} SELECT input_ord, id AS pmid, label, claimed_title, title, doi, verdict FROM pmid_rows")
 def audit_json(spark: SparkSession, d: str) -> DataFrame:
     """Audit records read back from their JSON."""

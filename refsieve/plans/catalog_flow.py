@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refsieve.operators import export, flow, lint, rollup, verify
 from refsieve.plans import oracles, synth
-from refsieve.plans.catalog import _CACHE, _CHANGES, _PMID, _cache, _candidates, _delta, _rows, query
+from refsieve.plans.catalog import _ARXIV_LEG, _CACHE, _CHANGES, _DOI, _PMID, _arxiv, _cache, _candidates, _delta, _doi_records, _rows, _title_leg, query
 from refsieve.sources import bibliography, records
 
 c = F.col
@@ -383,3 +383,49 @@ def cross_language(spark: SparkSession, d: str) -> DataFrame:
     title = F.when(k % 4 == 0, "儿童风湿病的治疗研究").when(k % 4 == 3, c("title"))
     rows = synth.registry(spark, d).withColumns({"claimed_title": title, "claimed_authors": F.when(k % 4 == 0, c("authors")).otherwise(foreign), "claimed_journal": F.when(k % 4 == 2, "Acta Botanica").otherwise(c("journal")), "claimed_year": F.substring("pubdate", 1, 4), "claimed_doi": null.cast("string")})
     return cross_check(rows, False).select("pmid", "verdict", "details")
+
+
+# The whole audit: items of four kinds, each id once, through their legs
+
+_DOI_ID = "'10.1000/' || CASE WHEN (CAST(id AS BIGINT) - 10000000) % 11 = 0 THEN 'lost.' ELSE 'part.' END || (CAST(id AS BIGINT) - 10000000)"
+
+
+def _of_kind(kind: int) -> str:
+    """The claims of one kind, the first of each id; ids of every kind tell records apart just as those of the claims do."""
+    return f"SELECT * FROM claims WHERE input_ord % 4 = {kind} QUALIFY row_number() OVER (PARTITION BY id ORDER BY explicit DESC, input_ord) = 1"
+
+
+_AUDIT_PMID = _PMID.replace("FROM claims c LEFT JOIN", f"FROM ({_of_kind(0)}) c LEFT JOIN")
+_AUDIT = f"""
+WITH pmids AS ({_AUDIT_PMID} SELECT 'pmid' AS kind, input_ord, id, verdict, valid, doi FROM pmid_rows
+), dois AS ({_DOI.replace("FROM claims", f"FROM ({_of_kind(1)}) claims")}
+), arxiv AS ({_ARXIV_LEG.replace("AS aid FROM claims", f"AS aid FROM ({_of_kind(2)}) claims")}
+), titles AS ({_title_leg(_of_kind(3))}
+)
+SELECT kind, input_ord, id, verdict FROM pmids
+UNION ALL SELECT 'doi', input_ord, doi, verdict FROM dois WHERE doi NOT IN (SELECT doi FROM pmids WHERE valid)
+UNION ALL SELECT 'arxiv', input_ord, id, verdict FROM arxiv
+UNION ALL SELECT 'title', input_ord, id, verdict FROM titles"""
+
+
+def audited(spark: SparkSession, d: str) -> DataFrame:
+    """All legs over the claims, dealt to four kinds."""
+    o, key = c("input_ord"), c("id").cast("long") - 10_000_000
+    arxiv, records_of_arxiv = _arxiv(spark, d)
+    doi = F.concat(F.lit("10.1000/"), F.when(key % 11 == 0, "lost.").otherwise("part."), key.cast("string"))
+    of = lambda rows, kind, name: rows.where(o % 4 == kind).withColumn("kind", F.lit(name))
+    claims = synth.claims(spark, d)
+    items = of(claims, 0, "pmid").union(of(claims.withColumn("id", doi), 1, "doi")).union(of(arxiv, 2, "arxiv")).union(of(claims, 3, "title"))
+    return flow.audit(items, synth.registry(spark, d), _doi_records(spark, d), records_of_arxiv, False)
+
+
+@query(_AUDIT)
+def audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every graded row of the four legs."""
+    return audited(spark, d).select("kind", "input_ord", "id", "verdict")
+
+
+@query(f"SELECT kind, count(*) AS total, {_ALL_VERDICTS} FROM ({_AUDIT}) GROUP BY kind")
+def audit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts of the whole audit, by kind."""
+    return audited(spark, d).groupBy("kind").agg(F.count("*").alias("total"), *[F.count_if(c("verdict") == v).alias(v) for v in rollup.VERDICTS])

@@ -106,3 +106,23 @@ def test_title_lists_stay_short(spark):
     sets = nearest.placed(records.select(F.monotonically_increasing_id().alias("qid"), "words"), "qid", "words", counts).cache()
     sizes, n = sorted(r["n"] for r in index.select("n").distinct().collect()), index.count()
     assert nearest.met(sets, index, sizes, n, 0.5).count() < n * n / 4
+
+
+def test_reference_numbers_by_ranges(spark, monkeypatch):
+    """All names begin alike; numbers run through each section in order, and no range has over twice its share."""
+    from refsieve.operators import export
+
+    rng = random.Random(10)
+    rows = [("verified" if i % 3 else "review", f"smith {rng.randrange(40):02}", i) for i in rng.sample(range(6000), 6000)]
+    kept = []
+    usual = export.written
+    monkeypatch.setattr(export, "written", lambda df, name: kept.append(usual(df, name)) or kept[-1])
+    frame = spark.createDataFrame(rows, "section string, name string, input_ord long").repartition(7)
+    got = export.numbered(frame, [F.col("name"), F.col("input_ord")]).collect()
+    for section in ("verified", "review"):
+        want = sorted((name, i) for s, name, i in rows if s == section)
+        assert [(r["name"], r["input_ord"]) for r in sorted(got, key=lambda r: r["n"]) if r["section"] == section] == want
+        assert sorted(r["n"] for r in got if r["section"] == section) == list(range(1, len(want) + 1))
+    sizes = sorted(r["count"] for r in kept[-1].groupBy("__range").count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert export.numbered(frame.limit(0), [F.col("name")]).collect() == []
