@@ -125,9 +125,10 @@ def resolved_dois(records: DataFrame, fallback: DataFrame) -> DataFrame:
 def verify_doi(items: DataFrame, records: DataFrame, registry: DataFrame, sequence: bool = True) -> DataFrame:
     """DOI leg: record, link to PubMed unless that names another DOI, ladder if a title is claimed, cap."""
     record = records.select(clean_doi(c("doi")).alias("id"), "status", c("title").alias("r_title"), c("journal").alias("r_journal"), c("year").alias("r_year"), c("authors").alias("r_authors"), c("retracted").alias("r_retracted"))
-    linked = registry.where(_true(c("valid")) & _some(c("doi"))).select(clean_doi(c("doi")).alias("id"), c("pmid").alias("linked_pmid"), *[c(x).alias(f"p_{x}") for x in ("title", "journal", "pubdate", "authors", "retracted")])
-    first = Window.partitionBy("id").orderBy("linked_pmid")
-    linked = linked.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    # The least PMID of each DOI, combined before the shuffle.
+    fields = ("title", "journal", "pubdate", "authors", "retracted")
+    least = F.min_by(F.struct(c("pmid").alias("linked_pmid"), *[c(x).alias(f"p_{x}") for x in fields]), "pmid")
+    linked = registry.where(_true(c("valid")) & _some(c("doi"))).groupBy(clean_doi(c("doi")).alias("id")).agg(least.alias("__linked")).select("id", "__linked.*")
     rows = items.withColumn("id", clean_doi(c("id"))).join(record, "id", "left").join(linked, "id", "left")
     from_pubmed = (c("status") == "resolved") & c("linked_pmid").isNotNull()
     pick = lambda ours, theirs: F.when(from_pubmed, c(theirs)).otherwise(c(ours))
