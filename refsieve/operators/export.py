@@ -198,12 +198,12 @@ ICONS = {"correct": "✅", "mismatch": "⚠️", "partial": "🔶", "invalid": "
 FIELD_MARKS = ("✓", "✗", "—")
 #: How many rows of each category of a change report a readable report lists; the counts cover all.
 LISTED = {"newly_retracted": 50, "degraded": 20, "improved": 20, "new": 20, "dropped": 20}
+#: What a reader of an audit should know of how this engine grades.
 HONESTY = (
-    "Network failures are reported as unknown, never as not found, and are not cached.",
-    "A missing retraction record is no evidence that there is no retraction.",
-    "Cached records of ids that were not found expire after 3 days, others after 30 by default.",
-    "A paper retracted after it was cached shows when its record expires.",
-    "Papers under an expression of concern are not flagged.",
+    "A row is unknown, not invalid, where its registry could not be asked; such answers never enter the cache.",
+    "Retractions are those in the registry tables as they were given; a later one shows once its cached record has expired.",
+    "Absent records expire sooner than found ones; rollup.fresh holds both ages.",
+    "Only retractions are flagged; expressions of concern are not read.",
 )
 
 

@@ -12,7 +12,7 @@ from refsieve.functions import match, styles, text
 from refsieve.operators import export, rollup, verify
 from refsieve.plans.schemas import ARXIV_RECORD, DOI_RECORD, REGISTRY, WORK_ITEM
 from refsieve.sources import bibliography, extract, files
-from refsieve.sources.context import parse
+from refsieve.sources.context import journal_in, parse
 
 CLAIM = "claimed_title string, claimed_authors array<string>, claimed_journal string, claimed_year string, title string, authors array<string>, journal string, pubdate string"
 REG = ("Juvenile idiopathic arthritis treatment outcomes", ["Ravelli A", "Martini B"], "New England Journal of Medicine", "2021 Dec")
@@ -180,6 +180,29 @@ def test_context():
     assert parse("").row() == parse(None).row()
 
 
+#: (context; title, authors, journal, DOI) of references in Chinese, read by hand.
+CHINESE = [
+    ("Zhang S, Li S. 儿童病的诊断与治疗[J]. 中华儿科杂志, 2019. PMID: 31018962", ("儿童病的诊断与治疗", ["Zhang S", "Li S"], "中华儿科杂志", "")),
+    ("[1] 王五. 别的题目和内容[M]. 北京, 2018.\n[2] 张三；李四. 儿童, 风湿病的\n治疗研究[J]. 中华 儿科杂志, 2020. DOI: 10.1/abc. PMID: 123456", ("儿童, 风湿病的 治疗研究", ["张三", "李四"], "中华 儿科杂志", "10.1/abc")),
+    ("1. 王五. 别的题目和内容[J]. 甲杂志, 2018. PMID: 111111. [2] 张三  李四. 儿童病的治疗研究[J]. 乙杂志, 2020. PMID: 123456", ("儿童病的治疗研究", ["张三", "李四"], "乙杂志", "")),
+    ("王五. 别的题目和内容[J]. 甲杂志, 2018. 张三. 儿童病的治疗研究[J]. 乙杂志, 2020. PMID: 123456", ("儿童病的治疗研究", ["张三"], "乙杂志", "")),
+    ("张三. 儿童病的治疗研究[D]. 北京大学, 2020. PMID: 123456 doi: 10.2/zz PMID", ("儿童病的治疗研究", ["张三"], "", "10.2/zz")),
+    ("张三. 儿童病的治疗研究[J], 2020. PMID: 123456", ("儿童病的治疗研究", ["张三"], "", "")),
+    ("一段没有标签的中文说明 PMID: 123456", ("", [], "", "")),
+]
+
+
+@pytest.mark.parametrize(("context", "want"), CHINESE)
+def test_chinese_contexts(context, want):
+    c = parse(context)
+    assert (c.title, c.authors, c.journal, c.doi, c.form) == (*want, "gbt7714")
+
+
+def test_journal_in_prose():
+    texts = {"Smith wrote in Ann Rheum Dis 2019": "Ann Rheum Dis", "the Pediatr Rheumatol J today": "Pediatr Rheumatol J", "in Arthritis Res Ther.": "Arthritis Res", "Lancet": "", "in Ann. Rheum Dis": "Rheum Dis", "": ""}
+    assert {t: journal_in(t) for t in texts} == texts
+
+
 def test_bibliographies(spark):
     entries = list(bibliography.bibtex('@string{x={y}}\n@article{k1, title={A {B} C}, note="PMID: 123456", year=2020}\n@article(k2, title={D})\n@misc{ , title={E}}\n@book{k3, title={F'))
     assert [(e[0], e[3]) for e in entries] == [("k1", 2), ("k2", 3), ("anon1", 4), (None, 5)] and entries[0][2]["title"] == "A B C" and entries[3][4]
