@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsieve.operators import export, flow, lint, rollup, verify
+from refsieve.operators import cache, export, flow, lint, rollup, verify
+from refsieve.operators.durable import shared_folder
 from refsieve.plans import oracles, synth
 from refsieve.plans.catalog import _ARXIV_LEG, _CACHE, _CHANGES, _DOI, _PMID, _arxiv, _cache, _candidates, _delta, _doi_records, _rows, _title_leg, query
-from refsieve.sources import bibliography, records
+from refsieve.sources import bibliography, records, sheets
 
 c = F.col
 _SYNTH = f"WITH {synth.sql()}"
@@ -75,6 +78,46 @@ def lint_claims(spark: SparkSession, d: str) -> DataFrame:
     return lint.claims(rows).drop("message")
 
 
+#: Claims as JSON texts, one a customer, in eight shapes: no array, no JSON, items that are no objects, keys misspelt, ids of other types.
+_ITEM_SHAPES = (
+    "concat('{\"pmid\": \"', k, '\", \"title\": \"a\"}')",
+    "concat('{\"pmid\": ', k, ', \"titel\": \"a\"}')",
+    "'[5]'",
+    "'null'",
+    "concat('{\"pmid\": \"x', k, '\", \"doi\": \"10.1000/a.', k, '\", \"title\": \"a\", \"authors\": \"Smith J\"}')",
+    "concat('{\"pmid\": \"x', k, '\", \"title\": \" \"}')",
+    "'{\"authors\": [\"Smith\"], \"title\": \"a\"}'",
+    "concat('{\"arxiv_id\": \"2113.', lpad(CAST(k AS STRING), 5, '0'), '\", \"title\": \"a\", \"authors\": null}')",
+)
+
+
+@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey % 10 AS whole, c_custkey AS k, i AS line, (c_custkey + i) % 8 AS shape FROM customer, range(1, 10) r(i)),
+x AS (SELECT * FROM t WHERE whole > 1), said(shape, tag, severity) AS (VALUES (1, 'unknown_key', 'WARN'), (1, 'no_title', 'WARN'), (2, 'not_an_object', 'ERROR'), (3, 'not_an_object', 'ERROR'),
+  (4, 'pmid_not_digits', 'WARN'), (4, 'authors_type', 'WARN'), (5, 'pmid_not_digits', 'ERROR'), (5, 'no_title', 'WARN'), (6, 'missing_id', 'ERROR'), (7, 'arxiv_shape', 'ERROR')),
+keyed AS (SELECT *, CASE WHEN shape IN (0, 1) THEN 0 WHEN shape IN (4, 7) THEN shape END AS key FROM x), firsts AS (SELECT *, min(line) OVER (PARTITION BY path, key) AS first FROM keyed)
+SELECT path, CAST(0 AS BIGINT) AS line, CASE whole WHEN 0 THEN 'unreadable' ELSE 'not_an_array' END AS tag, 'ERROR' AS severity FROM t WHERE whole < 2 AND line = 1
+UNION ALL SELECT path, line, tag, severity FROM x JOIN said USING (shape) UNION ALL SELECT path, line, 'duplicate_key', 'WARN' FROM firsts WHERE key IS NOT NULL AND line > first""")
+def lint_json(spark: SparkSession, d: str) -> DataFrame:
+    """Claims arrays of unknown shape, from JSON texts to issues."""
+    shape = "CASE (k + i) % 8 " + " ".join(f"WHEN {n} THEN {text}" for n, text in enumerate(_ITEM_SHAPES)) + " END"
+    texts = synth.table(spark, d, "customer").withColumn("k", c("c_custkey")).withColumn("items", F.expr(f"array_join(transform(sequence(1, 9), i -> {shape}), ', ')"))
+    text = F.when(c("k") % 10 == 0, F.concat(F.lit("["), c("items"))).when(c("k") % 10 == 1, '{"pmid": "1"}').otherwise(F.concat(F.lit("["), c("items"), F.lit("]")))
+    return lint.claims(sheets.claim_items(texts.select(c("k").cast("string").alias("path"), text.alias("text")))).drop("message")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 20 AS path, CAST(floor(o_orderkey / 500.0) AS BIGINT) AS block, 1 + CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS n FROM orders),
+placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY path ORDER BY k) AS BIGINT) AS line FROM o)
+SELECT CAST(path AS VARCHAR) AS path, line - n + 1 AS first_line, line, CASE n WHEN 3 THEN concat('a, ', chr(10), chr(10), '"b" ', k) WHEN 2 THEN concat('c', chr(10), k) ELSE concat('t', k) END AS title, CAST(k AS VARCHAR) AS pmid FROM placed""")
+def sheet_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of quoted sheets with line breaks in cells, and their physical lines."""
+    k = c("o_orderkey")
+    title = F.when(k % 3 == 0, F.concat(F.lit('"a, \n\n""b"" '), k, F.lit('"'))).when(k % 7 == 0, F.concat(F.lit('"c\n'), k, F.lit('"'))).otherwise(F.concat(F.lit("t"), k))
+    rows = synth.table(spark, d, "orders").select((c("o_custkey") % 20).cast("string").alias("path"), F.floor(k / 500).alias("block"), k.alias("k"), F.concat(k, F.lit(","), title).alias("record"))
+    raw = rows.select("path", "block", "k", F.posexplode(F.split("record", "\n")).alias("nth", "text")).select("path", "block", (c("k") * 4 + c("nth")).alias("at"), "text")
+    cell = sheets.cells(c("text"), 2)
+    return sheets.records(raw).select("path", "first_line", "line", cell[0].alias("pmid"), cell[1].alias("title"))
+
+
 def _bib_text(spark: SparkSession, d: str) -> DataFrame:
     """BibTeX texts of 20 entries each: with a PMID, a DOI, a PMID in the note, and nothing to go by; some repeat, some lack a title."""
     k = c("p_partkey")
@@ -160,6 +203,37 @@ def cache_three_way(spark: SparkSession, d: str) -> DataFrame:
     return flow.records_of(synth.claims(spark, d), cached, fresh).select("input_ord", "from", c("record.valid").alias("valid"))
 
 
+_LEGACY = "SELECT CAST(o_custkey + 10000000 AS VARCHAR) AS pmid, concat('t', o_orderkey) AS title, o_orderkey % 7 <> 0 AS valid, o_orderdate AS cached_at FROM orders"
+
+
+def _legacy(spark: SparkSession, d: str) -> DataFrame:
+    """Cached records of the first version: authors as JSON text, validity as a number, ages as seconds."""
+    o = c("o_orderkey")
+    return synth.table(spark, d, "orders").select(
+        (c("o_custkey") + 10_000_000).cast("string").alias("pmid"), F.concat(F.lit("t"), o).alias("title"), F.concat(F.lit('["A", "'), o, F.lit('"]')).alias("authors"),
+        (o % 7 != 0).cast("int").alias("valid"), F.unix_timestamp(c("o_orderdate").cast("timestamp")).cast("double").alias("cached_at"),
+    )
+
+
+@query("SELECT CAST(o_custkey + 10000000 AS VARCHAR) AS pmid, concat('t', o_orderkey) AS title, concat('A|', o_orderkey) AS authors, strftime(o_orderdate, '%Y-%m-%d') AS day, false AS retracted FROM orders WHERE o_orderkey % 7 <> 0")
+def cache_migrated(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of the first version in today's columns."""
+    rows = cache.migrated(_legacy(spark, d), 1)
+    return rows.select("pmid", "title", F.array_join("authors", "|").alias("authors"), F.date_format("cached_at", "yyyy-MM-dd").alias("day"), "retracted")
+
+
+@query(f"SELECT pmid, title, valid FROM (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY cached_at DESC, title) AS n FROM ({_LEGACY}) WHERE valid) WHERE n = 1")
+def cache_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """A bucketed cache of an older version, migrated and upserted with later records, of which the latest of each id stays."""
+    rows = _legacy(spark, d)
+    later = c("cached_at") % (2 * 86400) >= 86400
+    at = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    first = cache.migrated(rows.where(~later), 1)
+    cache.create(first.groupBy("pmid").agg(F.min_by(F.struct(*[x for x in cache.COLUMNS if x != "pmid"]), F.struct((-c("cached_at").cast("long")).alias("a"), "title")).alias("r")).select("pmid", "r.*"), at, version=2)
+    cache.upsert(spark, at, cache.migrated(rows.where(later), 1))
+    return cache.load(spark, at).select("pmid", "title", "valid")
+
+
 @query(f"{_SYNTH} SELECT id, count(*) AS n_contexts, min(input_ord) AS first_ord, arg_min(claimed_journal, input_ord) AS first_context FROM (SELECT id, input_ord, coalesce(claimed_journal, '-') AS claimed_journal FROM claims) GROUP BY id")
 def contexts_by_id(spark: SparkSession, d: str) -> DataFrame:
     return flow.contexts(synth.claims(spark, d).withColumn("context", F.coalesce("claimed_journal", F.lit("-"))))

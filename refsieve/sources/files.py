@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refsieve.functions.text import blank_to_null
+from refsieve.sources import sheets
 
 #: Extensions that a scan reads; the largest part of an archive; tags that break lines.
 EXTENSIONS = ("md", "txt", "html", "htm", "json", "docx", "pptx", "nxml", "jats", "xml")
@@ -132,22 +133,21 @@ def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSI
 
 
 def claims_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A claims sheet as (input_ord, pmid, doi, arxiv_id, claimed_*); headers in any of their usual spellings."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    raw = raw.toDF(*[x.lstrip("﻿").strip().lower() for x in raw.columns])
-    alias = {"pmid": ("pmid",), "doi": ("doi",), "arxiv_id": ("arxiv_id", "arxiv"), "claimed_title": ("title",), "authors": ("authors", "author"), "claimed_journal": ("journal",), "claimed_year": ("year",)}
-    cols = {k: F.coalesce(*[blank_to_null(F.col(n)) for n in v if n in raw.columns], F.lit(None).cast("string")) for k, v in alias.items()}
-    rows = raw.select(F.monotonically_increasing_id().alias("input_ord"), *[v.alias(k) for k, v in cols.items()])
+    """A claims sheet as (input_ord, pmid, doi, arxiv_id, claimed_*); headers in any of their usual spellings.
+
+    ``input_ord`` is the row's first physical line, whatever the partitions.
+    """
+    _, rows = sheets.claim_sheet(spark, path)
     mark = F.when(F.contains("authors", F.lit(";")), ";").when(F.contains("authors", F.lit("|")), r"\|").otherwise(",")
     names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), mark), lambda a: F.trim(a)), lambda a: a != "")
-    return rows.withColumn("claimed_authors", names).drop("authors")
+    return rows.select(F.col("first_line").alias("input_ord"), "pmid", "doi", "arxiv_id", F.col("title").alias("claimed_title"), F.col("journal").alias("claimed_journal"), F.col("year").alias("claimed_year"), names.alias("claimed_authors"))
 
 
 def claims_json(spark: SparkSession, path: str) -> DataFrame:
-    """A claims array; authors count only if they are a list."""
-    schema = "pmid string, doi string, arxiv_id string, title string, authors array<string>, journal string, year string"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
-    return raw.select(F.monotonically_increasing_id().alias("input_ord"), *[blank_to_null(F.col(k)).alias(k) for k in ("pmid", "doi", "arxiv_id")], blank_to_null(F.col("title")).alias("claimed_title"), F.coalesce("authors", F.array().cast("array<string>")).alias("claimed_authors"), blank_to_null(F.col("journal")).alias("claimed_journal"), blank_to_null(F.col("year")).alias("claimed_year"))
+    """A claims array; authors count only if they are a list, items only if they are objects. ``input_ord`` is an item's place."""
+    texts = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+    items = sheets.claim_items(texts).where(F.col("keys").isNotNull())
+    return items.select(F.col("line").alias("input_ord"), "pmid", "doi", "arxiv_id", F.col("title").alias("claimed_title"), F.coalesce("names", F.array().cast("array<string>")).alias("claimed_authors"), F.col("journal").alias("claimed_journal"), F.col("year").alias("claimed_year"))
 
 
 def work_items(claims: DataFrame, label: str = "claims") -> DataFrame:
