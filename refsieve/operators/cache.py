@@ -64,10 +64,10 @@ def _describe(spark: SparkSession, path: str, version: int, buckets: int) -> Non
     spark.createDataFrame([(version, buckets)], "version int, buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
-def _put(rows: DataFrame, path: str, buckets: int) -> None:
-    """Replace the buckets that ``rows`` fall into; they are written elsewhere first, as they may come from there."""
-    placed = written(rows.withColumn("bucket", bucket(c("pmid"), buckets)), "cache")
-    placed.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+def replace_buckets(rows: DataFrame, path: str, buckets: int, key: str = "pmid") -> None:
+    """Replace the folders ``bucket=<n>`` at ``path`` that ``rows`` fall into; they are written elsewhere first, as they may come from there."""
+    placed = written(rows.withColumn("bucket", bucket(c(key), buckets)), "cache")
+    placed.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -105,5 +105,5 @@ def upsert(spark: SparkSession, path: str, found: DataFrame) -> int:
     touched = [r["b"] for r in found.select(bucket(c("pmid"), buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
     if touched:
         old = load(spark, path).where(c("bucket").isin(touched)).drop("bucket")
-        _put(upserted(old, found), path, buckets)
+        replace_buckets(upserted(old, found), f"{path}/rows", buckets)
     return len(touched)
