@@ -12,14 +12,14 @@ from html import escape
 from pathlib import Path
 from typing import TextIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from refsieve.functions.styles import AUTHOR_DATE, author_list, reference
 from refsieve.functions.text import first_year, formula_safe, markdown_safe, single_blanks
 from refsieve.operators.durable import written
-from refsieve.operators.rollup import by_severity, ledger, readiness, stats
+from refsieve.operators.rollup import by_severity, counters, ledger, readiness, stats
 
 c = F.col
 
@@ -28,6 +28,19 @@ def _text(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
+def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graded rows, computed and written once, and their counters (``rollup.stats``), observed in the same pass.
+
+    Whatever renders more than one thing of its rows begins here, so that the
+    legs run once however many sinks there are.
+    """
+    seen = Observation()
+    made = counters(rows)
+    kept = written(rows.observe(seen, *made), "graded")
+    names = kept.agg(*made).columns
+    return kept, rows.sparkSession.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"`{n}` long" for n in names))
+
+
 def display(rows: DataFrame) -> DataFrame:
     """``rows`` with authors as text: the first three, and whether there were more."""
     names = c("authors")
@@ -152,10 +165,12 @@ def markdown_rows(rows: DataFrame) -> DataFrame:
 
 
 def html_rows(rows: DataFrame) -> DataFrame:
-    """Table rows in order of severity, escaped (K4)."""
+    """Table rows in order of severity, escaped (K4). A row's classes are its verdict and, where they hold, ``retracted`` and ``splice``."""
     safe = lambda x: F.replace(F.replace(F.replace(F.replace(_text(x.cast("string")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     cells = F.concat(*[F.concat(F.lit("<td>"), safe(c(k)), F.lit("</td>")) for k in ("id", "verdict", "confidence", "claimed_title", "title", "authors", "journal", "pubdate", "doi", "details", "label")])
-    return by_severity(rows).select("severity", "input_ord", F.concat(F.lit('<tr class="'), c("verdict"), F.lit('">'), cells, F.lit("</tr>")).alias("row"))
+    flag = lambda column, name: F.when(F.coalesce(c(column), F.lit(False)), name)
+    classes = F.concat_ws(" ", c("verdict"), flag("retracted", "retracted"), flag("doi_splice", "splice"))
+    return by_severity(rows).select("severity", "input_ord", F.concat(F.lit('<tr class="'), classes, F.lit('">'), cells, F.lit("</tr>")).alias("row"))
 
 
 def audit_items(rows: DataFrame) -> DataFrame:
@@ -179,7 +194,8 @@ def write_lines(lines: DataFrame, text: str, order: list[str], path: str) -> Non
 
 
 def evidence_pack(rows: DataFrame, path: str) -> None:
-    """Eight folders under ``path``: audit, bibtex, ris, csl, csv, references, ledger, summary."""
+    """Eight folders under ``path``: audit, bibtex, ris, csl, csv, references, ledger, summary (K12); the rows are computed once."""
+    rows, counts = settled(rows)
     shown = display(rows)
     write_lines(audit_items(rows), "item", ["input_ord"], f"{path}/audit")
     whole = bibtex(shown).select(F.lit(0).alias("part"), "input_ord", "entry").union(bib_total(shown).select(F.lit(1), F.lit(0), "entry"))
@@ -189,7 +205,6 @@ def evidence_pack(rows: DataFrame, path: str) -> None:
     csv_rows(shown).orderBy("input_ord").write.mode("overwrite").csv(f"{path}/csv", header=True)
     write_lines(reference_list(shown, "gbt"), "entry", ["section", "n"], f"{path}/references")
     ledger(rows).write.mode("overwrite").json(f"{path}/ledger")
-    counts = stats(rows)
     counts.crossJoin(readiness(counts)).write.mode("overwrite").json(f"{path}/summary")
 
 
@@ -242,10 +257,10 @@ def bib_total(rows: DataFrame) -> DataFrame:
     return counts.select(F.concat(F.lit("% total: "), c("included").cast("string"), F.lit(" included, "), c("partial").cast("string"), F.lit(" partial (commented), "), c("excluded").cast("string"), F.lit(" excluded")).alias("entry"))
 
 
-def jsonl_lines(rows: DataFrame) -> DataFrame:
-    """(part, input_ord, line): a JSON object per row, then one with the counters (K3)."""
+def jsonl_lines(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(part, input_ord, line): a JSON object per row, then one with the counters (K3), counted here if they are not given."""
     body = rows.select(F.lit(0).alias("part"), "input_ord", F.to_json(F.struct(*rows.columns)).alias("line"))
-    tail = stats(rows).select(F.struct("*").alias("_stats")).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("input_ord"), F.to_json(F.struct("_stats")).alias("line"))
+    tail = (stats(rows) if counts is None else counts).select(F.struct("*").alias("_stats")).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("input_ord"), F.to_json(F.struct("_stats")).alias("line"))
     return body.union(tail)
 
 
@@ -263,15 +278,16 @@ def delta_lines(changes: DataFrame) -> DataFrame:
     return head.union(rows.select("at", "n", F.concat(F.lit("- "), mark, F.lit(" "), markdown_safe(c("key")), moved)))
 
 
-def audit_document(rows: DataFrame, options: dict, changes: DataFrame | None = None) -> dict:
-    """All of an audit but its citations: tool, options, summary, changes and what the reader should know (K7)."""
-    made = {"tool": {"name": "refsieve", "options": options}, "summary": stats(rows).first().asDict(), "readiness": readiness(stats(rows)).first().asDict(), "honesty_notes": list(HONESTY)}
+def audit_document(counts: DataFrame, options: dict, changes: DataFrame | None = None) -> dict:
+    """All of an audit but its citations, from its counters: tool, options, summary, changes and what the reader should know (K7)."""
+    made = {"tool": {"name": "refsieve", "options": options}, "summary": counts.first().asDict(), "readiness": readiness(counts).first().asDict(), "honesty_notes": list(HONESTY)}
     made["delta_vs_baseline"] = None if changes is None else {r["category"]: r["n"] for r in changes.groupBy("category").agg(F.count("*").alias("n")).collect()}
     return made
 
 
-_FILTERS = """<p><button onclick="pick('')">all</button> <button onclick="pick('correct')">correct</button> <button onclick="pick('mismatch')">mismatch</button> <button onclick="pick('partial')">partial</button> <button onclick="pick('invalid')">invalid</button> <button onclick="pick('unknown')">unknown</button></p>
-<script>function pick(v){document.querySelectorAll('tr').forEach(function(r){r.hidden=v!==''&&r.className!==v})}</script>
+_SHOWN = ("", "correct", "mismatch", "partial", "invalid", "unknown", "retracted", "splice")
+_FILTERS = "<p>" + " ".join(f"""<button onclick="pick('{name}')">{name or "all"}</button>""" for name in _SHOWN) + """</p>
+<script>function pick(v){document.querySelectorAll('tr').forEach(function(r){r.hidden=v!==''&&!r.classList.contains(v)})}</script>
 """
 
 
@@ -285,8 +301,9 @@ def _write_items(out: TextIO, whole: dict, name: str, items: DataFrame) -> None:
 
 def audit_report(rows: DataFrame, path: str, options: dict, changes: DataFrame | None = None) -> None:
     """The whole audit as one JSON file, from which it can be followed (K7)."""
+    rows, counts = settled(rows)
     with open(path, "w", encoding="utf-8") as out:
-        _write_items(out, audit_document(rows, options, changes), "citations", audit_items(rows))
+        _write_items(out, audit_document(counts, options, changes), "citations", audit_items(rows))
 
 
 def report(rows: DataFrame, path: str, changes: DataFrame | None = None) -> None:
@@ -297,16 +314,17 @@ def report(rows: DataFrame, path: str, changes: DataFrame | None = None) -> None
     streamed to the file, not collected.
     """
     form = Path(path).suffix.lower()
+    if form not in (".json", ".jsonl", ".md", ".html", ".csv", ".txt"):
+        raise ValueError(f"no report form for {form or path!r}")
+    rows, counts = settled(rows)
     if form == ".jsonl":
-        write_lines(jsonl_lines(rows), "line", ["part", "input_ord"], path)
+        write_lines(jsonl_lines(rows, counts), "line", ["part", "input_ord"], path)
         return
-    if form not in (".json", ".md", ".html", ".csv", ".txt"):
-        raise ValueError(f"no report form for {form or path!r}")
     shown = display(rows)
     told = [] if changes is None else [r["line"] for r in delta_lines(changes).orderBy("at", "n").toLocalIterator()]
     with open(path, "w", encoding="utf-8-sig" if form == ".csv" else "utf-8") as out:
         if form == ".json":
-            _write_items(out, {"stats": stats(rows).first().asDict()}, "results", audit_items(rows))
+            _write_items(out, {"stats": counts.first().asDict()}, "results", audit_items(rows))
         elif form == ".md":
             out.write("| id | verdict | confidence | claimed | registered | details |\n|---|---|---|---|---|---|\n")
             out.writelines(r["line"] + "\n" for r in markdown_rows(shown).orderBy("input_ord").toLocalIterator())
@@ -317,7 +335,7 @@ def report(rows: DataFrame, path: str, changes: DataFrame | None = None) -> None
             out.write("</table>\n")
             out.writelines(["<section><h2>Delta vs baseline</h2>\n", *(f"<p>{escape(line)}</p>\n" for line in told), "</section>\n"] if told else [])
         elif form == ".txt":
-            out.writelines(r["line"] + "\n" for r in text_head(stats(rows)).orderBy("at").toLocalIterator())
+            out.writelines(r["line"] + "\n" for r in text_head(counts).orderBy("at").toLocalIterator())
             out.writelines(line + "\n" for line in told)
             out.writelines(r["line"] + "\n" for r in text_rows(rows).orderBy("input_ord").toLocalIterator())
         else:

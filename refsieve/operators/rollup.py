@@ -23,8 +23,8 @@ def union_legs(*legs: DataFrame) -> DataFrame:
     return out
 
 
-def stats(rows: DataFrame) -> DataFrame:
-    """One row of counters, by conditional counts in one pass."""
+def counters(rows: DataFrame) -> list[Column]:
+    """The counters of a run, as aggregates over ``rows``."""
     have = set(rows.columns)
     count = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
     aggs = [F.count("*").alias("total"), *[count(F.col("verdict") == v).alias(v) for v in VERDICTS]]
@@ -33,7 +33,12 @@ def stats(rows: DataFrame) -> DataFrame:
     aggs.append((count(F.col("network_error")) if "network_error" in have else F.lit(0).cast("long")).alias("network_errors"))
     of = lambda kind, when: count((F.col("kind") == kind) & when) if "kind" in have else F.lit(0).cast("long")
     aggs += [of("doi", F.col("valid")).alias("doi_resolved") if "valid" in have else F.lit(0).cast("long").alias("doi_resolved"), of("arxiv", F.col("verdict") == "invalid").alias("arxiv_invalid"), (count(F.col("merged_into").isNotNull()) if "merged_into" in have else F.lit(0).cast("long")).alias("doi_merged_into_pmid")]
-    return rows.agg(*aggs)
+    return aggs
+
+
+def stats(rows: DataFrame) -> DataFrame:
+    """One row of counters, by conditional counts in one pass."""
+    return rows.agg(*counters(rows))
 
 
 def delta_counts(changes: DataFrame) -> DataFrame:

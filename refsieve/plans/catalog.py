@@ -550,7 +550,7 @@ def _escaped(x: str) -> str:
     return f"replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(f"{_PMID} SELECT input_ord, CAST(CASE WHEN retracted OR doi_splice THEN 0 ELSE CASE verdict WHEN 'mismatch' THEN 1 WHEN 'invalid' THEN 2 WHEN 'partial' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END END AS INT) AS severity, '<tr class=\"' || verdict || '\"><td>' || id || '</td><td>' || verdict || '</td>' AS head, '<td>' || {_escaped('claimed_title')} || '</td><td>' || {_escaped('title')} || '</td><td>' || {_escaped('array_to_string(authors[1:3], chr(44) || chr(32))')} || '</td><td>' || {_escaped('journal')} || '</td><td>' || {_escaped('pubdate')} || '</td><td>' || {_escaped('doi')} || '</td>' AS cells FROM pmid_rows")
+@query(f"{_PMID} SELECT input_ord, CAST(CASE WHEN retracted OR doi_splice THEN 0 ELSE CASE verdict WHEN 'mismatch' THEN 1 WHEN 'invalid' THEN 2 WHEN 'partial' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END END AS INT) AS severity, '<tr class=\"' || verdict || CASE WHEN retracted THEN ' retracted' ELSE '' END || CASE WHEN doi_splice THEN ' splice' ELSE '' END || '\"><td>' || id || '</td><td>' || verdict || '</td>' AS head, '<td>' || {_escaped('claimed_title')} || '</td><td>' || {_escaped('title')} || '</td><td>' || {_escaped('array_to_string(authors[1:3], chr(44) || chr(32))')} || '</td><td>' || {_escaped('journal')} || '</td><td>' || {_escaped('pubdate')} || '</td><td>' || {_escaped('doi')} || '</td>' AS cells FROM pmid_rows")
 def report_html(spark: SparkSession, d: str) -> DataFrame:
     """Table rows without confidence, reason and label."""
     rows = export.html_rows(export.display(_rows(spark, d)))

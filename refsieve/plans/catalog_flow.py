@@ -12,6 +12,7 @@ from refsieve.operators.durable import shared_folder
 from refsieve.plans import oracles, synth
 from refsieve.plans.catalog import _ARXIV_LEG, _CACHE, _CHANGES, _DOI, _PMID, _arxiv, _cache, _candidates, _delta, _doi_records, _rows, _title_leg, query
 from refsieve.sources import bibliography, records, sheets
+from refsieve.streaming import citations
 
 c = F.col
 _SYNTH = f"WITH {synth.sql()}"
@@ -234,6 +235,19 @@ def cache_buckets(spark: SparkSession, d: str) -> DataFrame:
     return cache.load(spark, at).select("pmid", "title", "valid")
 
 
+@query(f"""{_PMID}, n AS (SELECT *, row_number() OVER (PARTITION BY id, explicit ORDER BY input_ord) AS n FROM pmid_rows),
+state AS (SELECT 'pmid ' || id AS key, verdict, valid FROM n WHERE explicit AND n = 1 AND NOT network_error), batch AS (SELECT 'pmid ' || id AS key, * FROM n WHERE NOT explicit AND n = 1)
+SELECT b.key, b.verdict, b.valid, b.retracted, s.verdict AS was, CASE WHEN b.network_error THEN 'unanswered' WHEN s.key IS NULL THEN 'first' ELSE 'again' END AS change FROM batch b LEFT JOIN state s ON s.key = b.key
+UNION ALL SELECT s.key, CASE WHEN s.verdict IN ('correct', 'partial') THEN 'partial' ELSE s.verdict END, s.valid, true, s.verdict, 'retracted' FROM state s JOIN registry r ON s.key = 'pmid ' || r.pmid WHERE s.valid AND r.valid AND r.retracted AND s.key NOT IN (SELECT key FROM batch)""")
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What a batch of scanned citations changes where the explicit ones were graded before, when no record was known as retracted."""
+    rows = _rows(spark, d)
+    before = verify.keep_first(rows.where("explicit and not network_error"))
+    state = before.select(F.concat(F.lit("pmid "), "id").alias("key"), F.lit("pmid").alias("kind"), "label", "verdict", "valid", F.lit(False).alias("retracted"), F.lit(0).cast("timestamp").alias("graded_at"))
+    told = citations.changes(state, verify.keep_first(rows.where("not explicit")), synth.registry(spark, d), F.lit(0).cast("timestamp"), 1)
+    return told.select("key", "verdict", "valid", "retracted", "was", "change")
+
+
 @query(f"{_SYNTH} SELECT id, count(*) AS n_contexts, min(input_ord) AS first_ord, arg_min(claimed_journal, input_ord) AS first_context FROM (SELECT id, input_ord, coalesce(claimed_journal, '-') AS claimed_journal FROM claims) GROUP BY id")
 def contexts_by_id(spark: SparkSession, d: str) -> DataFrame:
     return flow.contexts(synth.claims(spark, d).withColumn("context", F.coalesce("claimed_journal", F.lit("-"))))

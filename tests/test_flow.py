@@ -135,6 +135,30 @@ def test_from_files_to_reports(spark, tmp_path):
         export.report(rows, str(tmp_path / "r.doc"))
 
 
+def test_sinks_compute_the_rows_once(spark, tmp_path):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            passed.add(len(frame))
+            yield frame
+
+    rows = verify.verify_pmid(synth.claims(spark, SF), synth.registry(spark, SF), False).withColumn("pmid", F.col("id"))
+    n, counted = rows.count(), rollup.stats(rows).first().asDict()
+    rows = rows.mapInPandas(count, rows.schema)
+    kept, counts = export.settled(rows)
+    assert passed.value == n and counts.first().asDict() == counted and kept.count() == n
+    export.evidence_pack(rows, str(tmp_path / "pack"))
+    assert passed.value == 2 * n
+    summary = spark.read.json(str(tmp_path / "pack" / "summary")).first().asDict()
+    assert {k: summary[k] for k in counted} == counted
+    export.report(rows, str(tmp_path / "r.html"))
+    export.audit_report(rows, str(tmp_path / "a.json"), {})
+    assert passed.value == 4 * n
+    page = (tmp_path / "r.html").read_text()
+    assert page.count("<tr ") == n and page.count(" retracted") == counted["retracted"] and "pick('splice')" in page
+
+
 def test_filters_are_not_rewritten_through_the_ladder(spark):
     rows = verify.verify_pmid(synth.claims(spark, SF), synth.registry(spark, SF), False).where("verdict = 'mismatch'")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
