@@ -11,7 +11,7 @@ from refsieve.operators import cache, export, flow, lint, rollup, verify
 from refsieve.operators.durable import shared_folder
 from refsieve.plans import oracles, synth
 from refsieve.plans.catalog import _ARXIV_LEG, _CACHE, _CHANGES, _DOI, _PMID, _arxiv, _cache, _candidates, _delta, _doi_records, _rows, _title_leg, query
-from refsieve.sources import bibliography, records, sheets
+from refsieve.sources import bibliography, blocks, records, sheets
 from refsieve.streaming import citations
 
 c = F.col
@@ -146,6 +146,20 @@ def lint_bib(spark: SparkSession, d: str) -> DataFrame:
     return lint.entries(found.withColumn("line", c("path").cast("long") * 100_000 + c("line"))).groupBy("tag", "severity").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_BIB}, n AS (SELECT *, k % 4 AS path, k % 10 = 0 AS bare, row_number() OVER (PARTITION BY k % 4 ORDER BY k) AS place, sum(CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k % 4 ORDER BY k) AS made FROM b)
+SELECT CAST(path AS VARCHAR) AS path, CASE WHEN bare THEN 'anon' || CAST(made AS BIGINT) ELSE 'k:' || k END AS citekey, CAST(3 * place - 2 AS INTEGER) AS line, route, id FROM n""")
+def bib_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """BibTeX files read by blocks of 70 lines, whose ends cut entries: keys, those made up included, and lines within the file."""
+    k = c("p_partkey")
+    key = (k - k % 2).cast("string")
+    fields = F.when(k % 4 < 2, F.concat(F.lit(" pmid = {"), key, F.lit("}}"))).when(k % 4 == 2, F.concat(F.lit(" doi = {10.1000/P."), k.cast("string"), F.lit("}}"))).otherwise(" note = {none}}")
+    head = F.concat(F.lit("@article{"), F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("k:"), k.cast("string"))), F.lit(","))
+    raw = synth.table(spark, d, "part").select((k % 4).cast("string").alias("path"), k.alias("k"), F.posexplode(F.array(head, fields, F.lit(""))).alias("nth", "text"))
+    at = c("k") * 3 + c("nth")
+    raw = raw.select("path", F.floor(at / 70).alias("block"), at.alias("at"), "text")
+    return bibliography.routed(blocks.entries_of(raw, "bib")).select("path", "citekey", "line", "route", "id")
+
+
 def _ris_text(spark: SparkSession, d: str) -> DataFrame:
     k = c("p_partkey")
     ident = F.when(k % 3 == 0, F.concat(F.lit("AN  - "), (k + 10_000_000).cast("string"))).when(k % 3 == 1, F.concat(F.lit("DO  - 10.1000/P."), k.cast("string"))).otherwise(F.concat(F.lit("UR  - https://arxiv.org/abs/2101."), F.lpad((k % 100_000).cast("string"), 5, "0")))

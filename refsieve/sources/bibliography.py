@@ -67,6 +67,12 @@ def _fields(body: str) -> dict[str, str]:
     return out
 
 
+def keyed(inner: str) -> tuple[str, dict[str, str]]:
+    """The key (perhaps empty) and the fields of what stands between an entry's brackets."""
+    key, _, body = inner.partition(",")
+    return key.strip(), _fields(body)
+
+
 def bibtex(text: str) -> Iterator[tuple]:
     """(citekey, type, fields, line, issue). An entry that does not close is an issue and ends the text."""
     at = line = made = 0
@@ -78,9 +84,9 @@ def bibtex(text: str) -> Iterator[tuple]:
             yield None, kind, {}, line + 1, "ERROR unclosed entry"
             return
         if kind not in ("string", "preamble", "comment"):
-            key, _, body = text[m.end() : end].partition(",")
-            made += not key.strip()
-            yield key.strip() or f"anon{made}", kind, _fields(body), line + 1, None
+            key, fields = keyed(text[m.end() : end])
+            made += not key
+            yield key or f"anon{made}", kind, fields, line + 1, None
         line += text.count("\n", m.start(), end)
         at = end
 
@@ -169,19 +175,24 @@ def split_list(text: str) -> list[str]:
     return [_HASH.sub("", ln) for ln in lines]
 
 
-def plain_list(text: str) -> Iterator[tuple]:
-    """Rows of TEXT_DDL. Ids: the last PMID, then a DOI, then an arXiv id; without any, a title to search if long enough."""
+def list_row(raw: str) -> tuple:
+    """TEXT_DDL without the key. Ids: the last PMID, then a DOI, then an arXiv id; without any, a title to search if long enough."""
     from_doi, from_arxiv = re.compile(r"(?i)(10\.\d{4,9}/[^\s\"'<>),;\]?&=]+)"), re.compile(r"(?i)arxiv(?:\.org/(?:abs|pdf)/|:\s*)([^\s\"'<>),;\]]+)")
+    pmids = re.findall(r"(?i)PMID[:\s]*(\d{4,9})", raw)
+    doi, arxiv = from_doi.search(raw), from_arxiv.search(raw)
+    pmid = pmids[-1] if pmids else None
+    doi_id = doi[1].lower().rstrip(".,;:") if doi and not pmid else None
+    arxiv_id = arxiv[1].rstrip(".") if arxiv and not pmid and not doi_id else None
+    claim = parse(raw)
+    known = bool(pmid or doi_id or arxiv_id)
+    search = not known and (len(claim.title) >= 15 or bool(re.search(r"[一-鿿]", raw)) and len(raw) >= 12)
+    return raw, pmid, doi_id, arxiv_id, claim.title, claim.authors, claim.journal, claim.year, claim.form, known, search
+
+
+def plain_list(text: str) -> Iterator[tuple]:
+    """Rows of TEXT_DDL."""
     for n, raw in enumerate(split_list(text), 1):
-        pmids = re.findall(r"(?i)PMID[:\s]*(\d{4,9})", raw)
-        doi, arxiv = from_doi.search(raw), from_arxiv.search(raw)
-        pmid = pmids[-1] if pmids else None
-        doi_id = doi[1].lower().rstrip(".,;:") if doi and not pmid else None
-        arxiv_id = arxiv[1].rstrip(".") if arxiv and not pmid and not doi_id else None
-        claim = parse(raw)
-        known = bool(pmid or doi_id or arxiv_id)
-        search = not known and (len(claim.title) >= 15 or bool(re.search(r"[一-鿿]", raw)) and len(raw) >= 12)
-        yield f"L{n}", raw, pmid, doi_id, arxiv_id, claim.title, claim.authors, claim.journal, claim.year, claim.form, known, search
+        yield f"L{n}", *list_row(raw)
 
 
 def text_entries(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
