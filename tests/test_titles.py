@@ -97,6 +97,19 @@ def test_gram_pairs_stay_few(spark, monkeypatch):
     assert 0 < met <= 10 * entries
 
 
+def test_grams_beside_the_rarest_must_agree(spark):
+    """No gram tells two of these titles apart by itself: each begins as 12 do and ends as 12 do."""
+    titles = [(12 * i + j, f"{i:03}abcdef{j:03}") for i in range(12) for j in range(12)]
+    frames = spark.createDataFrame(titles, "nid long, title string"), spark.createDataFrame([(n, f"[1] {t}.") for n, t in titles], "tid long, text string")
+    assert contained.candidates(*frames).count() == len(titles)
+    assert {(r["nid"], r["tid"]) for r in contained.contained(*frames).collect()} == {(n, n) for n, _ in titles}
+
+
+def test_bucket_collisions_lose_no_title(spark, monkeypatch):
+    monkeypatch.setattr(contained, "BUCKETS", 3)
+    test_contained_equals_all_pairs(spark)
+
+
 def test_title_lists_stay_short(spark):
     """A word that every record holds pairs no set with records that cannot reach the score."""
     registry = synth.registry(spark, SF)
