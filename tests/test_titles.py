@@ -110,6 +110,20 @@ def test_bucket_collisions_lose_no_title(spark, monkeypatch):
     test_contained_equals_all_pairs(spark)
 
 
+def test_rows_are_graded_once_for_a_second_opinion(spark):
+    registry = spark.createDataFrame([("1", "Outcome of systemic long arthritis", True)], "pmid string, title string, valid boolean")
+    graded = spark.sparkContext.accumulator(0)
+
+    def route(_):
+        graded.add(1)
+        return "mismatch_gated"
+
+    rows = spark.createDataFrame([("1", 1, "outcome of systemic long arthrit", "unknown"), ("2", 2, "outcome of systemic short arthrit", "unknown")], "id string, input_ord long, claimed_title string, verdict string")
+    rows = rows.withColumn("route", F.udf(route)("verdict"))
+    assert {r["input_ord"]: r["verdict"] for r in verify.second_opinion(rows, registry).collect()} == {1: "correct", 2: "unknown"}
+    assert graded.value == 2
+
+
 def test_title_lists_stay_short(spark):
     """A word that every record holds pairs no set with records that cannot reach the score."""
     registry = synth.registry(spark, SF)
