@@ -124,6 +124,21 @@ def test_rows_are_graded_once_for_a_second_opinion(spark):
     assert graded.value == 2
 
 
+def test_arxiv_sides_are_read_before_they_are_paired(spark):
+    """One id with many claims and many records: no text is taken apart once for each pair; the answers are those of all pairs."""
+    claims = [(f"2101.{i % 2:05}", i, f"Outcome of arthritis {i % 3}", f"doi:10.1/{'AB'[i % 2]}" if i % 4 else None) for i in range(24)]
+    stored = [(f"2101.{i % 2:05}", "found", f"outcome: arthritis {i % 5} more", f"10.1/{'ab'[i % 2]}" if i % 3 else None) for i in range(20)]
+    items = spark.createDataFrame([(*x, None) for x in claims], "id string, input_ord long, claimed_title string, claimed_doi string, claimed_year string")
+    records = spark.createDataFrame([(*x, None) for x in stored], "arxiv_id string, status string, title string, registered_doi string, year string")
+    registry = spark.createDataFrame([("7", "10.1/A", True), ("8", "10.1/a", True)], "pmid string, doi string, valid boolean")
+    rows = verify.verify_arxiv(items, records, registry, False)
+    paired = rows._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
+    assert "verdict" in paired and "regexp_replace" not in paired
+    got = sorted((r["input_ord"], r["title"], r["verdict"], r["pmid"] or "") for r in rows.collect())
+    # Of the words outcome, arthritis, a number and, on one side, more, three of four are shared if the numbers agree, else two of five.
+    assert got == sorted((o, t, "correct" if str(o % 3) in t else "mismatch", "7" if d == "10.1/a" else "") for i, o, *_ in claims for j, _, t, d in stored if i == j)
+
+
 def test_title_lists_stay_short(spark):
     """A word that every record holds pairs no set with records that cannot reach the score."""
     registry = synth.registry(spark, SF)
