@@ -139,6 +139,16 @@ def test_arxiv_sides_are_read_before_they_are_paired(spark):
     assert got == sorted((o, t, "correct" if str(o % 3) in t else "mismatch", "7" if d == "10.1/a" else "") for i, o, *_ in claims for j, _, t, d in stored if i == j)
 
 
+def test_records_join_sets_of_words_not_claims(spark):
+    """Claims, with all of their fields, are joined once with what their set of words found, and once for the answer."""
+    registry, items = synth.registry(spark, SF), synth.claims(spark, SF)
+    joins = lambda rows: [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    searched = joins(verify.title_search(items, registry, False))
+    assert [sum(name in x for x in searched) for name in ("input_ord#", "__q#")] == [1, 1] and "input_ord#" in searched[0]
+    found = joins(verify.title_candidates(items, registry))
+    assert "__q#" in found[0] and not [x for x in found[1:] if "__q#" in x]
+
+
 def test_title_lists_stay_short(spark):
     """A word that every record holds pairs no set with records that cannot reach the score."""
     registry = synth.registry(spark, SF)
