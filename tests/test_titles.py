@@ -160,6 +160,28 @@ def test_title_lists_stay_short(spark):
     assert nearest.met(sets, index, sizes, n, 0.5).count() < n * n / 4
 
 
+def test_copies_with_numbers_of_their_own_are_scored_once(spark, monkeypatch):
+    """Three titles in 40 copies, told apart by a number: all are asked for, yet what passes score does not grow with the copies."""
+    scored = []
+    usual = nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name: (out := usual(df, name), name == "title-scored" and scored.append(out.count()))[0])
+    cores = [["hot", "bolt", "large", "trial"], ["hot", "gear", "small", "trial"], ["cold", "bolt", "large", "trial"]]
+    records = [(f"{40 * i + j:03}", [*words, f"k{40 * i + j}"]) for i, words in enumerate(cores) for j in range(40)]
+    check_nearest(spark, [words for _, words in records], records, 3, 0.5)
+    assert sum(scored) <= 2 * len(cores) ** 2
+
+
+@pytest.mark.parametrize("rare", [0, 2, 50])
+def test_words_of_few_records_lose_no_record(spark, monkeypatch, rare):
+    """Frequent words and ones of one to three records, on either side, beside copies."""
+    monkeypatch.setattr(nearest, "RARE", rare)
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(6)]
+    records = [(f"{i:03}", [*rng.sample(pool, rng.randrange(0, 5)), *rng.sample([f"k{i}", f"l{i // 2}", f"m{i // 3}"], rng.randrange(0, 3))]) for i in range(150)]
+    sets = [[*rng.sample(words, rng.randrange(1, len(words) + 1)), *rng.sample([*pool, "odd", "k7", "l8", "m9"], rng.randrange(3))] for _, words in records if words]
+    assert len(check_nearest(spark, sets, records, 3)) > 200
+
+
 def test_reference_numbers_by_ranges(spark, monkeypatch):
     """All names begin alike; numbers run through each section in order, and no range has over twice its share."""
     from refsieve.operators import export
