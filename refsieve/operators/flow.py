@@ -75,11 +75,13 @@ def scanned_items(documents: DataFrame) -> DataFrame:
     return hits.select("id", c("id_kind").alias("kind"), c("basename").alias("label"), F.lit(False).alias("explicit"), order.alias("input_ord"), "context")
 
 
-def audit(items: DataFrame, registry: DataFrame, doi_records: DataFrame, arxiv_records: DataFrame, sequence: bool = True) -> DataFrame:
-    """All legs of work items with a ``kind``, each id once; DOIs of papers already verified by PMID are merged into those."""
-    of = lambda kind, fold: verify.keep_first(items.where(c("kind") == kind), fold=fold)
+def audit(items: DataFrame, registry: DataFrame, doi_records: DataFrame, arxiv_records: DataFrame, sequence: bool = True, key: str = "id") -> DataFrame:
+    """All legs of work items with a ``kind``, each ``key`` once; DOIs of papers already verified by PMID are merged into those."""
+    of = lambda kind, fold: verify.keep_first(items.where(c("kind") == kind), key, fold)
     pmids = verify.verify_pmid(of("pmid", False), registry, sequence)
-    dois = verify.verify_doi(verify.doi_merged(of("doi", True), pmids), doi_records, registry, sequence)
+    # Which papers are verified is asked of the registry; the graded rows would be graded once more for it.
+    known = verify.with_registry(items.where("kind = 'pmid'").select("id"), registry)
+    dois = verify.verify_doi(verify.doi_merged(of("doi", True), known), doi_records, registry, sequence)
     arxiv = verify.verify_arxiv(of("arxiv", True), arxiv_records, registry, sequence)
     titles = verify.title_search(of("title", False), registry, sequence)
     return rollup.union_legs(pmids, dois, arxiv, titles)

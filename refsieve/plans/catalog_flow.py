@@ -516,9 +516,10 @@ def audited(spark: SparkSession, d: str) -> DataFrame:
     arxiv, records_of_arxiv = _arxiv(spark, d)
     doi = F.concat(F.lit("10.1000/"), F.when(key % 11 == 0, "lost.").otherwise("part."), key.cast("string"))
     of = lambda rows, kind, name: rows.where(o % 4 == kind).withColumn("kind", F.lit(name))
-    claims = synth.claims(spark, d)
+    # arXiv ids repeat beyond 100,000 papers; the cited paper is what tells claims apart.
+    claims = synth.claims(spark, d).withColumn("cited", c("id"))
     items = of(claims, 0, "pmid").union(of(claims.withColumn("id", doi), 1, "doi")).union(of(arxiv, 2, "arxiv")).union(of(claims, 3, "title"))
-    return flow.audit(items, synth.registry(spark, d), _doi_records(spark, d), records_of_arxiv, False)
+    return flow.audit(items, synth.registry(spark, d), _doi_records(spark, d), records_of_arxiv, False, "cited")
 
 
 @query(_AUDIT)

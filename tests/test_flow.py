@@ -3,13 +3,15 @@
 import io
 import json
 import zipfile
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from refsieve.functions import match, text
 from refsieve.operators import export, flow, lint, rollup, verify
-from refsieve.plans import synth
+from refsieve.plans import catalog, catalog_flow, synth  # noqa: F401
 from refsieve.plans.options import Options, masked_proxy, redacted_arguments
 from refsieve.plans.schemas import ARXIV_RECORD, DOI_RECORD
 from refsieve.sources import context, files, records
@@ -163,3 +165,16 @@ def test_filters_are_not_rewritten_through_the_ladder(spark):
     rows = verify.verify_pmid(synth.claims(spark, SF), synth.registry(spark, SF), False).where("verdict = 'mismatch'")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 400_000 and "Generate inline" in plan
+
+
+def test_audit_keeps_each_cited_paper(spark, tmp_path):
+    """Papers beyond 100,000, whose arXiv ids are those of others, are not taken for them; nothing is graded only to merge DOIs."""
+    con = duckdb.connect()
+    for table, keys in (("part", {"p_partkey": 100_000}), ("orders", {"o_orderkey": 1_000_000, "o_custkey": 100_000})):
+        shifted = ", ".join(f"{k} + {by} * i AS {k}" for k, by in keys.items())
+        con.execute(f"copy (select * replace ({shifted}) from '{SF}/{table}.parquet', range(2) t(i)) to '{tmp_path}/{table}.parquet'")
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    rows = catalog.QUERIES["audit"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 3
+    got = Counter((r["kind"], r["input_ord"], r["id"], r["verdict"]) for r in rows.collect())
+    assert got == Counter(con.execute(f"select kind, input_ord, id, verdict from ({catalog.ORACLES['audit']})").fetchall())
